@@ -86,12 +86,12 @@ def points_outside(spark, folder):
 
 
 def near_own_school(spark, folder):
-    """Each point against the school that shares its home, all in one row."""
+    """Each home against the middle of the schools, within one row."""
     first = schools(spark, folder)
-    homes = places(spark, folder).withColumn("school_id", F.col("label") * 0)
-    center = first.agg(F.avg("sx").alias("sx"), F.avg("sy").alias("sy")).withColumn("school_id", F.lit(0).cast("bigint"))
-    df = within_distance_flag(homes.join(center, "school_id"), ("x", "y"), ("sx", "sy"), 0.2, metres=False)
-    return df.select("vec_id", "is_within")
+    homes = places(spark, folder).withColumns(
+        {"sx": first.agg(F.avg("sx")).scalar(), "sy": first.agg(F.avg("sy")).scalar()}
+    )
+    return within_distance_flag(homes, ("x", "y"), ("sx", "sy"), 0.2, metres=False).select("vec_id", "is_within")
 
 
 def _rings(spark, folder):

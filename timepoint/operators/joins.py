@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timepoint.operators.ordered import number_all_rows
+from timepoint.operators.ordered import number_all_rows, same_keys_join
 
 
 def as_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -55,8 +55,11 @@ def attach_enrollment(trips: DataFrame, enrollment: DataFrame, keys: Sequence[st
 
 
 def difference(new: DataFrame, old: DataFrame, key: str, new_share: str, old_share: str, out: str) -> DataFrame:
-    """Change of a share between two periods, for every key of the newer one."""
-    return new.join(old, key, "left").withColumn(out, F.col(new_share) - F.col(old_share))
+    """Change of a share between two periods, for every key of the newer one.
+
+    The NULL key (places without an area) of one period meets that of the other.
+    """
+    return same_keys_join(new, old, [key], "left").withColumn(out, F.col(new_share) - F.col(old_share))
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
