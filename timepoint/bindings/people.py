@@ -15,7 +15,11 @@ VARIABLES = ("BUILDING", "FURNITURE", "HOUSEHOLD")
 
 def census(spark: SparkSession, folder: str, year: int) -> DataFrame:
     """Long table of counts: one row for each order of the year."""
-    o = table(spark, folder, "orders").where(F.year("o_orderdate") == year).select("o_custkey")
+    day = F.col("o_orderdate")
+    in_year = (day >= F.lit(f"{year}-01-01").cast("timestamp_ntz")) & (
+        day < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")
+    )
+    o = table(spark, folder, "orders").where(in_year).select("o_custkey")
     c = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("geoid"),
         F.col("c_mktsegment").alias("variable"),

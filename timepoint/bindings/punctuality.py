@@ -2,7 +2,7 @@
 
 trip = order, route = priority, direction = status, stop = customer, service
 day = month of the order, clock = days since 1970 (so the limits read as days),
-hour = day of the month.  An order without line items is a bus that never came.
+hour = day of the month, headways in days.  An order without line items is a bus that never came.
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ def adherence(spark: SparkSession, folder: str, chunk_width: float | None = 7) -
         seen_at="obs",
         row="row",
         tie=TIE,
+        per_minute=1.0,
         chunk_width=chunk_width,
     )
 
@@ -99,10 +100,10 @@ WITH matched AS (
          CASE WHEN obs IS NULL THEN FALSE ELSE on_time END AS pessimistic_on_time,
          CASE WHEN obs IS NOT NULL THEN obs - lag(obs) OVER (
            PARTITION BY route_id, service_date, direction_id
-           ORDER BY obs NULLS LAST, trip_id, line, part_id, supplier_id) END / 60.0::DOUBLE AS headway,
+           ORDER BY obs NULLS LAST, trip_id, line, part_id, supplier_id) END / 1.0::DOUBLE AS headway,
          (sched - lag(sched) OVER (
            PARTITION BY route_id, service_date, direction_id
-           ORDER BY sched, trip_id, line, part_id, supplier_id)) / 60.0::DOUBLE AS scheduled_headway
+           ORDER BY sched, trip_id, line, part_id, supplier_id)) / 1.0::DOUBLE AS scheduled_headway
   FROM flagged
 ), adherence AS (
   SELECT *,
