@@ -53,7 +53,7 @@ def sightings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def adherence(spark: SparkSession, folder: str, chunk_width: float | None = 7) -> DataFrame:
+def adherence(spark: SparkSession, folder: str, chunk_width: float | None = 60) -> DataFrame:
     return assess(
         timetable(spark, folder),
         sightings(spark, folder),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from timepoint.bindings import table
 from timepoint.functions.clock import clock_parts, clock_seconds, date_key
@@ -29,6 +28,7 @@ from timepoint.operators.reshape import (
     stack,
     unpivot_wide,
 )
+from timepoint.schemas import struct
 from timepoint.sources.calendar import is_service_day, service_calendar
 from timepoint.sources.positions import standardize_columns
 from timepoint.sources.tables import (
@@ -67,7 +67,7 @@ def gaps(spark, folder):
     )
 
 
-PROPS = T.StructType.fromDDL("event_id BIGINT, k BIGINT, missing STRING, event_type STRING")
+PROPS = "event_id BIGINT, k BIGINT, missing STRING, event_type STRING"
 
 
 def json_props(spark, folder):
@@ -76,7 +76,7 @@ def json_props(spark, folder):
         F.col("event_id"), F.from_json("props", "k BIGINT, extra STRING").alias("p"), "event_type", "value"
     )
     flat = parsed.select("event_id", "p.*", "event_type", "value")
-    fixed = standardize_columns(flat, PROPS)
+    fixed = standardize_columns(flat, struct(PROPS))
     return clean_names(fixed.toDF("eventId", "K", "missing Field", "event.type"))
 
 

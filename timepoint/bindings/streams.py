@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from timepoint.bindings import rounded, table, texts
 from timepoint.bindings.punctuality import ADHERENCE_SQL, DAILY_OUT, daily_sql, study_rows
 from timepoint.functions.clock import micros_of_day, wall_micros
 from timepoint.operators.quality import snapshot_counts
 from timepoint.operators.rollups import SHARE_FLAGS, otp_daily
-from timepoint.schemas import POLL, TIMETABLE
+from timepoint.schemas import POLL, TIMETABLE, struct
 from timepoint.session import new_scratch
 from timepoint.sources.positions import flatten_positions
 from timepoint.sources.sinks import combine_daily, stream_sink, write_daily, write_result, write_summary_csv
@@ -32,9 +31,7 @@ from timepoint.streaming.feed import (
 )
 
 DELAY = "1 hour"
-EVENTS = T.StructType.fromDDL(
-    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-)
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,8 +76,9 @@ def planned(spark, folder):
     )
 
 
-def _adherence(spark, folder, observed=F.col("day_us") / 1_000_000):
-    events = event_stream(spark, folder).withColumn("obs_secs", observed)
+def _adherence(spark, folder, whole_seconds=False):
+    secs = F.col("day_us") / 1_000_000
+    events = event_stream(spark, folder).withColumn("obs_secs", F.floor(secs) if whole_seconds else secs)
     return stream_adherence(events, planned(spark, folder), ["stop"], "sched_secs", "obs_secs")
 
 
@@ -93,7 +91,7 @@ def adherence_rows(spark, folder):
 
 def otp_windows(spark, folder):
     # Whole seconds, so that sums of delays are exact in any order.
-    whole = _adherence(spark, folder, F.floor(F.col("day_us") / 1_000_000))
+    whole = _adherence(spark, folder, whole_seconds=True)
     rows = run_to_table(stream_otp(whole.withWatermark("ts", DELAY), "ts", ["route_id"]), "otp")
     return rows.select(F.col("span.start").cast("string").alias("start"), *[c for c in rows.columns if c != "span"])
 
@@ -162,8 +160,8 @@ def polls(spark, folder):
     nested = e.select(
         F.lit("positions_data_20240826080003.json").alias("file"),
         F.lit(None).cast("timestamp_ntz").alias("poll_ts"),
-        F.struct(secs).cast(POLL["header"].dataType).alias("header"),
-        entity.cast(POLL["entity"].dataType).alias("entity"),
+        F.struct(secs).cast(struct(POLL)["header"].dataType).alias("header"),
+        entity.cast(struct(POLL)["entity"].dataType).alias("entity"),
     )
     flat = flatten_positions(nested)
     return flat.select(
@@ -188,7 +186,7 @@ def timetables(spark, folder):
         F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.to_date("o_orderdate").cast("string"),
         F.lit("0"), F.array(trip), stops,
     )
-    nested = o.select(F.array(direction).cast(TIMETABLE["data"].dataType).alias("data"))
+    nested = o.select(F.array(direction).cast(struct(TIMETABLE)["data"].dataType).alias("data"))
     built = build_timetable(nested)
     return texts(built, ["service_date"]).select(
         "route_id", "service_date", "trip_id", "block_id", "sched_secs", "sched_hour", "sched_minute", "row",

@@ -169,9 +169,11 @@ def assess(
         return None if chunk_width is None else F.floor(F.col(at) / F.lit(chunk_width))
 
     matched = match_schedule(timetable, observed, match_keys, scheduled)
-    flagged = matched.transform(add_delay, scheduled, seen_at)
-    flagged = flagged.transform(on_time_flags, "delay", windows).transform(late_early_flags, "delay", windows)
-    flagged = flagged.transform(minutes_late, "delay", per_minute).transform(on_time_bounds, seen_at)
-    spaced = add_headway(flagged, headway_keys, seen_at, "headway", tie, per_minute, piece(seen_at))
+    # Coverage before the headways: its summary then repeats the match only.
+    # The flags come last: they need not travel through the shuffles.
+    covered = trip_coverage(matched, trip_keys, row, seen_at)
+    spaced = add_headway(covered, headway_keys, seen_at, "headway", tie, per_minute, piece(seen_at))
     spaced = add_headway(spaced, headway_keys, scheduled, "scheduled_headway", tie, per_minute, piece(scheduled))
-    return spaced.transform(headway_flags).transform(trip_coverage, trip_keys, row, seen_at)
+    flagged = spaced.transform(headway_flags).transform(add_delay, scheduled, seen_at)
+    flagged = flagged.transform(on_time_flags, "delay", windows).transform(late_early_flags, "delay", windows)
+    return flagged.transform(minutes_late, "delay", per_minute).transform(on_time_bounds, seen_at)

@@ -2,11 +2,10 @@
 
 A plain ``lag`` or ``row_number`` sends a whole group to one task.  Where a
 group may be large, pass ``chunk``: a column that is monotone in the sort order
-(an hour bucket of the sort time, say).  Rows are then windowed by
-(keys, chunk), and one carry row per chunk, taken from a pre-aggregated
-summary, hands the state of the earlier chunks over.  The result is the same as
-that of the plain window, the data is shuffled once, and the largest task is
-one chunk.
+(an hour bucket of the sort time, say).  Rows are then ordered inside
+(keys, chunk), and only the border of the chunks is ordered over the whole
+group: at most two rows of each chunk, or one count.  The result is that of the
+plain window, and the largest task is one chunk.
 """
 
 from __future__ import annotations
@@ -43,19 +42,15 @@ def previous_value(
         return df.withColumn(out, F.when(F.col(at).isNotNull(), F.lag(at).over(w)))
 
     rows = df.withColumn("_chunk", _chunk_or_salt(chunk, keys, tie))
-    tails = rows.where(F.col(at).isNotNull()).groupBy(*keys, "_chunk").agg(F.max(at).alias(at))
-    carry = (
-        tails.withColumn(at, F.lag(at).over(Window.partitionBy(*keys).orderBy("_chunk")))
-        .where(F.col(at).isNotNull())
-        .withColumn("_row", F.lit(False))
-    )
-    both = rows.withColumn("_row", F.lit(True)).unionByName(carry, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_row", at, *tie)
-    return (
-        both.withColumn(out, F.when(F.col(at).isNotNull(), F.lag(at).over(w)))
-        .where("_row")
-        .drop("_row", "_chunk")
-    )
+    w = Window.partitionBy(*keys, "_chunk").orderBy(F.col(at).asc_nulls_last(), *tie)
+    timed, prev, last = F.col(at).isNotNull(), F.col("_prev"), F.col("_last")
+    marked = rows.withColumns({"_prev": F.lag(at).over(w), "_last": F.lead(at).over(w).isNull()})
+    # Both parts read the one exchange above: it is planned once and reused.
+    inner = marked.where(prev.isNotNull() | ~timed).withColumn(out, F.when(timed, prev))
+    edges = marked.where(timed & (prev.isNull() | last))
+    across = F.lag(at).over(Window.partitionBy(*keys).orderBy("_chunk", at, *tie))
+    firsts = edges.withColumn(out, across).where(prev.isNull())
+    return inner.unionByName(firsts).drop("_chunk", "_prev", "_last")
 
 
 def number_rows(

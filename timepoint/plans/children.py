@@ -15,7 +15,9 @@ def located_tracts(acs: DataFrame, shapes: DataFrame, center_shapes: DataFrame,
     ``shapes``: geoid, ring.  The city centre is the mean vertex of ``center_shapes``.
     """
     center = vertex_mean_center(center_shapes).select("center_x").scalar()
-    tracts = dissolve_and_centroid(shapes, ["geoid"]).join(children_by_tract(acs), "geoid", "left")
+    # The crosswalk brings the community area; the surface is not needed.
+    placed = dissolve_and_centroid(shapes, ["geoid"]).drop("area")
+    tracts = placed.join(children_by_tract(acs), "geoid", "left")
     return attach_area(split_by_side(tracts, "center_x", center), crosswalk, "geoid")
 
 

@@ -1,16 +1,17 @@
-"""Declared schemas of the inputs; nothing is inferred."""
+"""Declared schemas of the inputs, as DDL text; nothing is inferred."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
+def struct(ddl: str) -> T.StructType:
+    """The parsed schema; parsing needs a running session."""
     return T.StructType.fromDDL(ddl)
 
 
 # One poll of the vehicle feed, snake_case form.
-POLL = _struct(
+POLL = (
     """header STRUCT<timestamp: STRING>,
        entity ARRAY<STRUCT<
          id: STRING,
@@ -21,7 +22,7 @@ POLL = _struct(
            stop_id: STRING, current_stop_sequence: INT, timestamp: STRING>>>"""
 )
 # The same poll with camelCase keys; read with this, then cast by position to POLL.
-POLL_CAMEL = _struct(
+POLL_CAMEL = (
     """header STRUCT<timestamp: STRING>,
        entity ARRAY<STRUCT<
          id: STRING,
@@ -33,7 +34,7 @@ POLL_CAMEL = _struct(
 )
 
 # One timetable response: a route and date, one entry for each direction.
-TIMETABLE = _struct(
+TIMETABLE = (
     """data ARRAY<STRUCT<
          route_id: STRING, route_name: STRING, service_date: STRING, schedule_direction_id: STRING,
          schedule_times_for_trip: ARRAY<STRUCT<
@@ -42,25 +43,25 @@ TIMETABLE = _struct(
          schedule_stops: ARRAY<STRUCT<stopId: STRING, stopName: STRING>>>>"""
 )
 
-ROUTES = _struct("data STRUCT<routes: ARRAY<STRUCT<id: STRING, name: STRING, shortName: STRING, color: STRING>>>")
+ROUTES = "data STRUCT<routes: ARRAY<STRUCT<id: STRING, name: STRING, shortName: STRING, color: STRING>>>"
 
-STOPS = _struct(
+STOPS = (
     "X DOUBLE, Y DOUBLE, Jurisdiction STRING, TYPE_Alt STRING, Stop_Number STRING, Stop_Name STRING"
 )
-BELL_TIMES = _struct("school_number STRING, am_bell STRING, pm_bell STRING, district_early_release_time STRING")
-COUNTY_STOPS = _struct(
+BELL_TIMES = "school_number STRING, am_bell STRING, pm_bell STRING, district_early_release_time STRING"
+COUNTY_STOPS = (
     "route STRING, source_file STRING, stop STRING, location STRING, time STRING, students STRING"
 )
-CROSSWALK = _struct("GEOID_Tract_2020 STRING, Community_Statistical_Area_2020 STRING")
-ATTENDANCE = _struct("school STRING, first_period STRING, all_other_periods STRING, difference STRING")
-TRIP_LEGS = _struct(
+CROSSWALK = "GEOID_Tract_2020 STRING, Community_Statistical_Area_2020 STRING"
+ATTENDANCE = "school STRING, first_period STRING, all_other_periods STRING, difference STRING"
+TRIP_LEGS = (
     """from_id STRING, to_id STRING, to_lat DOUBLE, to_lon DOUBLE, departure_time STRING,
        total_duration DOUBLE, total_distance DOUBLE, segment INT, mode STRING,
        segment_duration DOUBLE, wait DOUBLE, distance DOUBLE, route STRING"""
 )
-CELLS = _struct("x DOUBLE, y DOUBLE, value DOUBLE")
-ACS = _struct("GEOID STRING, variable STRING, estimate DOUBLE, moe DOUBLE")
-FEATURES = _struct(
+CELLS = "x DOUBLE, y DOUBLE, value DOUBLE"
+ACS = "GEOID STRING, variable STRING, estimate DOUBLE, moe DOUBLE"
+FEATURES = (
     """features ARRAY<STRUCT<
          properties: MAP<STRING, STRING>,
          geometry: STRUCT<type: STRING, coordinates: STRING>>>"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timepoint.functions.clock import local_time
-from timepoint.schemas import POLL, POLL_CAMEL
+from timepoint.schemas import POLL, POLL_CAMEL, struct
 
 # Feed zone, hours read for the study, file-name form.
 FEED_ZONE = "America/New_York"
@@ -42,7 +42,7 @@ def standardize_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def as_snapshots(raw: DataFrame) -> DataFrame:
     """Polls in snake_case with file and poll time; casts nested fields by position."""
-    named = raw.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in POLL.fields})
+    named = raw.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in struct(POLL).fields})
     file = F.col("_metadata.file_path")
     return named.select("*", file.alias("file"), poll_ts(file).alias("poll_ts"))
 
