@@ -108,6 +108,25 @@ def test_metre_join_equals_all_pairs(spark, a, b):
     assert sorted((r.id, r.tid) for r in got.collect()) == want
 
 
+def test_metre_join_at_the_edges_of_the_map(spark):
+    a = [(179.999, 0.0), (10.0, 89.999), (0.0, -89.9999)]
+    b = [(-179.999, 0.0), (-170.0, 89.999), (90.0, -89.9999)]
+    got = within_distance_join(points(spark, a), points(spark, b).toDF("tid", "tx", "ty"), 300.0, ("x", "y"),
+                               ("tx", "ty"), metres=True)
+    assert sorted((r.id, r.tid) for r in got.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_pad_in_metres(spark):
+    lat, lon, d = 39.3, -76.6, 0.001
+    ring = [(lon, lat), (lon + d, lat), (lon + d, lat + d), (lon, lat + d)]
+    east = 1 / (111_195.08 * math.cos(math.radians(lat)))
+    pts = points(spark, [(lon - 49 * east, lat + d / 2), (lon - 51 * east, lat + d / 2), (lon, lat - 49 / 111_195.08)])
+    hit = point_in_polygon_join(pts, polygons(spark, [(1, ring)]), ("x", "y"), 0.01, how="inner", pad=50, metres=True)
+    assert sorted(r.id for r in hit.collect()) == [0, 2]
+    out = spatial_anti_join(pts, polygons(spark, [(1, ring)]), ("x", "y"), 0.01, pad=50, metres=True)
+    assert [r.id for r in out.collect()] == [1]
+
+
 def test_haversine(spark):
     df = spark.range(1).select(haversine_metres(F.lit(-76.6), F.lit(39.3), F.lit(-76.61), F.lit(39.31)))
     assert df.first()[0] == pytest.approx(metres(-76.6, 39.3, -76.61, 39.31))

@@ -11,6 +11,7 @@ from timepoint.functions.clock import day_part, micros_of_day, polling_hours, wa
 from timepoint.functions.text import base_stop_id
 from timepoint.operators.adherence import add_headway, headway_flags, match_schedule
 from timepoint.operators.ordered import number_all_rows, number_rows, previous_value
+from timepoint.operators.rollups import exact_median
 from timepoint.operators.stop_events import prepare_pings, stop_events, stop_events_slowest
 
 HOUR_MICROS = 3_600_000_000
@@ -124,8 +125,15 @@ def numbered_table(spark, folder):
     return number_all_rows(pings(spark, folder).select("event_id", "at_us"), ["at_us", "event_id"])
 
 
+def median_headways(spark, folder):
+    """Exact median of microsecond headways, values without a bound on their number."""
+    df = headway_rows(spark, folder).withColumn("headway_us", F.col("headway_us").cast("double"))
+    return exact_median(df, ["route_id"], "headway_us", 1e8)
+
+
 QUERIES = {
     "headway": headway_rows,
+    "exact_median": median_headways,
     "headway_by_stop": headway_by_stop,
     "headway_two_clocks": headway_two_clocks,
     "stop_events_last": stop_events_last,
@@ -139,6 +147,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "exact_median": f"""{PINGS_SQL}, h AS (SELECT route_id, CAST(at_us - lag(at_us) OVER (
+        PARTITION BY route_id, service_date ORDER BY at_us, event_id) AS DOUBLE) AS h FROM pings)
+        SELECT route_id, median(h) AS median FROM h GROUP BY route_id""",
     "headway": f"""{PINGS_SQL} SELECT event_id, route_id,
         at_us - lag(at_us) OVER (PARTITION BY route_id, service_date ORDER BY at_us, event_id) AS headway_us FROM pings""",
     "headway_by_stop": f"""{PINGS_SQL} SELECT event_id, stop_id,

@@ -32,6 +32,17 @@ def haversine_metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
     return F.lit(2 * EARTH_METRES) * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
 
 
+def sphere_axes(lon: Column, lat: Column) -> list[Column]:
+    """The point on the globe as three coordinates in metres.
+
+    Two points at most r apart on the ground are at most r apart on each axis,
+    at any latitude and across the date line.
+    """
+    x, y = F.radians(lon), F.radians(lat)
+    r = F.lit(EARTH_METRES)
+    return [r * F.cos(y) * F.cos(x), r * F.cos(y) * F.sin(x), r * F.sin(y)]
+
+
 def cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(size)).cast("bigint")
 
@@ -89,14 +100,24 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
     return odd | on_boundary(x, y, edges)
 
 
-def near_boundary(x: Column, y: Column, edges: Column, radius: float) -> Column:
-    """Is any edge within ``radius``."""
+def near_boundary(x: Column, y: Column, edges: Column, radius: float, metres: bool = False) -> Column:
+    """Is any edge within ``radius``.
+
+    With ``metres`` the coordinates are lon and lat, and distances are taken on
+    the plane that touches the globe at the point, which is exact enough for
+    the few kilometres a pad has.
+    """
+    ky = F.lit(METRES_PER_DEGREE) if metres else F.lit(1.0)
+    kx = ky * F.cos(F.radians(y)) if metres else ky
 
     def close(e):
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        along = F.try_divide((x - e["x1"]) * dx + (y - e["y1"]) * dy, dx * dx + dy * dy)
+        # The edge as seen from the point, in the unit of the radius.
+        ax, ay = (e["x1"] - x) * kx, (e["y1"] - y) * ky
+        dx, dy = (e["x2"] - e["x1"]) * kx, (e["y2"] - e["y1"]) * ky
+        along = F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy)
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
-        return planar_sq(x, y, e["x1"] + t * dx, e["y1"] + t * dy) <= radius * radius
+        nx, ny = ax + t * dx, ay + t * dy
+        return nx * nx + ny * ny <= radius * radius
 
     return F.exists(edges, close)
 

@@ -9,7 +9,6 @@ depend on it.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +25,8 @@ from timepoint.functions.geo import (
     planar_sq,
     polygon_edges,
     ring_moments,
+    side_of,
+    sphere_axes,
 )
 
 
@@ -33,14 +34,13 @@ def _with_salt(points: DataFrame, targets: DataFrame, salts: int, spread: Sequen
     """Points spread over ``salts`` copies of the targets."""
     if salts <= 1:
         return points, targets, None
-    salted = points.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    salted = points.withColumn("_sj_ps", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return salted, targets.withColumn("_tsalt", copies), F.col("_salt") == F.col("_tsalt")
+    return salted, targets.withColumn("_sj_ts", copies), F.col("_sj_ps") == F.col("_sj_ts")
 
 
 def _finish(joined: DataFrame) -> DataFrame:
-    extra = ["_cx", "_cy", "_tcx", "_tcy", "_salt", "_tsalt", "_tx", "_ty", "_edges", "_min_x", "_max_x", "_min_y", "_max_y"]
-    return joined.drop(*extra)
+    return joined.drop(*[c for c in joined.columns if c.startswith("_sj_")])
 
 
 def within_distance_join(
@@ -51,31 +51,31 @@ def within_distance_join(
     target_xy: tuple[str, str],
     how: str = "inner",
     metres: bool = False,
-    max_abs_lat: float = 70.0,
     salts: int = 1,
 ) -> DataFrame:
     """Pairs at most ``radius`` apart (bound included).
 
     With ``metres`` the coordinates are lon and lat and the distance is the
-    great-circle one; ``max_abs_lat`` must cover the data, as it sets the cell
-    width in degrees.  The target coordinates do not come out.
+    great-circle one; the cells are then cubes around the globe, so no latitude
+    is special.  The target coordinates do not come out.
     """
-    px, py = (F.col(c) for c in point_xy)
-    if metres:
-        high = radius / METRES_PER_DEGREE
-        wide = high / math.cos(math.radians(min(max_abs_lat, 89.0) + high))
-    else:
-        high = wide = radius
-    near = [F.lit(i) for i in (-1, 0, 1)]
-    spread = targets.withColumnsRenamed({target_xy[0]: "_tx", target_xy[1]: "_ty"})
-    spread = spread.withColumn("_tcx", F.explode(F.array(*[cell(F.col("_tx"), wide) + n for n in near])))
-    spread = spread.withColumn("_tcy", F.explode(F.array(*[cell(F.col("_ty"), high) + n for n in near])))
-    placed = points.withColumns({"_cx": cell(px, wide), "_cy": cell(py, high)})
-    placed, spread, salt = _with_salt(placed, spread, salts, points.columns)
-    tx, ty = F.col("_tx"), F.col("_ty")
-    close = haversine_metres(px, py, tx, ty) <= radius if metres else planar_sq(px, py, tx, ty) <= radius * radius
-    cond = (F.col("_cx") == F.col("_tcx")) & (F.col("_cy") == F.col("_tcy")) & close
-    return _finish(placed.join(spread, cond if salt is None else cond & salt, how))
+    p = [F.col(c) for c in point_xy]
+    t = [F.col("_sj_tx"), F.col("_sj_ty")]
+    # A hair wider than the radius, so that rounding cannot skip a cell.
+    size = radius * (1 + 1e-9) if metres else radius
+    near = targets.withColumnsRenamed({target_xy[0]: "_sj_tx", target_xy[1]: "_sj_ty"})
+    axes = list(zip(sphere_axes(*p), sphere_axes(*t))) if metres else list(zip(p, t))
+    around = [F.lit(i) for i in (-1, 0, 1)]
+    placed, cond = points, None
+    for i, (a, b) in enumerate(axes):
+        placed = placed.withColumn(f"_sj_p{i}", cell(a, size))
+        near = near.withColumn(f"_sj_t{i}", F.explode(F.array(*[cell(b, size) + n for n in around])))
+        same = F.col(f"_sj_p{i}") == F.col(f"_sj_t{i}")
+        cond = same if cond is None else cond & same
+    placed, near, salt = _with_salt(placed, near, salts, points.columns)
+    close = haversine_metres(*p, *t) <= radius if metres else planar_sq(*p, *t) <= radius * radius
+    cond = cond & close
+    return _finish(placed.join(near, cond if salt is None else cond & salt, how))
 
 
 def within_distance_by_place(
@@ -95,31 +95,38 @@ def within_distance_by_place(
     return points.join(hits, list(point_xy), "inner")
 
 
-def _polygon_cells(polygons: DataFrame, ring: str, holes: str | None, size: float, pad: float) -> DataFrame:
+def _polygon_cells(polygons: DataFrame, ring: str, holes: str | None, size: float, pad: float, metres: bool):
     b = bounds(F.col(ring))
+    pad_x = pad_y = F.lit(float(pad))
+    if metres and pad:
+        pad_y = pad_y / METRES_PER_DEGREE
+        # A degree of longitude is shortest at the latitude farthest from the equator.
+        far = F.least(F.greatest(F.abs(b["min_y"]), F.abs(b["max_y"])) + pad_y, F.lit(89.9))
+        pad_x = pad_y / F.cos(F.radians(far))
+    box = {
+        "_sj_min_x": b["min_x"] - pad_x,
+        "_sj_max_x": b["max_x"] + pad_x,
+        "_sj_min_y": b["min_y"] - pad_y,
+        "_sj_max_y": b["max_y"] + pad_y,
+    }
     edges = polygon_edges(F.col(ring), F.col(holes) if holes else None)
-    shaped = polygons.withColumns(
-        {
-            "_edges": edges,
-            "_min_x": b["min_x"] - pad,
-            "_max_x": b["max_x"] + pad,
-            "_min_y": b["min_y"] - pad,
-            "_max_y": b["max_y"] + pad,
-        }
-    ).drop(*[c for c in (ring, holes) if c])
-    shaped = shaped.withColumn("_tcx", F.explode(cell_range(F.col("_min_x"), F.col("_max_x"), size)))
-    return shaped.withColumn("_tcy", F.explode(cell_range(F.col("_min_y"), F.col("_max_y"), size)))
-
-
-def _polygon_join(points, polygons, xy, ring, holes, size, pad, how, salts) -> DataFrame:
+    shaped = polygons.withColumns({"_sj_edges": edges, **box}).drop(*[c for c in (ring, holes) if c])
+    cells_x = cell_range(F.col("_sj_min_x"), F.col("_sj_max_x"), size)
+    cells_y = cell_range(F.col("_sj_min_y"), F.col("_sj_max_y"), size)
+    return shaped.withColumn("_sj_t0", F.explode(cells_x)).withColumn("_sj_t1", F.explode(cells_y))
+
+
+def _polygon_join(points, polygons, xy, ring, holes, size, pad, metres, how, salts) -> DataFrame:
     x, y = (F.col(c) for c in xy)
-    cells = _polygon_cells(polygons, ring, holes, size, pad)
-    placed = points.withColumns({"_cx": cell(x, size), "_cy": cell(y, size)})
+    cells = _polygon_cells(polygons, ring, holes, size, pad, metres)
+    placed = points.withColumns({"_sj_p0": cell(x, size), "_sj_p1": cell(y, size)})
     placed, cells, salt = _with_salt(placed, cells, salts, points.columns)
-    edges = F.col("_edges")
-    hit = inside(x, y, edges) if pad == 0 else inside(x, y, edges) | near_boundary(x, y, edges, pad)
-    box = x.between(F.col("_min_x"), F.col("_max_x")) & y.between(F.col("_min_y"), F.col("_max_y"))
-    cond = (F.col("_cx") == F.col("_tcx")) & (F.col("_cy") == F.col("_tcy")) & box & hit
+    edges = F.col("_sj_edges")
+    hit = inside(x, y, edges)
+    if pad:
+        hit = hit | near_boundary(x, y, edges, pad, metres)
+    box = x.between(F.col("_sj_min_x"), F.col("_sj_max_x")) & y.between(F.col("_sj_min_y"), F.col("_sj_max_y"))
+    cond = (F.col("_sj_p0") == F.col("_sj_t0")) & (F.col("_sj_p1") == F.col("_sj_t1")) & box & hit
     return _finish(placed.join(cells, cond if salt is None else cond & salt, how))
 
 
@@ -132,14 +139,16 @@ def point_in_polygon_join(
     holes: str | None = None,
     how: str = "left",
     pad: float = 0.0,
+    metres: bool = False,
     salts: int = 1,
 ) -> DataFrame:
-    """Points with the polygons they fall in (within ``pad`` of, when given).
+    """Points with the polygons they fall in, or within ``pad`` of.
 
-    ``cell_size`` about the size of a usual polygon keeps both the cells of one
-    polygon and the polygons of one cell few.
+    ``cell_size`` (in the unit of the coordinates) about the size of a usual
+    polygon keeps both the cells of one polygon and the polygons of one cell
+    few.  With ``metres`` the coordinates are lon and lat and ``pad`` is metres.
     """
-    return _polygon_join(points, polygons, xy, ring, holes, cell_size, pad, how, salts)
+    return _polygon_join(points, polygons, xy, ring, holes, cell_size, pad, metres, how, salts)
 
 
 def spatial_anti_join(
@@ -150,10 +159,11 @@ def spatial_anti_join(
     pad: float = 0.0,
     ring: str = "ring",
     holes: str | None = None,
+    metres: bool = False,
     salts: int = 1,
 ) -> DataFrame:
     """Points in none of the polygons, nor within ``pad`` of one."""
-    return _polygon_join(points, polygons, xy, ring, holes, cell_size, pad, "left_anti", salts)
+    return _polygon_join(points, polygons, xy, ring, holes, cell_size, pad, metres, "left_anti", salts)
 
 
 def within_distance_flag(
@@ -167,11 +177,11 @@ def within_distance_flag(
 
 
 def near_polygon_flag(
-    df: DataFrame, xy: tuple[str, str], ring: str, radius: float, out: str = "is_within"
+    df: DataFrame, xy: tuple[str, str], ring: str, radius: float, out: str = "is_within", metres: bool = False
 ) -> DataFrame:
-    """The same against the school's polygon, in the unit of the coordinates."""
+    """The same against the school's polygon."""
     x, y, edges = F.col(xy[0]), F.col(xy[1]), polygon_edges(F.col(ring))
-    return df.withColumn(out, inside(x, y, edges) | near_boundary(x, y, edges, radius))
+    return df.withColumn(out, inside(x, y, edges) | near_boundary(x, y, edges, radius, metres))
 
 
 def dissolve_and_centroid(parts: DataFrame, keys: Sequence[str], ring: str = "ring") -> DataFrame:
@@ -199,6 +209,4 @@ def vertex_mean_center(parts: DataFrame, ring: str = "ring", keys: Sequence[str]
 
 
 def split_by_side(df: DataFrame, lon: str, center: Column, out: str = "side") -> DataFrame:
-    from timepoint.functions.geo import side_of
-
     return df.withColumn(out, side_of(F.col(lon), center))

@@ -46,11 +46,13 @@ def trip_summary(
             F.coalesce(F.sum(F.when(used, F.col("distance"))), F.lit(0)).alias(f"{name}_distance"),
             F.coalesce(F.bool_or(used), F.lit(False)).alias(f"uses_{name}"),
         ]
+    columns = {"routes": "route", "short_names": names, "modes": "mode"}
     if lists:
-        for out, col in {"routes": "route", "short_names": names, "modes": "mode"}.items():
-            ordered = F.array_sort(F.collect_list(F.struct("segment", F.col(col).alias("v"))))
-            aggs.append(F.transform(ordered, lambda leg: leg["v"]).alias(out))
+        leg = F.struct("segment", *[F.col(c).alias(out) for out, c in columns.items()])
+        aggs.append(F.array_sort(F.collect_list(leg)).alias("_legs"))
     trips = legs.groupBy(*keys).agg(*aggs)
+    if lists:
+        trips = trips.withColumns({out: F.col("_legs")[out] for out in columns}).drop("_legs")
     if miles:
         trips = trips.withColumns({f"{d}_distance": metres_to_miles(F.col(f"{d}_distance")) for d in DISTANCES})
     return trips

@@ -12,7 +12,7 @@ from timepoint.operators.adherence import DelayWindows, assess
 from timepoint.operators.joins import attach_names
 from timepoint.operators.rollups import otp_grains, otp_period
 from timepoint.operators.stop_events import STOP_KEYS, prepare_pings, stop_events
-from timepoint.sources.sinks import write_daily
+from timepoint.sources.sinks import combine_daily, write_daily
 from timepoint.sources.tables import read_daily
 
 MATCH_KEYS = ("route_id", "trip_id", "start_date", "stop_id")
@@ -71,7 +71,8 @@ def on_time_reports(
     from one scan of it.
     """
     spark = pings.sparkSession
-    write_daily(adherence_table(pings, timetable, windows, chunk_width), f"{work_path}/adherence")
+    built = adherence_table(pings, timetable, windows, chunk_width)
+    write_daily(combine_daily(built), f"{work_path}/adherence")
     adherence = read_daily(spark, f"{work_path}/adherence")
     hour = F.col("sched_hour")
     study = adherence.where(in_hours(hour)).withColumn("time", day_part(hour))

@@ -19,7 +19,7 @@ from timepoint.operators.arrivals import (
 )
 from timepoint.operators.joins import attach_bells, attach_stop_schools, zip_rows
 from timepoint.operators.reshape import split_to_rows
-from timepoint.operators.spatial import within_distance_flag, within_distance_join
+from timepoint.operators.spatial import point_in_polygon_join, within_distance_flag, within_distance_join
 from timepoint.sources.tables import ATTENDANCE_NAMES, PARCEL_NAMES
 
 
@@ -40,6 +40,12 @@ def stops_near_schools(stops: DataFrame, schools: DataFrame, metres: float = HAL
     return pairs.select("stop_id", "school").distinct()
 
 
+def stops_near_parcels(stops: DataFrame, parcels: DataFrame, metres: float = HALF_MILE) -> DataFrame:
+    """The same by the parcel's outline.  ``parcels``: school, ring (lon, lat)."""
+    hits = point_in_polygon_join(stops, parcels, ("lon", "lat"), 0.02, how="inner", pad=metres, metres=True)
+    return hits.select("stop_id", "school").distinct()
+
+
 def daily_arrivals(adherence: DataFrame, stop_school: DataFrame, bells: DataFrame, minutes: int = 30) -> DataFrame:
     """Buses per school, day and day part within ``minutes`` of the bell.
 

@@ -43,6 +43,8 @@ def local_session(cores: int | str = 8, name: str = "timepoint", **extra: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Small test tables: keep all cores busy instead of filling 1 MB partitions.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",

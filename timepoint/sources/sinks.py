@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -16,10 +15,10 @@ def write_daily(df: DataFrame, path: str, date: str = "service_date") -> None:
     writer.parquet(path)
 
 
-def combine_daily(df: DataFrame, date: str = "service_date", files_per_day: int = 8) -> DataFrame:
-    """Fewer files a day before ``write_daily``: each day spread over a few tasks."""
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != date]), F.lit(files_per_day))
-    return df.repartition(F.col(date), spread)
+def combine_daily(df: DataFrame, date: str = "service_date") -> DataFrame:
+    """Few files a day before ``write_daily``: rows of a day are brought together,
+    in as many tasks as the size of the day asks for."""
+    return df.hint("rebalance", date)
 
 
 def write_summary_csv(df: DataFrame, path: str) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from timepoint.functions.stats import flag_share, ratio
 from timepoint.operators.adherence import DelayWindows, add_delay, late_early_flags, on_time_flags
-from timepoint.operators.ordered import previous_value
+from timepoint.operators.ordered import previous_value, same_keys_join
 from timepoint.session import new_scratch
 from timepoint.sources.positions import FEED_ZONE, flatten_positions, stream_snapshots
 
@@ -110,37 +110,35 @@ def stream_headway(
 
     Each micro-batch runs the batch operator, so a hot group is ordered in
     pieces and not in one task.  What a batch needs from the earlier ones is
-    one row for each group, its last arrival; it is kept as a table for each
-    batch number.  A batch that is run again reads the state before it and
-    replaces its own output and state, so a retry changes nothing.
+    one row for each group, its last arrival; it is kept as a table beside the
+    checkpoint.  Batch n reads slot n-1 and replaces slot n (of three) and its
+    own output, so a batch that is run again changes nothing.
 
     A row older than the last arrival already seen gets NULL: it is late, and
     the daily batch places it.
     """
     keys, tie = list(keys), list(tie)
-    state = f"{checkpoint}/last-arrivals"
+
+    def slot(number: int) -> str:
+        return f"{checkpoint}/last-arrivals/slot={number % 3}"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         rows = previous_value(batch, keys, at, "_before", tie, chunk)
         last = batch.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.max(at).alias("_last"))
         if number > 0:
-            seen = spark.read.parquet(f"{state}/batch={number - 1}")
-            first = rows.join(seen, keys, "left")
-            earlier = F.when(F.col("_last") <= F.col(at), F.col("_last"))
-            # Only the first row of a group in this batch has no neighbour yet.
-            # A late row must not lend its time to the rows after it.
-            before = F.greatest(F.col("_before"), F.col("_last"))
-            rows = first.withColumn(
-                "_before",
-                F.when(F.col("_last") > F.col(at), F.lit(None)).otherwise(
-                    F.when(F.col("_before").isNull(), earlier).otherwise(before)
-                ),
-            ).drop("_last")
+            seen = spark.read.parquet(slot(number - 1))
+            carried = same_keys_join(rows, seen, keys, "left")
+            late = F.col("_last") > F.col(at)
+            # A late row lends its time to no row after it, nor takes one.
+            before = F.when(late, F.lit(None)).otherwise(F.greatest("_before", "_last"))
+            rows = carried.withColumn("_before", before).drop("_last")
             last = seen.unionByName(last).groupBy(*keys).agg(F.max("_last").alias("_last"))
         result = rows.withColumn(out, F.col(at) - F.col("_before")).drop("_before")
         result.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        last.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        last.write.mode("overwrite").parquet(slot(number))
+        batch.unpersist()
 
     writer = df.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/query")
     if available_now:
