@@ -30,6 +30,7 @@ def texts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def registry() -> tuple[dict, dict]:
     from timepoint.bindings import (
         arrivals,
+        endtoend,
         headways,
         people,
         punctuality,
@@ -41,7 +42,7 @@ def registry() -> tuple[dict, dict]:
     )
 
     queries, oracles = {}, {}
-    for module in (punctuality, headways, sources, arrivals, space, trips, rides, people, streams):
+    for module in (punctuality, headways, sources, arrivals, space, trips, rides, people, streams, endtoend):
         clash = queries.keys() & module.QUERIES.keys()
         if clash:
             raise ValueError(f"query names used twice: {sorted(clash)}")

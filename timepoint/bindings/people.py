@@ -28,8 +28,8 @@ def census(spark: SparkSession, folder: str, year: int) -> DataFrame:
 
 
 def crosswalk(spark, folder):
-    """Tract to area; the last five tracts are in none."""
-    n = table(spark, folder, "nation").where("n_nationkey < 20")
+    """Tract to area; the tracts of one region are in none."""
+    n = table(spark, folder, "nation").where("n_regionkey <> 4")
     return n.select(F.col("n_nationkey").alias("geoid"), F.col("n_regionkey").alias("area"))
 
 
@@ -84,7 +84,7 @@ def _year_sql(year: int) -> str:
          CAST(total_kids AS DOUBLE) * 100 / CAST(sum(total_kids) OVER () AS DOUBLE) AS pct_kids FROM k{year}
 ), a{year} AS (
   SELECT n_regionkey AS area, sum(pct_kids) AS pct_total, CAST(sum(total_kids) AS BIGINT) AS total_kids
-  FROM t{year} LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON geoid = n_nationkey GROUP BY 1
+  FROM t{year} LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 4) ON geoid = n_nationkey GROUP BY 1
 )"""
 
 

@@ -114,7 +114,7 @@ def city_stops(spark, folder):
         F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("X"),
         F.col("c_nationkey").cast("double").alias("Y"),
         F.col("c_mktsegment").alias("TYPE_Alt"),
-        F.when(F.col("c_nationkey") < 15, "inner").otherwise("outer").alias("Jurisdiction"),
+        F.when(F.col("c_acctbal") < 7000, "inner").otherwise("outer").alias("Jurisdiction"),
         F.col("c_custkey").alias("stop_id"),
     )
     return city_bus_stops(c, "inner", "build").select("stop_id", "X", "Y")
@@ -135,7 +135,7 @@ def recode_names(spark, folder):
 def recode_by_table(spark, folder):
     """The renaming as a table: nation keys to names, unknown ones kept."""
     c = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("place"))
-    n = table(spark, folder, "nation").where(F.col("n_nationkey") < 10).select(
+    n = table(spark, folder, "nation").where(F.col("n_regionkey") < 2).select(
         F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("label")
     )
     return recode_join(c, "place", n, "code", "label").groupBy("place").agg(F.count(F.lit(1)).alias("n"))
@@ -287,12 +287,12 @@ ORACLES = {
           UNION ALL SELECT n_name, n_name, replace(n_name, ' ', '') FROM nation)
         SELECT id, count(*) AS n, count(name) AS n_named, min(short_name) AS first_short FROM r GROUP BY id""",
     "city_stops": """SELECT c_custkey AS stop_id, c_acctbal AS X, CAST(c_nationkey AS DOUBLE) AS Y FROM customer
-        WHERE c_acctbal > 0 AND c_nationkey < 15 AND contains(upper(c_mktsegment), 'BUILD')""",
+        WHERE c_acctbal > 0 AND c_acctbal < 7000 AND contains(upper(c_mktsegment), 'BUILD')""",
     "recode_names": f"""WITH k AS (SELECT {_KINDS} AS kind, p_size FROM part)
         SELECT kind, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM k
         WHERE regexp_matches(kind, 'Basic|Sale|MEDIUM') GROUP BY kind""",
     "recode_by_table": """SELECT coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS place, count(*) AS n
-        FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) ON c_nationkey = n_nationkey
+        FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) ON c_nationkey = n_nationkey
         GROUP BY 1""",
     "slug_text": """SELECT p_partkey, lower(replace(p_name, ' ', '_')) AS join_name,
         CAST(len(regexp_extract_all(p_name, '\\w+')) AS BIGINT) AS words, replace(p_brand, 'Brand#', '') AS brand,

@@ -67,11 +67,13 @@ def last_stops(spark, folder):
 
 
 def planned(spark, folder):
-    """A static timetable: for half of the stops, the mean time of day of their reports."""
+    """A static timetable: the mean time of day at each stop; one route has none."""
     e = table(spark, folder, "events").select(
-        F.from_json("props", "k BIGINT")["k"].alias("stop"), micros_of_day(F.col("ts")).alias("day_us")
+        F.col("event_type").alias("route_id"),
+        F.from_json("props", "k BIGINT")["k"].alias("stop"),
+        micros_of_day(F.col("ts")).alias("day_us"),
     )
-    return e.where("stop < 50").groupBy("stop").agg(
+    return e.where("route_id <> 'error'").groupBy("route_id", "stop").agg(
         F.floor(F.sum(F.floor(F.col("day_us") / 1_000_000)) / F.count(F.lit(1))).alias("sched_secs")
     )
 
@@ -79,7 +81,7 @@ def planned(spark, folder):
 def _adherence(spark, folder, whole_seconds=False):
     secs = F.col("day_us") / 1_000_000
     events = event_stream(spark, folder).withColumn("obs_secs", F.floor(secs) if whole_seconds else secs)
-    return stream_adherence(events, planned(spark, folder), ["stop"], "sched_secs", "obs_secs")
+    return stream_adherence(events, planned(spark, folder), ["route_id", "stop"], "sched_secs", "obs_secs")
 
 
 FLAGS = ["on_time", "on_time_5", "on_time_4", "on_time_20", "late", "late_5", "late_4", "late_20", "early", "early_1"]
@@ -218,9 +220,10 @@ WITH e AS (
 """
 def _planned_sql(observed: str) -> str:
     return f"""{_EVENTS}, planned AS (
-  SELECT stop, CAST(sum(day_us // 1000000) AS BIGINT) // count(*) AS sched_secs FROM e WHERE stop < 50 GROUP BY stop
+  SELECT route_id, stop, CAST(sum(day_us // 1000000) AS BIGINT) // count(*) AS sched_secs FROM e
+  WHERE route_id <> 'error' GROUP BY route_id, stop
 ), a AS (
-  SELECT e.*, {observed} - sched_secs AS delay FROM e LEFT JOIN planned ON e.stop = planned.stop
+  SELECT e.*, {observed} - sched_secs AS delay FROM e LEFT JOIN planned ON e.stop = planned.stop AND e.route_id = planned.route_id
 ), f AS (
   SELECT *, delay BETWEEN -120 AND 420 AS on_time, delay BETWEEN -60 AND 300 AS on_time_5,
          delay BETWEEN -60 AND 240 AS on_time_4, delay <= 1200 AS on_time_20, delay > 420 AS late,

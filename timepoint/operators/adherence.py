@@ -46,22 +46,34 @@ def match_schedule(
     observed: DataFrame,
     keys: Sequence[str],
     scheduled: str,
-    how: str = "left",
+    split_hot: bool = True,
 ) -> DataFrame:
     """Timetable rows with a scheduled time, left-joined to what was observed.
 
     Rows nobody observed stay: they are the buses that never came.  Both sides
-    cast the keys to text, because ids come as numbers from one source and as
-    text from the other.  No join hint: the planner broadcasts a side only when
-    its measured size allows it, and splits hot keys otherwise.
+    compare the keys as text where their types differ, because ids come as
+    numbers from one source and as text from the other.  No join hint: the
+    planner broadcasts a side only when its measured size allows it.
+
+    An outer join can be split on its left side only, and it is the sightings
+    that pile up on one key (vehicles without a real trip id).  So the matched
+    rows come from an inner join, which adaptive execution splits on either
+    side, and the others from an anti join with the distinct keys.  With
+    ``split_hot`` off it is one outer join, for sightings known to be even.
     """
+    keys = list(keys)
     left = timetable.where(F.col(scheduled).isNotNull())
     right = observed
     for key in keys:
         if left.schema[key].dataType != right.schema[key].dataType:
             left = left.withColumn(key, F.col(key).cast("string"))
             right = right.withColumn(key, F.col(key).cast("string"))
-    return left.join(right, list(keys), how).withColumn("planned", F.col(scheduled).isNotNull())
+    if split_hot:
+        missing = left.join(right.select(*keys).distinct(), keys, "left_anti")
+        joined = left.join(right, keys, "inner").unionByName(missing, allowMissingColumns=True)
+    else:
+        joined = left.join(right, keys, "left")
+    return joined.withColumn("planned", F.col(scheduled).isNotNull())
 
 
 def add_delay(df: DataFrame, scheduled: str, observed: str, out: str = "delay") -> DataFrame:
