@@ -57,16 +57,16 @@ def _by_route(spark, folder, tag, zone=False, scope="route"):
 
 
 def ride_time(spark, folder):
-    return rounded(_by_route(spark, folder, MORNING_TAG), 6, CLOCKS)
+    return _by_route(spark, folder, MORNING_TAG)
 
 
 def ride_time_table_scope(spark, folder):
     """Last stop by the highest number of the whole table, as the published code has it."""
-    return rounded(_by_route(spark, folder, MORNING_TAG, scope="table"), 6, CLOCKS)
+    return _by_route(spark, folder, MORNING_TAG, scope="table")
 
 
 def ride_time_one_file(spark, folder):
-    return rounded(one_file_per_route(_by_route(spark, folder, AFTERNOON_TAG)), 6, CLOCKS)
+    return one_file_per_route(_by_route(spark, folder, AFTERNOON_TAG))
 
 
 def _total(spark, folder, tag, zone, weighted):
@@ -123,23 +123,23 @@ WITH st AS (
 def _routes_sql(tag: str, zone: bool, last: str = "max_stop") -> str:
     tagged = f"contains(route, '{tag}')" if tag else "NOT regexp_matches(route, ' AM| PM')"
     return f"""valid AS (
-  SELECT *, (max_secs - secs) / 60 AS minutes FROM spanned
+  SELECT *, max_secs - secs AS ride FROM spanned
   WHERE {tagged} AND {'' if zone else 'NOT '}contains(route, 'NON-TRANSPORTED ZONE')
     AND NOT (stop = 1 AND students = 0) AND NOT (stop = {last} AND students = 0)
     AND location <> '**RAILROAD CROSSING - PROCEED WITH CAUTION**'
 ), routes AS (
-  SELECT route, source_file, sum(minutes * students) / sum(students) AS avg_time,
-         avg(minutes) AS unweighted_avg_time, sum(secs * students) / sum(students) AS avg_boarding_time,
+  SELECT route, source_file, sum(ride * students) / sum(students) / 60 AS avg_time,
+         avg(ride) / 60 AS unweighted_avg_time, sum(secs * students) / sum(students) AS avg_boarding_time,
          sum(max_secs * students) / sum(students) AS avg_alighting_time, sum(students) AS students
   FROM valid WHERE students > 0 GROUP BY route, source_file
-  HAVING sum(minutes * students) / sum(students) > 1
+  HAVING sum(ride * students) / sum(students) / 60 > 1
 ), one AS (
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY source_file) AS rn FROM routes)
   WHERE rn = 1
 )"""
 
 
-_CLOCKS = ", ".join(f"round({c}, 6) AS {c}" for c in CLOCKS)
+_CLOCKS = ", ".join(CLOCKS)
 
 
 def _total_sql(tag: str, zone: bool, weighted: bool) -> str:

@@ -63,10 +63,11 @@ def ride_time_by_route(valid: DataFrame, keys: Sequence[str] = ROUTE_KEYS, min_m
     """Minutes to the last stop, weighted by the students who board."""
     boards = F.col("students") > 0
     weight = F.when(boards, F.col("students"))
-    minutes = (F.col("max_time") - F.col("time")) / 60
+    # Whole seconds are summed exactly; minutes come at the end.
+    ride = F.col("max_time") - F.col("time")
     routes = valid.groupBy(*keys).agg(
-        weighted_mean(minutes, weight).alias("avg_time"),
-        F.avg(F.when(boards, minutes)).alias("unweighted_avg_time"),
+        (weighted_mean(ride, weight) / 60).alias("avg_time"),
+        (F.avg(F.when(boards, ride)) / 60).alias("unweighted_avg_time"),
         weighted_mean(F.col("time"), weight).alias("avg_boarding_time"),
         weighted_mean(F.col("max_time"), weight).alias("avg_alighting_time"),
         F.coalesce(F.sum(weight), F.lit(0)).alias("students"),
