@@ -111,6 +111,62 @@ def test_unmatched_rows_stay_and_key_types_meet(spark):
     assert [(r.trip, r.obs, r.planned) for r in got] == [("1", 110, True), ("1", 120, True), ("2", None, True)]
 
 
+@given(
+    tt=st.lists(st.tuples(st.integers(0, 4), st.one_of(st.none(), st.integers(0, 9))), min_size=1, max_size=12),
+    ev=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)), st.integers(0, 9)), max_size=12),
+)
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+def test_split_match_equals_the_outer_join(spark, tt, ev):
+    a = spark.createDataFrame(tt, "k INT, sched INT")
+    b = spark.createDataFrame(ev, "k INT, obs INT")
+    split = match_schedule(a, b, ["k"], "sched")
+    whole = match_schedule(a, b, ["k"], "sched", split_hot=False)
+    assert sorted(map(str, split.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
+@pytest.fixture
+def tight(spark):
+    """Thresholds at which small test data counts as skewed; nothing is broadcast."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot(spark):
+    """A third of the rows on one key."""
+    return spark.range(0, 200_000, 1, 8).selectExpr("id", "IF(id % 3 = 0, 0, id % 5000) AS k", "id * 7 % 86400 AS at")
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split(spark, tight):
+    df = hot(spark)
+    assert "skew=true" in final_plan(trip_coverage(df.withColumn("row", F.col("at")), ["k"], "row", "at"))
+    tt = spark.range(5000).selectExpr("id AS k", "id AS sched")
+    assert "skew=true" in final_plan(match_schedule(tt, df.withColumnRenamed("at", "obs"), ["k"], "sched"))
+
+
+def test_hot_groups_are_ordered_in_pieces(spark):
+    df = previous_value(hot(spark), ["k"], "at", "p", ["id"], F.floor(F.col("at") / 3600))
+    plan = final_plan(df)
+    # All rows move by (group, piece); only the borders of the pieces move by group.
+    assert "hashpartitioning(k" in plan and "_chunk" in plan.split("hashpartitioning(k", 1)[1].split(")")[0]
+    assert df.where("p IS NULL").count() == hot(spark).select("k").distinct().count()
+
+
 rows_strategy = st.lists(
     st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-40, 40))), min_size=1, max_size=40
 )

@@ -119,6 +119,8 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in set(keys)]
+    if not rest:
+        return df.distinct()
     row = F.struct(*rest)
     best = df.groupBy(*keys).agg(pick(row, F.struct(*order)).alias("_row"))
     return best.select(*[c if c in set(keys) else F.col("_row")[c].alias(c) for c in df.columns])
