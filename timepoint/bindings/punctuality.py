@@ -18,6 +18,7 @@ from timepoint.operators.adherence import (
     late_early_flags,
     match_schedule,
     minutes_late,
+    missing_buses,
     on_time_bounds,
     on_time_flags,
 )
@@ -228,6 +229,12 @@ def headway_flag_rows(spark, folder):
     )
 
 
+def never_came(spark, folder):
+    """Trips nobody saw, by line."""
+    gone = missing_buses(timetable(spark, folder), sightings(spark, folder), ["trip_id"])
+    return gone.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"), F.min("trip_id").alias("first_trip"))
+
+
 def fan_out_check(spark, folder):
     """How far rows observed exceed stops planned, by line (several vehicles on one trip)."""
     df = adherence(spark, folder)
@@ -249,6 +256,7 @@ QUERIES = {
     "trip_coverage": trip_coverage_rows,
     "headway_flags": headway_flag_rows,
     "match_fan_out": fan_out_check,
+    "missing_buses": never_came,
 }
 
 DAILY_OUT = """
@@ -263,6 +271,8 @@ DAILY_OUT = """
 """
 
 ORACLES = {
+    "missing_buses": """SELECT o_orderpriority AS route_id, count(*) AS n, min(o_orderkey) AS first_trip FROM orders
+        WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1""",
     "otp_system": f"{ADHERENCE_SQL}, {daily_sql('')} {period_sql('')}",
     "otp_by_line": f"""{ADHERENCE_SQL}, {daily_sql(', route_id')}, period AS ({period_sql(', route_id')})
         SELECT period.*, regexp_replace(route_id, '^[0-9]-', '') AS line_name FROM period""",

@@ -69,13 +69,21 @@ def match_schedule(
             left = left.withColumn(key, F.col(key).cast("string"))
             right = right.withColumn(key, F.col(key).cast("string"))
     if split_hot:
-        missing = left.join(right.select(*keys).distinct(), keys, "left_anti")
+        missing = missing_buses(left, right, keys)
         joined = left.join(right, keys, "inner").unionByName(missing, allowMissingColumns=True)
     else:
         joined = left.join(right, keys, "left")
     return joined.withColumn("planned", F.col(scheduled).isNotNull())
 
 
+def missing_buses(timetable: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Timetable rows nobody observed: the closing batch of a streamed day.
+
+    The distinct keys are combined before they are shuffled.
+    """
+    return timetable.join(seen.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def add_delay(df: DataFrame, scheduled: str, observed: str, out: str = "delay") -> DataFrame:
     """Signed delay, computed once; every flag below reads it."""
     return df.withColumn(out, F.col(observed) - F.col(scheduled))

@@ -58,7 +58,8 @@ def stream_adherence(
     """Stop events against the static timetable, from the event side.
 
     Events without a scheduled time keep NULL flags.  Missing buses cannot show
-    up here; the closing batch of the day adds them.
+    up here; the closing batch of the day adds them (``missing_buses`` on the
+    landed events).
     """
     joined = events.join(timetable, list(keys), "left")
     return (
