@@ -203,7 +203,7 @@ def test_county_crosswalk_legs_cells(spark, tmp_path):
 
 def test_enrollment_file(spark, tmp_path):
     (tmp_path / "e.csv").write_text(
-        "Banner,,,,\nof,,,,\nfive,,,,\nlines,,,,\nhere,,,,\n"
+        "Heading,,,,\nof,,,,\nfive,,,,\nlines,,,,\nhere,,,,\n"
         "Prog No,Program,Enrollment,24510010100,24510010200\np1,\"High, East\",40,12,*\n"
     )
     ids = ["prog_no", "program", "enrollment"]

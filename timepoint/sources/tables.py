@@ -87,19 +87,19 @@ def enrollment_numbers(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in wide})
 
 
-def read_enrollment_wide(spark: SparkSession, path: str, ids: Sequence[str], banner_rows: int = 5) -> DataFrame:
-    """The wide enrolment table behind its banner rows.
+def read_enrollment_wide(spark: SparkSession, path: str, ids: Sequence[str], heading_rows: int = 5) -> DataFrame:
+    """The wide enrolment table behind its heading rows.
 
     Which columns exist is only known from the header line, so that one line is
     read first; the rows are then parsed as text under these names.
     """
     lines = spark.read.text(path)
-    header = lines.limit(banner_rows + 1).tail(1)[0].value
+    header = lines.limit(heading_rows + 1).tail(1)[0].value
     columns = next(csv.reader([header]))
     schema = ", ".join(f"c{i} STRING" for i in range(len(columns)))
     parsed = lines.select(F.from_csv("value", schema).alias("r")).select("r.*")
     wide = clean_names(parsed.toDF(*columns))
-    # Banner and header lines carry no number in the last id column.
+    # Heading and header lines carry no number in the last id column.
     return enrollment_numbers(wide.where(F.col(ids[-1]).try_cast("double").isNotNull()), ids)
 
 
