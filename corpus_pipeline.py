@@ -9,11 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timepoint.llm import bpe, decontaminate, simhash
+from timepoint.llm import decontaminate, quality, secrets, simhash
 from timepoint.llm.common import column, free_name, table, written
 from timepoint.llm.queries import encoded_digests, vocabulary
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
+
+
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     return simhash.keep_one(docs)
@@ -26,14 +31,27 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return marked.where(F.size(column(marked, found)["first"]) == 0).select(docs.columns)
 
 
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark, and n_chars follows; texts without one stay as they are."""
+    spans = free_name(docs, "spans")
+    found = secrets.with_secrets(docs, spans)
+    some = F.size(column(found, spans)) > 0
+    text = F.when(some, secrets.redacted(column(found, "text"), column(found, spans))).otherwise(column(found, "text"))
+    cut = found.withColumn("text", text)
+    n_chars = F.when(F.size(column(cut, spans)) > 0, F.length(column(cut, "text")).cast(docs.schema["n_chars"].dataType))
+    return cut.withColumn("n_chars", F.coalesce(n_chars, column(cut, "n_chars"))).select(docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of each text, with digests of them and of what they decode to."""
     return encoded_digests(docs, vocabulary())
 
 
 STAGES = [
+    ("quality rules", good_quality),
     ("simhash near-dedup", one_of_near_copies),
     ("benchmark decontamination", without_benchmark),
+    ("secret scan", without_secrets),
     ("bpe encoding", encode),
 ]
 

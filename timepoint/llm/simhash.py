@@ -142,7 +142,7 @@ def near_blocks(numbered: DataFrame, total: int, distance: int) -> DataFrame:
     """Pairs of blocks (a < b) that may hold fingerprints within the distance, by descent through the nodes."""
     leaves = numbered.select("node", "shared", "value")
     levels = max(1, math.ceil(math.log(max(total, 2), 1 << FANOUT_BITS)))
-    pairs = numbered.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    pairs = numbered.sparkSession.createDataFrame([(0, 0)], "a bigint, b bigint")
     for level in range(levels - 1, -1, -1):
         up = FANOUT_BITS * level
         nodes = leaves
