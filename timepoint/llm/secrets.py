@@ -37,6 +37,7 @@ ORDINARY = 20_000
 ALPHA = 0.05
 MIN_LENGTH = 16
 THRESHOLD = 0.5
+DEVIATIONS = 3.0
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
@@ -157,9 +158,12 @@ class Automaton:
         self.states = red
 
     def score(self, sequence: str) -> float:
-        """Log-likelihood with add-half smoothing; an unknown edge falls back to the start."""
+        """Log-likelihood of the characters with add-half smoothing; an unknown edge falls back to the start.
+
+        The stop is left out: how long a credential is belongs to the candidate rule, not to its format.
+        """
         total, state = 0.0, 0
-        for c in [*sequence, END]:
+        for c in sequence:
             out = self.out[state]
             total += math.log((out[c] + 0.5) / (out.total() + 4))
             state = self.to[state].get(c, 0)
@@ -177,35 +181,43 @@ class Bigrams:
 
     def score(self, sequence: str) -> float:
         total = 0.0
-        for a, b in zip(f"{END}{sequence}", f"{sequence}{END}"):
+        for a, b in zip(f"{END}{sequence}", sequence):
             seen = self.after.get(a, Counter())
             total += math.log((seen[b] + 0.5) / (seen.total() + 4))
         return total
 
 
 class Model:
-    """Automata of the kinds, the lowest score of each that still counts, and the model of ordinary tokens."""
+    """Automata of the kinds, how their credentials' scores spread, and the model of ordinary tokens."""
 
     def __init__(self, labelled: list[tuple[str, str]], ordinary: list[str], threshold: float = THRESHOLD, alpha: float = ALPHA):
         by_kind: dict[str, list[str]] = defaultdict(list)
         for kind, value in sorted(labelled):
             by_kind[kind].append(classes(value))
         self.automata = {k: Automaton(v, alpha) for k, v in sorted(by_kind.items())}
-        self.lowest = {k: self._low([self.automata[k].score(s) / len(s) for s in v]) for k, v in by_kind.items()}
+        self.spread = {k: self._spread(self.automata[k], v) for k, v in by_kind.items()}
         self.ordinary = Bigrams([classes(t) for t in ordinary])
         self.threshold = threshold
 
     @staticmethod
-    def _low(scores: list[float]) -> float:
-        return sorted(scores)[len(scores) // 100]
+    def _spread(automaton: Automaton, sequences: list[str]) -> tuple[float, float]:
+        """Mean score per character, and its standard deviation for a single character."""
+        scores = [(automaton.score(s) / len(s), len(s)) for s in sequences]
+        mean = sum(x for x, _ in scores) / len(scores)
+        return mean, math.sqrt(sum((x - mean) ** 2 * n for x, n in scores) / len(scores))
+
+    def _lowest(self, kind: str, length: int) -> float:
+        """The least score per character that all but the oddest credentials of that length have."""
+        mean, one = self.spread[kind]
+        return mean - DEVIATIONS * one / math.sqrt(length)
 
     def kind(self, token: str) -> str | None:
-        """The kind whose format the token has most likely, if any: as likely as all but the oddest labelled ones, and
+        """The kind whose format the token has most likely, if any: as likely as all but the oddest credentials, and
         likelier than an ordinary token by the threshold."""
         sequence = classes(token)
         plain = self.ordinary.score(sequence) / len(sequence)
         scored = [(a.score(sequence) / len(sequence), k) for k, a in self.automata.items()]
-        fit = [(s, k) for s, k in scored if s >= self.lowest[k] and s - plain >= self.threshold]
+        fit = [(s, k) for s, k in scored if s >= self._lowest(k, len(sequence)) and s - plain >= self.threshold]
         return max(fit)[1] if fit else None
 
 
