@@ -204,11 +204,24 @@ def test_county_crosswalk_legs_cells(spark, tmp_path):
 def test_enrollment_file(spark, tmp_path):
     (tmp_path / "e.csv").write_text(
         "Heading,,,,\nof,,,,\nfive,,,,\nlines,,,,\nhere,,,,\n"
-        "Prog No,Program,Enrollment,24510010100,24510010200\np1,\"High, East\",40,12,*\n"
+        "Prog No,Program,Enrollment,24510010100,24510010200\np1,\"High, East\",40,12,*\np2,West,*,7,\np3,South,,,3\n\n"
     )
     ids = ["prog_no", "program", "enrollment"]
-    row = tables.read_enrollment_wide(spark, str(tmp_path / "e.csv"), ids).collect()
-    assert [tuple(r) for r in row] == [("p1", "High, East", "40", 12.0, None)]
+    rows = tables.read_enrollment_wide(spark, str(tmp_path / "e.csv"), ids).orderBy("prog_no").collect()
+    assert [tuple(r) for r in rows] == [
+        ("p1", "High, East", "40", 12.0, None), ("p2", "West", "*", 7.0, None), ("p3", "South", None, None, 3.0)
+    ]
+
+
+def test_enrollment_folder(spark, tmp_path):
+    """Each file has its own heading; one with another header is an error."""
+    for i in (1, 2):
+        (tmp_path / f"{i}.csv").write_text("h\n\nId,N\n" + "\n".join(f"{i}{k},*" for k in range(3)))
+    rows = tables.read_enrollment_wide(spark, str(tmp_path), ["id"], heading_rows=2).collect()
+    assert sorted(tuple(r) for r in rows) == [(f"{i}{k}", None) for i in (1, 2) for k in range(3)]
+    (tmp_path / "3.csv").write_text("h\n\nId,M\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        tables.read_enrollment_wide(spark, str(tmp_path), ["id"], heading_rows=2)
 
 
 def test_attendance(spark, tmp_path):

@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -73,6 +73,9 @@ coords = st.lists(st.tuples(st.floats(-3, 3), st.floats(-3, 3)), min_size=1, max
 
 
 @given(a=coords, b=coords, radius=st.sampled_from([0.1, 0.7, 2.0]), salts=st.sampled_from([1, 3]))
+@example(a=[(0.0, 2.0)], b=[(0.0, -2.4085436815657093e-203)], radius=2.0, salts=1)
+@example(a=[(1e9 + 0.7, 3e12)], b=[(1e9, 3e12 - 0.7)], radius=0.7, salts=1)
+@example(a=[(123456789.1, 0.0)], b=[(123456789.0, 0.0)], radius=0.1, salts=1)
 @SLOW
 def test_distance_join_equals_all_pairs(spark, a, b, radius, salts):
     pts = points(spark, a)

@@ -16,6 +16,8 @@ from timepoint.streaming.feed import (
     stream_otp,
     stream_pings,
     stream_stop_events,
+    with_dead_windows,
+    with_open_windows,
 )
 
 SCHEMA = "id INT, vehicle STRING, trip STRING, ts TIMESTAMP, speed DOUBLE"
@@ -138,3 +140,14 @@ def test_landing_folder_as_stream(spark, tmp_path):
 def test_flags_of_the_stream_are_those_of_the_batch(spark):
     df = spark.createDataFrame([(420,), (421,)], "delay INT")
     assert [r.on_time for r in on_time_flags(df).collect()] == [True, False]
+
+
+def test_dead_and_open_windows(spark):
+    polls = spark.sql("SELECT timestamp'2024-08-26 05:10:00' AS ts UNION ALL SELECT timestamp'2024-08-26 07:20:00'")
+    closed = feed_gap_monitor(polls.limit(1), "ts", "1 hour", 3)
+    rows = with_open_windows(closed, polls, lambda df: feed_gap_monitor(df, "ts", "1 hour", 3), "ts")
+    got = {r.span.start.hour: (r.n, r.missing, r.share) for r in with_dead_windows(rows).collect()}
+    assert got == {5: (1, 2, 1 / 3), 6: (0, 3, 0.0), 7: (1, 2, 1 / 3)}
+    none = closed.limit(0)
+    again = with_open_windows(none, polls, lambda df: feed_gap_monitor(df, "ts", "1 hour", 3), "ts")
+    assert again.count() == 2 and with_dead_windows(none).count() == 0

@@ -1,7 +1,7 @@
 """Events replayed as a stream, and results written and read back.
 
-A stream keeps its last window open until a later row passes the watermark, so
-these queries and their SQL look at closed windows only.
+A stream keeps its last windows open until a later row passes the watermark;
+those come from a closing batch over the landed rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from timepoint.streaming.feed import (
     stream_headway,
     stream_otp,
     stream_stop_events,
+    with_dead_windows,
+    with_open_windows,
 )
 
 DELAY = "1 hour"
@@ -35,8 +37,16 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return stream.select(
+    return reports(spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder))
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows at rest."""
+    return reports(table(spark, folder, "events"))
+
+
+def reports(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").alias("vehicle_id"),
@@ -59,9 +69,12 @@ def dedup(spark, folder):
 
 
 def last_stops(spark, folder):
-    once = stream_dedup(twice(spark, folder), ["event_id"], "ts", DELAY)
-    keyed = once.select("vehicle_id", "ts", "event_id", "route_id", "at_us")
-    rows = run_to_table(stream_stop_events(keyed, ["vehicle_id"], "ts", ["event_id"]), "stops")
+    def last(df: DataFrame) -> DataFrame:
+        keyed = df.select("vehicle_id", "ts", "event_id", "route_id", "at_us")
+        return stream_stop_events(keyed, ["vehicle_id"], "ts", ["event_id"])
+
+    closed = run_to_table(last(stream_dedup(twice(spark, folder), ["event_id"], "ts", DELAY)), "stops")
+    rows = with_open_windows(closed, landed(spark, folder), last, "ts")
     return rows.select("vehicle_id", F.col("span.start").cast("date").cast("string").alias("service_date"),
                        "event_id", "route_id", "at_us")
 
@@ -78,23 +91,26 @@ def planned(spark, folder):
     )
 
 
-def _adherence(spark, folder, whole_seconds=False):
+def _adherence(spark, folder, events, whole_seconds=False):
     secs = F.col("day_us") / 1_000_000
-    events = event_stream(spark, folder).withColumn("obs_secs", F.floor(secs) if whole_seconds else secs)
-    return stream_adherence(events, planned(spark, folder), ["route_id", "stop"], "sched_secs", "obs_secs")
+    timed = events.withColumn("obs_secs", F.floor(secs) if whole_seconds else secs)
+    return stream_adherence(timed, planned(spark, folder), ["route_id", "stop"], "sched_secs", "obs_secs")
 
 
 FLAGS = ["on_time", "on_time_5", "on_time_4", "on_time_20", "late", "late_5", "late_4", "late_20", "early", "early_1"]
 
 
 def adherence_rows(spark, folder):
-    return run_to_table(_adherence(spark, folder).select("event_id", "stop", *FLAGS), "adherence")
+    return run_to_table(_adherence(spark, folder, event_stream(spark, folder)).select("event_id", "stop", *FLAGS), "adherence")
 
 
 def otp_windows(spark, folder):
-    # Whole seconds, so that sums of delays are exact in any order.
-    whole = _adherence(spark, folder, whole_seconds=True)
-    rows = run_to_table(stream_otp(whole.withWatermark("ts", DELAY), "ts", ["route_id"]), "otp")
+    def rates(df: DataFrame) -> DataFrame:
+        # Whole seconds, so that sums of delays are exact in any order.
+        return stream_otp(_adherence(spark, folder, df, whole_seconds=True), "ts", ["route_id"])
+
+    closed = run_to_table(rates(event_stream(spark, folder).withWatermark("ts", DELAY)), "otp")
+    rows = with_open_windows(closed, landed(spark, folder), rates, "ts")
     return rows.select(F.col("span.start").cast("string").alias("start"), *[c for c in rows.columns if c != "span"])
 
 
@@ -110,8 +126,13 @@ def headways(spark, folder):
 
 
 def gap_monitor(spark, folder):
-    df = event_stream(spark, folder).withWatermark("ts", DELAY).select("ts")
-    rows = run_to_table(feed_gap_monitor(df, "ts", "1 hour", 15), "gaps")
+    """Windows so short that in some no report came."""
+
+    def gaps(df: DataFrame) -> DataFrame:
+        return feed_gap_monitor(df.select("ts"), "ts", "10 minutes", 3)
+
+    closed = run_to_table(gaps(event_stream(spark, folder).withWatermark("ts", DELAY)), "gaps")
+    rows = with_dead_windows(with_open_windows(closed, landed(spark, folder), gaps, "ts"), "10 minutes")
     return rows.select(F.col("span.start").cast("string").alias("start"), "n", "expected", "missing", "share")
 
 
@@ -219,7 +240,7 @@ WITH e AS (
          CAST(json_extract(props, '$.k') AS BIGINT) AS stop, epoch_us(ts) AS at_us,
          epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS day_us
   FROM events
-), mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS t FROM events)
+)
 """
 def _planned_sql(observed: str) -> str:
     return f"""{_EVENTS}, planned AS (
@@ -245,19 +266,22 @@ ORACLES = {
     "stream_stop_events": f"""{_EVENTS}, r AS (SELECT *, row_number() OVER (
           PARTITION BY vehicle_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM e)
         SELECT vehicle_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS service_date, event_id, route_id, at_us
-        FROM r, mark WHERE rn = 1 AND CAST(ts AS DATE) + INTERVAL 1 DAY <= t""",
+        FROM r WHERE rn = 1""",
     "stream_adherence": f"{_PLANNED} SELECT event_id, stop, {', '.join(FLAGS)} FROM f",
     "stream_otp": f"""{_PLANNED_WHOLE} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, route_id,
         count(*) AS n, count(delay) AS n_scheduled,
         avg(CAST(on_time AS INT)) AS on_time_perc, avg(CAST(on_time_5 AS INT)) AS on_time_perc_5,
         avg(CAST(on_time_4 AS INT)) AS on_time_perc_4,
         avg(CAST(on_time_20 AS INT)) AS on_time_perc_20, avg(delay) AS mean_delay
-        FROM f, mark WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= t GROUP BY 1, 2""",
+        FROM f GROUP BY 1, 2""",
     "stream_headway": f"""{_EVENTS} SELECT event_id, route_id, at_us - lag(at_us) OVER (
         PARTITION BY route_id, CAST(ts AS DATE) ORDER BY at_us, event_id) AS headway_us FROM e""",
-    "feed_gap_monitor": f"""{_EVENTS} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start,
-        count(*) AS n, CAST(15 AS BIGINT) AS expected, greatest(15 - count(*), 0) AS missing,
-        count(*) / 15 AS share FROM e, mark WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= t GROUP BY 1""",
+    "feed_gap_monitor": f"""{_EVENTS}, c AS (
+          SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n FROM e GROUP BY 1
+        ), spine AS (SELECT unnest(generate_series(min(start), max(start), INTERVAL 10 MINUTE)) AS start FROM c)
+        SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, coalesce(n, 0) AS n, CAST(3 AS BIGINT) AS expected,
+               greatest(3 - coalesce(n, 0), 0) AS missing, coalesce(n, 0) / 3 AS share
+        FROM spine LEFT JOIN c USING (start)""",
     "stream_landing": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, hour(ts) AS hour, count(*) AS n
         FROM events GROUP BY 1, 2""",
     "daily_tables": f"""{ADHERENCE_SQL}, {daily_sql('')}

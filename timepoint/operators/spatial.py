@@ -61,15 +61,15 @@ def within_distance_join(
     """
     p = [F.col(c) for c in point_xy]
     t = [F.col("_sj_tx"), F.col("_sj_ty")]
-    # A hair wider than the radius, so that rounding cannot skip a cell.
-    size = radius * (1 + 1e-9) if metres else radius
     near = targets.withColumnsRenamed({target_xy[0]: "_sj_tx", target_xy[1]: "_sj_ty"})
     axes = list(zip(sphere_axes(*p), sphere_axes(*t))) if metres else list(zip(p, t))
-    around = [F.lit(i) for i in (-1, 0, 1)]
     placed, cond = points, None
     for i, (a, b) in enumerate(axes):
-        placed = placed.withColumn(f"_sj_p{i}", cell(a, size))
-        near = near.withColumn(f"_sj_t{i}", F.explode(F.array(*[cell(b, size) + n for n in around])))
+        # Wider than the radius by what rounding can take from a difference of the two, so that no cell is skipped:
+        # where the test passes, a lies between b - reach and b + reach, and cells never fall as values rise.
+        reach = F.lit(radius * (1 + 1e-9) + 1e-6) if metres else (F.abs(b) + radius) * 1e-14 + radius
+        placed = placed.withColumn(f"_sj_p{i}", cell(a, radius))
+        near = near.withColumn(f"_sj_t{i}", F.explode(cell_range(b - reach, b + reach, radius)))
         same = F.col(f"_sj_p{i}") == F.col(f"_sj_t{i}")
         cond = same if cond is None else cond & same
     placed, near, salt = _with_salt(placed, near, salts, points.columns)

@@ -88,19 +88,28 @@ def enrollment_numbers(df: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def read_enrollment_wide(spark: SparkSession, path: str, ids: Sequence[str], heading_rows: int = 5) -> DataFrame:
-    """The wide enrolment table behind its heading rows.
+    """The wide enrolment table behind its heading rows; every row after them stays, whatever is masked in it.
 
-    Which columns exist is only known from the header line, so that one line is
-    read first; the rows are then parsed as text under these names.
+    Heading and header lines are told by their place in the file.  Which columns exist is only known from the header
+    line, so that one line of each file is read first; all files must have the same.
     """
-    lines = spark.read.text(path)
-    header = lines.limit(heading_rows + 1).tail(1)[0].value
-    columns = next(csv.reader([header]))
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    # A file's first lines are in its first block, and lines of a block are numbered in order.
+    starts = lines.where("_block = 0").groupBy("_file").agg(F.min("_line").alias("_first"))
+    placed = lines.join(F.broadcast(starts), "_file").withColumn("_at", F.col("_line") - F.col("_first"))
+    in_head = (F.col("_block") == 0) & (F.col("_at") <= heading_rows)
+    headers = [r.value for r in placed.where(in_head & (F.col("_at") == heading_rows)).select("value").distinct().take(2)]
+    if len(headers) != 1:
+        raise ValueError(f"{path}: {'no header line' if not headers else 'files with different headers'}")
+    columns = next(csv.reader(headers))
     schema = ", ".join(f"c{i} STRING" for i in range(len(columns)))
-    parsed = lines.select(F.from_csv("value", schema).alias("r")).select("r.*")
-    wide = clean_names(parsed.toDF(*columns))
-    # Heading and header lines carry no number in the last id column.
-    return enrollment_numbers(wide.where(F.col(ids[-1]).try_cast("double").isNotNull()), ids)
+    parsed = placed.where(~in_head & (F.trim("value") != "")).select(F.from_csv("value", schema).alias("r")).select("r.*")
+    return enrollment_numbers(clean_names(parsed.toDF(*columns)), ids)
 
 
 def read_attendance(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ not allowed, so local times are carried beside the instant.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +85,7 @@ def stream_otp(adherence: DataFrame, event_time: str, by: Sequence[str] = (), wi
 def feed_gap_monitor(
     polls: DataFrame, event_time: str, width: str = "1 hour", expected: int = 3600 // POLL_SECONDS
 ) -> DataFrame:
-    """Polls per window against the number there should be."""
+    """Polls per window against the number there should be; ``with_dead_windows`` adds windows without any poll."""
     counts = polls.groupBy(F.window(event_time, width).alias("span")).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumns(
         {
@@ -96,6 +96,30 @@ def feed_gap_monitor(
     )
 
 
+def with_open_windows(
+    closed: DataFrame, landed: DataFrame, aggregate: Callable[[DataFrame], DataFrame], event_time: str
+) -> DataFrame:
+    """Windows a stream has given out, and those its watermark has not passed yet, from the landed rows.
+
+    ``aggregate`` is the stream's own aggregation.  Windows close in order, so
+    the rows of open ones are those from the end of the last closed window on.
+    """
+    end = closed.agg(F.max("span.end")).scalar()
+    still_open = landed.where(end.isNull() | (F.col(event_time) >= end))
+    return closed.unionByName(aggregate(still_open))
+
+
+def with_dead_windows(windows: DataFrame, width: str = "1 hour") -> DataFrame:
+    """``feed_gap_monitor`` rows with those of windows in which no poll came at all, from the first window to the last."""
+    step = F.expr(f"INTERVAL {width}")
+    ends = windows.agg(F.min("span.start").alias("first"), F.max("span.start").alias("last"), F.max("expected").alias("expected"))
+    spine = ends.where("first IS NOT NULL").select(F.explode(F.sequence("first", "last", step)).alias("start"), "expected")
+    span = F.struct(F.col("start"), (F.col("start") + step).alias("end")).cast(windows.schema["span"].dataType)
+    spine = spine.select(span.alias("span"), F.lit(0).cast("bigint").alias("n"), "expected")
+    dead = spine.join(windows.select("span"), "span", "left_anti")
+    return windows.unionByName(dead.select("span", "n", "expected", F.col("expected").alias("missing"), F.lit(0.0).alias("share")))
+
+
 def stream_headway(
     df: DataFrame,
     keys: Sequence[str],
