@@ -45,8 +45,9 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS))
     listed = lambda spans: F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        "doc_id", *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
         joined_digest(listed(base)).alias("base_sha256"), F.concat_ws(",", listed(F.col("spans"))).alias("spans"),
     )
 
