@@ -17,8 +17,11 @@ from __future__ import annotations
 import heapq
 import unicodedata
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from timepoint.llm.common import load_json
 
 LONG = 200
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+ROWS = 256
 NO_RANK = 1 << 60
 # White space as the file's patterns mean it; Python's own class has four control characters more.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -55,40 +59,79 @@ class WordCoder:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}"))
         self.letters = byte_letters()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Words(self)
+        self.listed = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.string())
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text, four bytes each."""
         if not text:
-            return []
-        out: list[int] = []
+            return b""
+        out = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(np.int32(self.special[part]).tobytes())
                 continue
-            # Lower case goes by character, so a capital sigma never becomes the final one.
             # White space only parts words, so the file's replacement of it changes nothing.
+            # Lower case goes by character, so a capital sigma never becomes the final one.
             plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            known = self.known
-            for word in self.split.findall(plain):
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.word(word)
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    if len(word) <= LONG:
-                        known[word] = ids
-                out += ids
-        return out
-
-    def word(self, word: str) -> tuple[int, ...]:
+            out += map(self.known.__getitem__, self.split.findall(plain))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def word(self, word: str) -> bytes:
         text = "".join([self.letters[b] for b in word.encode()])
         parts = merged_long if len(text) > LONG else merged
-        return tuple([self.ids[p] for p in parts(text, self.suffix, self.ranks) if p in self.ids])
+        ids = [self.ids[p] for p in parts(text, self.suffix, self.ranks) if p in self.ids]
+        return np.array(ids, np.int32).tobytes()
+
+    def encode_batch(self, texts: pa.Array) -> pa.Array:
+        packed = [self.packed(t.as_py()) for t in texts]
+        ends = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+    def decode_batch(self, lists: pa.Array) -> pa.Array:
+        """The tokens of each list joined by a space, as the library does for a file without a decoder.
+
+        Null lists are empty; null ids, and ids that the file has not, are left out.
+        """
+        ids = lists.flatten()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        inside = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(self.listed)))
+        tokens = self.listed.take(pc.if_else(inside, ids, pa.scalar(None, pa.int32())))
+        missing = tokens.is_null().to_numpy(zero_copy_only=False)
+        if missing.any():
+            before = np.concatenate([[0], np.cumsum(~missing)])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            sizes, tokens = np.diff(before[ends]), tokens.drop_null()
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens), " ")
 
     def decode(self, ids: list[int]) -> str:
-        """The tokens joined by a space, as the library does for a file without a decoder; unknown ids are left out."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids if i in tokens])
+        return self.decode_batch(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+
+class Words(dict):
+    """The packed ids of words met so far; the memory is emptied when it is full, and long pieces are not kept."""
+
+    def __init__(self, coder: WordCoder):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.coder.word(word)
+        if len(word) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+def by_parts(batch: pa.Array, made: Callable[[pa.Array], pa.Array], kind: pa.DataType) -> pa.Array:
+    """``made`` of some rows at a time, so that only their intermediate values are held at once."""
+    parts = [made(batch.slice(i, ROWS)).cast(kind) for i in range(0, len(batch), ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def merged(text: str, suffix: str, ranks: dict) -> list[str]:
@@ -151,12 +194,12 @@ class Coder:
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
             own = coder()
-            return pa.array([own.encode(t.as_py()) for t in texts], pa.list_(pa.int32()))
+            return by_parts(texts, own.encode_batch, pa.list_(pa.int32()))
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
             own = coder()
-            return pa.array([own.decode(i.as_py() or []) for i in ids], pa.string())
+            return by_parts(ids, own.decode_batch, pa.string())
 
         self._encode, self._decode = encode.asNondeterministic(), decode.asNondeterministic()
 
