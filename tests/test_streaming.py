@@ -76,8 +76,7 @@ def test_stop_events_equal_batch_on_closed_days(spark, feed):
 
 def test_headways_over_micro_batches(spark, feed, tmp_path):
     df = stream(spark, feed).withColumn("at", F.unix_micros("ts"))
-    q = stream_headway(df, ["vehicle"], "at", "gap", str(tmp_path / "o"), str(tmp_path / "c"), ["id"],
-                       F.floor(F.col("at") / 3_600_000_000))
+    q = stream_headway(df, ["vehicle"], "at", "gap", str(tmp_path / "o"), str(tmp_path / "c"), ["id"], 2)
     q.awaitTermination()
     got = sorted((r.id, r.gap) for r in spark.read.parquet(str(tmp_path / "o")).collect() if r.id != 7)
     batch = spark.read.schema(SCHEMA).json(str(feed)).withColumn("at", F.unix_micros("ts")).where("id <> 7")

@@ -80,7 +80,7 @@ def bell_window_hour(spark, folder):
 
 def stop_school_join(spark, folder):
     """Stops (users) to the schools near them, many to many, then buses per school."""
-    pairs = reports(spark, folder).where("hour < 3").select("vehicle_id", "school").distinct()
+    pairs = reports(spark, folder).select("vehicle_id", "school").distinct()
     events = reports(spark, folder).select("event_id", "vehicle_id", "trip_id", "service_date")
     near = attach_stop_schools(events, pairs, "vehicle_id", "school")
     return near.groupBy("school").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trip_id").alias("trips"))
@@ -237,7 +237,7 @@ ORACLES = {
     "study_hours": f"{_REPORTS} SELECT hour, count(*) AS n FROM r WHERE hour BETWEEN 5 AND 16 GROUP BY hour",
     "bell_window": _bell_sql(30),
     "bell_window_hour": _bell_sql(60),
-    "attach_stop_schools": f"""{_REPORTS}, p AS (SELECT DISTINCT vehicle_id, school FROM r WHERE hour < 3)
+    "attach_stop_schools": f"""{_REPORTS}, p AS (SELECT DISTINCT vehicle_id, school FROM r)
         SELECT p.school AS school, count(*) AS n, count(DISTINCT trip_id) AS trips
         FROM r JOIN p ON r.vehicle_id = p.vehicle_id GROUP BY p.school""",
     "distinct_buses": f"""{_REPORTS} SELECT school, CAST(service_date AS VARCHAR) AS service_date, hour,

@@ -1,19 +1,20 @@
 """The whole way on the events table: reports and a timetable to the reports.
 
-vehicle = user, trip = type and ``props.k``, stop = ``props.k``.  The timetable
-has one row for each trip and day seen before noon on any day, at a time set by
+vehicle = user, trip = type and stop, stop = ``props.k`` and the user's number
+modulo five, 500 in all; place v of the embeddings belongs to stop v modulo 500.
+The timetable has one row for each trip ever seen and each day, at a time set by
 ``k``; most of its rows are never observed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timepoint.bindings import rounded, table, texts
 from timepoint.bindings.punctuality import MEANS, MEDIANS, daily_sql, period_sql
 from timepoint.bindings.space import places
-from timepoint.plans.on_time import adherence_table, on_time_reports
+from timepoint.plans.on_time import on_time_reports, planned_arrivals
 from timepoint.plans.school_capacity import (
     arrivals_over_period,
     capacity_report,
@@ -25,16 +26,21 @@ from timepoint.operators.arrivals import PARTS, SEATS
 from timepoint.session import new_scratch
 
 DEGREES = 10.0
+STOPS = 500
+
+
+def stop_number() -> Column:
+    return F.from_json("props", "k BIGINT")["k"] + 100 * F.pmod("user_id", F.lit(5))
 
 
 def pings(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.from_json("props", "k BIGINT")["k"].cast("string")
+    stop = stop_number().cast("string")
     return table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("vehicle_id"),
         F.lit("bus").alias("label"),
-        F.concat_ws("-", "event_type", k).alias("trip_id"),
+        F.concat_ws("-", "event_type", stop).alias("trip_id"),
         F.col("event_type").alias("route_id"),
-        F.concat(k, F.lit("_x")).alias("stop_id"),
+        F.concat(stop, F.lit("_x")).alias("stop_id"),
         F.date_format("ts", "yyyyMMdd").alias("start_date"),
         "ts",
         F.hour("ts").cast("bigint").alias("hour"),
@@ -42,26 +48,26 @@ def pings(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("double").alias("lat"),
         F.lit(None).cast("double").alias("lon"),
         F.col("event_id").alias("source_file"),
+        F.lit("0").alias("entity_id"),
     )
 
 
 def planned(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    k = F.from_json("props", "k BIGINT")["k"]
-    trips = e.where(F.hour("ts") < 12).select(F.col("event_type").alias("route_id"), k.alias("k")).distinct()
+    trips = e.select(F.col("event_type").alias("route_id"), stop_number().alias("stop")).distinct()
     days = e.select(F.to_date("ts").alias("service_date"), F.col("event_type").alias("route_id")).distinct()
-    secs = 18_000 + F.col("k") * 480
+    secs = 18_000 + F.col("stop") % 100 * 480
     return trips.join(days, "route_id").select(
         "route_id",
         F.upper("route_id").alias("route_name"),
         "service_date",
         F.lit("0").alias("direction_id"),
-        F.concat_ws("-", "route_id", F.col("k").cast("string")).alias("trip_id"),
+        F.concat_ws("-", "route_id", F.col("stop").cast("string")).alias("trip_id"),
         F.lit("B").alias("block_id"),
         secs.alias("sched_secs"),
         F.floor(secs / 3600).alias("sched_hour"),
         F.lit(1).cast("bigint").alias("row"),
-        F.col("k").cast("string").alias("stop_id"),
+        F.col("stop").cast("string").alias("stop_id"),
     )
 
 
@@ -76,9 +82,9 @@ def on_time_plan_by_line(spark, folder):
 
 
 def _stops(spark, folder):
-    """Stops and schools on the globe, around a point; a stop is a ``k``."""
+    """Stops and schools on the globe, around a point."""
     return places(spark, folder).select(
-        F.col("vec_id").cast("string").alias("stop_id"),
+        (F.col("vec_id") % STOPS).cast("string").alias("stop_id"),
         (F.col("x") / DEGREES - 76).alias("lon"),
         (F.col("y") / DEGREES + 39).alias("lat"),
     )
@@ -111,12 +117,12 @@ def stops_near_outline(spark, folder):
 
 
 def _arrivals(spark, folder):
-    adherence = adherence_table(pings(spark, folder), planned(spark, folder))
+    arrivals = planned_arrivals(pings(spark, folder), planned(spark, folder))
     schools = _schools(spark, folder)
     bells = schools.select(
         "school", F.lit(27_900).alias("opening_secs"), (F.lit(52_000) + F.length("school") * 60).alias("closing_secs")
     )
-    return daily_arrivals(adherence, stops_near(spark, folder), bells, 60)
+    return daily_arrivals(arrivals, stops_near(spark, folder), bells, 60)
 
 
 def arrivals_plan(spark, folder):
@@ -126,16 +132,17 @@ def arrivals_plan(spark, folder):
 
 def capacity_plan(spark, folder):
     """Seats against need, from raw reports to percentages; riders are the customers
-    of the nation that has the school's number."""
+    whose number is that of the school's place, both modulo 500."""
     period = arrivals_over_period(_arrivals(spark, folder))
     schools = _schools(spark, folder)
     riders = table(spark, folder, "customer").select(
-        F.concat(F.lit("school "), F.col("c_nationkey").cast("string")).alias("school"),
+        (F.col("c_custkey") % STOPS).alias("number"),
         F.lit(1).cast("bigint").alias("students"),
         (F.col("c_acctbal") / 200_000 - 76).alias("lon"),
         F.lit(39.0).alias("lat"),
     )
-    homes = riders.join(schools, "school")
+    number = F.regexp_extract("school", "[0-9]+$", 0).cast("bigint") % STOPS
+    homes = riders.join(schools.withColumn("number", number), "number").drop("number")
     enrollment = homes.groupBy("school").agg(F.count(F.lit(1)).alias("enrollment"))
     out = capacity_report(homes, period, enrollment)
     return texts(
@@ -156,15 +163,15 @@ QUERIES = {
 _ADHERENCE = """
 WITH e AS (
   SELECT event_id, CAST(user_id AS VARCHAR) AS vehicle_id, event_type AS route_id,
-         CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(ts AS DATE) AS d,
+         CAST(json_extract(props, '$.k') AS BIGINT) + 100 * (user_id % 5) AS k, CAST(ts AS DATE) AS d,
          (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 1000000::DOUBLE AS secs, ts
   FROM events
 ), stop_event AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id, route_id, k, d ORDER BY ts DESC, event_id DESC)
                  AS rn FROM e) WHERE rn = 1
 ), tt AS (
-  SELECT t.route_id AS route_id, k, d, 18000 + k * 480 AS sched
-  FROM (SELECT DISTINCT route_id, k FROM e WHERE hour(ts) < 12) t
+  SELECT t.route_id AS route_id, k, d, 18000 + k % 100 * 480 AS sched
+  FROM (SELECT DISTINCT route_id, k FROM e) t
   JOIN (SELECT DISTINCT route_id, d FROM e) s ON t.route_id = s.route_id
 ), m AS (
   SELECT tt.*, s.vehicle_id AS vehicle_id, s.secs AS obs, hour(s.ts) AS obs_hour, minute(s.ts) AS obs_minute,
@@ -191,9 +198,9 @@ WITH e AS (
 _GLOBE = """
 p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) / 10 - 76 AS lon, CAST(embedding[2] AS DOUBLE) / 10 + 39 AS lat,
              label FROM embeddings),
-st AS (SELECT CAST(vec_id AS VARCHAR) AS stop_id, vec_id AS stop_k, lon, lat FROM p),
-sc AS (SELECT 'school ' || CAST(vec_id AS VARCHAR) AS school, lon AS slon, lat AS slat FROM p WHERE label = 0),
-near AS (SELECT stop_id, stop_k, school FROM st JOIN sc ON
+st AS (SELECT CAST(vec_id % 500 AS VARCHAR) AS stop_id, vec_id % 500 AS stop_k, lon, lat FROM p),
+sc AS (SELECT 'school ' || CAST(vec_id AS VARCHAR) AS school, vec_id % 500 AS place, lon AS slon, lat AS slat FROM p WHERE label = 0),
+near AS (SELECT DISTINCT stop_id, stop_k, school FROM st JOIN sc ON
   2 * 6371008.8::DOUBLE * asin(least(sqrt(pow(sin(radians(slat - lat) / 2), 2)
     + cos(radians(lat)) * cos(radians(slat)) * pow(sin(radians(slon - lon) / 2), 2)), 1)) <= 804.672::DOUBLE)
 """
@@ -213,7 +220,7 @@ _FRAME = "111195.0802335329::DOUBLE"
 _DX = f"greatest(slon - 0.002::DOUBLE - lon, 0, lon - slon - 0.002::DOUBLE) * {_FRAME} * cos(radians(lat))"
 _DY = f"greatest(slat - 0.002::DOUBLE - lat, 0, lat - slat - 0.002::DOUBLE) * {_FRAME}"
 _CAPACITY = ", ".join(
-    f"round(median_{p} * {s} / (n_students * (1 - within_pct / 100)) * 100, 6) AS capacity_{s}_{p}"
+    f"round(median_{p} * {s} / nullif(n_students * (1 - within_pct / 100), 0) * 100, 6) AS capacity_{s}_{p}"
     for p in PARTS
     for s in SEATS
 )
@@ -234,7 +241,7 @@ ORACLES = {
           {', '.join(f'''round(avg({p}), 6) AS avg_{p}, median({p}) AS median_{p}, max({p}) AS max_{p},
                      min({p}) AS min_{p}''' for p in PARTS)} FROM w GROUP BY school),
         homes AS (SELECT school, c_acctbal / 200000 - 76 AS lon, 39::DOUBLE AS lat, slon, slat
-          FROM customer JOIN sc ON 'school ' || CAST(c_nationkey AS VARCHAR) = school),
+          FROM customer JOIN sc ON c_custkey % 500 = place),
         share AS (SELECT school, count(*) AS n_students, count(*) AS enrollment, count(*) FILTER (WHERE
             2 * 6371008.8::DOUBLE * asin(least(sqrt(pow(sin(radians(slat - lat) / 2), 2)
               + cos(radians(lat)) * cos(radians(slat)) * pow(sin(radians(slon - lon) / 2), 2)), 1)) <= 2414.01::DOUBLE)

@@ -10,11 +10,13 @@ from timepoint.bindings.punctuality import TIE, sightings, timetable
 from timepoint.functions.clock import day_part, micros_of_day, polling_hours, wall_micros
 from timepoint.functions.text import base_stop_id
 from timepoint.operators.adherence import add_headway, headway_flags, match_schedule
-from timepoint.operators.ordered import number_all_rows, number_rows, previous_value
+from timepoint.operators.ordered import ROWS_PER_PIECE, number_all_rows, number_rows, previous_value
 from timepoint.operators.rollups import exact_median
 from timepoint.operators.stop_events import prepare_pings, stop_events, stop_events_slowest
+from timepoint.session import written
 
-HOUR_MICROS = 3_600_000_000
+#: Rows of a piece in the queries that show the ordering in pieces, whatever the size of the tables.
+PIECE = 5_000
 
 
 def pings(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,16 +46,15 @@ WITH pings AS (
 
 def headway_rows(spark, folder):
     """Time since the last report of the route that day, in microseconds."""
-    hour = F.floor(F.col("at_us") / HOUR_MICROS)
-    df = previous_value(pings(spark, folder), ["route_id", "service_date"], "at_us", "before", ["event_id"], hour)
+    keys = ["route_id", "service_date"]
+    df = previous_value(pings(spark, folder), keys, "at_us", "before", ["event_id"], ROWS_PER_PIECE)
     return df.select("event_id", "route_id", (F.col("at_us") - F.col("before")).alias("headway_us"))
 
 
 def headway_by_stop(spark, folder):
     """Headways per stop and route, the group the analysis uses."""
-    day = F.floor(F.col("at_us") / (24 * HOUR_MICROS))
     df = prepare_pings(pings(spark, folder))
-    df = previous_value(df, ["stop_id", "route_id"], "at_us", "before", ["event_id"], day)
+    df = previous_value(df, ["stop_id", "route_id"], "at_us", "before", ["event_id"], ROWS_PER_PIECE)
     return df.select("event_id", "stop_id", (F.col("at_us") - F.col("before")).alias("headway_us"))
 
 
@@ -114,9 +115,8 @@ def day_parts(spark, folder):
 
 
 def numbered_reports(spark, folder):
-    """Position of each report in its route, ordered in day-sized pieces."""
-    day = F.floor(F.col("at_us") / (24 * HOUR_MICROS))
-    df = number_rows(pings(spark, folder), ["route_id"], ["at_us", "event_id"], "row", day)
+    """Position of each report in its route; five routes hold all rows, so they are ordered in pieces."""
+    df = number_rows(pings(spark, folder), ["route_id"], ["at_us", "event_id"], "row", PIECE)
     return df.select("event_id", "route_id", "row")
 
 
@@ -128,7 +128,7 @@ def numbered_table(spark, folder):
 def median_headways(spark, folder):
     """Exact median of microsecond headways, values without a bound on their number."""
     df = headway_rows(spark, folder).withColumn("headway_us", F.col("headway_us").cast("double"))
-    return exact_median(df, ["route_id"], "headway_us", 1e8)
+    return exact_median(written(df, "headways"), ["route_id"], "headway_us", rows_per_piece=PIECE)
 
 
 QUERIES = {

@@ -1,4 +1,4 @@
-"""Where people live: nations are tracts, regions areas, two order years the censuses."""
+"""Where people live: nations are tracts, regions areas, orders before and since 1995 the two censuses."""
 
 from __future__ import annotations
 
@@ -13,13 +13,15 @@ from timepoint.operators.people import children_by_group, children_by_tract, rat
 VARIABLES = ("BUILDING", "FURNITURE", "HOUSEHOLD")
 
 
+# Both halves together are all orders.
+TURN = "1995-06-01"
+
+
 def census(spark: SparkSession, folder: str, year: int) -> DataFrame:
-    """Long table of counts: one row for each order of the year."""
-    day = F.col("o_orderdate")
-    in_year = (day >= F.lit(f"{year}-01-01").cast("timestamp_ntz")) & (
-        day < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")
-    )
-    o = table(spark, folder, "orders").where(in_year).select("o_custkey")
+    """Long table of counts: one row for each order since the turn (2000) or before it (1996)."""
+    turn = F.lit(TURN).cast("timestamp_ntz")
+    taken = F.col("o_orderdate") >= turn if year == 2000 else F.col("o_orderdate") < turn
+    o = table(spark, folder, "orders").where(taken).select("o_custkey")
     c = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("geoid"),
         F.col("c_mktsegment").alias("variable"),
@@ -78,7 +80,8 @@ def _year_sql(year: int) -> str:
     return f"""k{year} AS (
   SELECT c_nationkey AS geoid,
          count(*) FILTER (WHERE c_mktsegment IN ('BUILDING', 'FURNITURE', 'HOUSEHOLD')) AS total_kids
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) = {year} GROUP BY c_nationkey
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate {'>=' if year == 2000 else '<'} DATE '{TURN}'
+  GROUP BY c_nationkey
 ), t{year} AS (
   SELECT *, CAST(sum(total_kids) OVER () AS BIGINT) AS all_kids,
          CAST(total_kids AS DOUBLE) * 100 / CAST(sum(total_kids) OVER () AS DOUBLE) AS pct_kids FROM k{year}

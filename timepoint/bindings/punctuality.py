@@ -23,6 +23,7 @@ from timepoint.operators.adherence import (
     on_time_flags,
 )
 from timepoint.operators.joins import attach_names, look_up_text
+from timepoint.operators.ordered import ROWS_PER_PIECE
 from timepoint.operators.rollups import MEANS, MEDIANS, SHARE_FLAGS, otp_daily, otp_grains, otp_period
 
 TIE = ("trip_id", "row", "part_id", "supplier_id")
@@ -54,7 +55,7 @@ def sightings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def adherence(spark: SparkSession, folder: str, chunk_width: float | None = 60) -> DataFrame:
+def adherence(spark: SparkSession, folder: str, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     return assess(
         timetable(spark, folder),
         sightings(spark, folder),
@@ -66,7 +67,7 @@ def adherence(spark: SparkSession, folder: str, chunk_width: float | None = 60)
         row="row",
         tie=TIE,
         per_minute=1.0,
-        chunk_width=chunk_width,
+        rows_per_piece=rows_per_piece,
     )
 
 

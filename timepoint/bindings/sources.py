@@ -17,7 +17,7 @@ from timepoint.functions.text import (
     word_count,
 )
 from timepoint.operators.joins import keep_days, not_in, recode_join, zip_rows
-from timepoint.operators.ordered import first_per_key, number_rows
+from timepoint.operators.ordered import ROWS_PER_PIECE, first_per_key, number_rows
 from timepoint.operators.quality import snapshot_gaps
 from timepoint.operators.reshape import (
     endpoints_to_rows,
@@ -83,8 +83,7 @@ def json_props(spark, folder):
 def turn_positions(spark, folder):
     """Number the turns and join what is listed for the role's first position."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.length("text").alias("len"))
-    piece = F.floor(F.col("turn") / 64)
-    trips = number_rows(turns, ["conv_id"], ["turn"], "row", piece)
+    trips = number_rows(turns, ["conv_id"], ["turn"], "row", ROWS_PER_PIECE)
     listed = first_per_key(trips.select("row", "role", "conv_id", "turn"), ["row", "role"], ["conv_id", "turn"])
     names = listed.select("row", "role", F.col("conv_id").alias("first_conv"))
     joined = timetable_stop_names(trips, names, ["row", "role"])

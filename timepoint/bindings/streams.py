@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from timepoint.bindings import rounded, table, texts
 from timepoint.bindings.punctuality import ADHERENCE_SQL, DAILY_OUT, daily_sql, study_rows
 from timepoint.functions.clock import micros_of_day, wall_micros
+from timepoint.operators.ordered import ROWS_PER_PIECE
 from timepoint.operators.quality import snapshot_counts
 from timepoint.operators.rollups import SHARE_FLAGS, otp_daily
 from timepoint.schemas import POLL, TIMETABLE, struct
@@ -116,11 +117,10 @@ def otp_windows(spark, folder):
 
 def headways(spark, folder):
     root = new_scratch(spark, "headway")
-    hour = F.floor(F.col("at_us") / 3_600_000_000)
     df = event_stream(spark, folder).select("event_id", "route_id", "service_date", "at_us")
     stream_headway(
         df, ["route_id", "service_date"], "at_us", "headway_us", f"{root}/rows", f"{root}/checkpoint",
-        ["event_id"], hour,
+        ["event_id"], ROWS_PER_PIECE, 3 * 86_400_000_000,
     ).awaitTermination()
     return spark.read.parquet(f"{root}/rows").select("event_id", "route_id", "headway_us")
 

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timepoint.operators.ordered import group_stats, previous_value
+from timepoint.operators.ordered import ROWS_PER_PIECE, group_stats, previous_value, previous_values
+from timepoint.session import written
 
 
 @dataclass(frozen=True)
@@ -127,10 +128,10 @@ def add_headway(
     out: str,
     tie: Sequence[str] = (),
     per_minute: float = 60.0,
-    chunk: Column | None = None,
+    rows_per_piece: int | None = None,
 ) -> DataFrame:
     """Minutes since the previous arrival in the group, by the clock in ``at``."""
-    prev = previous_value(df, keys, at, "_before", tie, chunk)
+    prev = previous_value(df, keys, at, "_before", tie, rows_per_piece)
     return prev.withColumn(out, (F.col(at) - F.col("_before")) / F.lit(per_minute)).drop("_before")
 
 
@@ -149,14 +150,16 @@ def headway_flags(
     )
 
 
-def trip_coverage(df: DataFrame, keys: Sequence[str], row: str, observed: str) -> DataFrame:
+def trip_coverage(df: DataFrame, keys: Sequence[str], row: str, observed: str, of: DataFrame | None = None) -> DataFrame:
     """Planned stops, observed rows and their ratio for each trip, on every row.
 
     Several vehicles on one trip give several matches, so the ratio can pass 1.
+    ``of`` are the rows to count, where ``df`` is the same rows after dearer steps.
     """
     whole = group_stats(
         df,
         keys,
+        of,
         planned_stops=F.max(row).cast("bigint"),
         observed_stops=F.count(observed),
     )
@@ -176,24 +179,24 @@ def assess(
     tie: Sequence[str] = (),
     windows: DelayWindows = DelayWindows(),
     per_minute: float = 60.0,
-    chunk_width: float | None = 3600,
+    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
-    """The whole adherence table in one plan.
+    """The whole adherence table.
 
-    ``chunk_width`` is the time span, in the unit of the clocks, of the pieces
-    in which a headway group is ordered.  ``None`` orders each group whole, and
-    then both headways share one exchange.
+    The match is computed once and written; coverage and both headways read it.
+    Headway groups of more than ``rows_per_piece`` rows are ordered in pieces,
+    all others whole, both clocks on one exchange.
     """
-
-    def piece(at: str) -> Column | None:
-        return None if chunk_width is None else F.floor(F.col(at) / F.lit(chunk_width))
-
-    matched = match_schedule(timetable, observed, match_keys, scheduled)
-    # Coverage before the headways: its summary then repeats the match only.
-    # The flags come last: they need not travel through the shuffles.
-    covered = trip_coverage(matched, trip_keys, row, seen_at)
-    spaced = add_headway(covered, headway_keys, seen_at, "headway", tie, per_minute, piece(seen_at))
-    spaced = add_headway(spaced, headway_keys, scheduled, "scheduled_headway", tie, per_minute, piece(scheduled))
-    flagged = spaced.transform(headway_flags).transform(add_delay, scheduled, seen_at)
+    matched = written(match_schedule(timetable, observed, match_keys, scheduled), "matched")
+    clocks = {"_seen_before": seen_at, "_planned_before": scheduled}
+    spaced = previous_values(matched, headway_keys, clocks, tie, rows_per_piece).withColumns(
+        {
+            "headway": (F.col(seen_at) - F.col("_seen_before")) / F.lit(per_minute),
+            "scheduled_headway": (F.col(scheduled) - F.col("_planned_before")) / F.lit(per_minute),
+        }
+    )
+    # The summary of coverage repeats nothing but a scan of the match.
+    covered = trip_coverage(spaced.drop(*clocks), trip_keys, row, seen_at, of=matched)
+    flagged = covered.transform(headway_flags).transform(add_delay, scheduled, seen_at)
     flagged = flagged.transform(on_time_flags, "delay", windows).transform(late_early_flags, "delay", windows)
     return flagged.transform(minutes_late, "delay", per_minute).transform(on_time_bounds, seen_at)

@@ -1,27 +1,46 @@
 """Operators that depend on row order: previous value, numbering, first row.
 
 A plain ``lag`` or ``row_number`` sends a whole group to one task.  Where a
-group may be large, pass ``chunk``: a column that is monotone in the sort order
-(an hour bucket of the sort time, say).  Rows are then ordered inside
-(keys, chunk), and only the border of the chunks is ordered over the whole
-group: at most two rows of each chunk, or one count.  The result is that of the
-plain window, and the largest task is one chunk.
+group may be large, pass ``rows_per_piece``: groups with more rows than that are
+range-sorted over the cluster by (keys, value, ties) into pieces of about so many
+rows, wherever in the order that falls and whatever values are equal, and only
+the borders of the pieces, one row for each, are ordered over the group.  All
+other groups are ordered by the plain window.  The result is the same.
+
+The input of the piecewise forms is read several times; pass a table or
+``written`` rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNTIMED_SALTS = 256
+from timepoint.session import written
 
+ROWS_PER_PIECE = 2_000_000
 
-def _chunk_or_salt(chunk: Column, keys: Sequence[str], tie: Sequence[str]) -> Column:
-    """Rows without a sort value need no neighbour, so they may go anywhere."""
-    salt = F.pmod(F.xxhash64(*keys, *tie), F.lit(UNTIMED_SALTS))
-    return F.coalesce(chunk.cast("bigint"), F.lit(-1).cast("bigint") - salt)
+
+def split_hot(df: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of at most ``most`` rows, and those of larger ones; None where there are none."""
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > most).select(*keys)
+    if large.isEmpty():
+        return df, None
+    return same_keys_join(df, large, keys, "left_anti"), same_keys_join(df, large, keys, "left_semi")
+
+
+def in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows_per_piece: int) -> DataFrame:
+    """The rows with the number of their piece (``_piece``) in the order of (keys, order).
+
+    Written, because the borders between pieces are drawn from a sample: read
+    again, every row keeps its piece.
+    """
+    pieces = max(2, math.ceil(df.count() / rows_per_piece))
+    placed = df.repartitionByRange(pieces, *keys, *order).withColumn("_piece", F.spark_partition_id())
+    return written(placed, "pieces")
 
 
 def previous_value(
@@ -30,27 +49,42 @@ def previous_value(
     at: str,
     out: str,
     tie: Sequence[str] = (),
-    chunk: Column | None = None,
+    rows_per_piece: int | None = None,
 ) -> DataFrame:
     """Value of ``at`` on the row before, in (at, tie) order inside ``keys``.
 
     Rows with NULL ``at`` sort last: they get NULL and precede nobody.
     """
+    return previous_values(df, keys, {out: at}, tie, rows_per_piece)
+
+
+def previous_values(
+    df: DataFrame, keys: Sequence[str], outs: Mapping[str, str], tie: Sequence[str] = (), rows_per_piece: int | None = None
+) -> DataFrame:
+    """``previous_value`` by several clocks (out -> at); the plain windows share one exchange."""
     keys, tie = list(keys), list(tie)
-    if chunk is None:
+    plain, hot = (df, None) if rows_per_piece is None else split_hot(df, keys, rows_per_piece)
+    for out, at in outs.items():
         w = Window.partitionBy(*keys).orderBy(F.col(at).asc_nulls_last(), *tie)
-        return df.withColumn(out, F.when(F.col(at).isNotNull(), F.lag(at).over(w)))
-
-    rows = df.withColumn("_chunk", _chunk_or_salt(chunk, keys, tie))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(F.col(at).asc_nulls_last(), *tie)
-    timed, prev, last = F.col(at).isNotNull(), F.col("_prev"), F.col("_last")
-    marked = rows.withColumns({"_prev": F.lag(at).over(w), "_last": F.lead(at).over(w).isNull()})
-    # Both parts read the one exchange above: it is planned once and reused.
-    inner = marked.where(prev.isNotNull() | ~timed).withColumn(out, F.when(timed, prev))
-    edges = marked.where(timed & (prev.isNull() | last))
-    across = F.lag(at).over(Window.partitionBy(*keys).orderBy("_chunk", at, *tie))
-    firsts = edges.withColumn(out, across).where(prev.isNull())
-    return inner.unionByName(firsts).drop("_chunk", "_prev", "_last")
+        plain = plain.withColumn(out, F.when(F.col(at).isNotNull(), F.lag(at).over(w)))
+    if hot is None:
+        return plain
+    for out, at in outs.items():
+        hot = _previous_in_pieces(hot, keys, at, out, tie, rows_per_piece)
+    return plain.unionByName(hot)
+
+
+def _previous_in_pieces(df, keys, at, out, tie, rows_per_piece) -> DataFrame:
+    order = [F.col(at).asc_nulls_last(), *tie]
+    placed = in_pieces(df, keys, order, rows_per_piece)
+    inside = Window.partitionBy("_piece", *keys).orderBy(*order)
+    ends = placed.where(F.col(at).isNotNull()).groupBy("_piece", *keys).agg(F.max(at).alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_piece"))
+    borders = ends.select("_piece", *keys, before.alias("_carried"))
+    rows = placed.withColumn("_prev", F.lag(at).over(inside))
+    met = same_keys_join(rows, borders, ["_piece", *keys], "left")
+    value = F.when(F.col(at).isNotNull(), F.coalesce("_prev", "_carried"))
+    return met.withColumn(out, value).drop("_piece", "_prev", "_carried")
 
 
 def number_rows(
@@ -58,30 +92,22 @@ def number_rows(
     keys: Sequence[str],
     order: Sequence[str | Column],
     out: str = "row",
-    chunk: Column | None = None,
+    rows_per_piece: int | None = None,
 ) -> DataFrame:
     """1-based position inside ``keys`` by an explicit, unique order."""
     keys = list(keys)
-    if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-
-    rows = df.withColumn("_chunk", chunk)
-    sizes = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sizes.select(
-        *keys,
-        "_chunk",
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        F.lit(False).alias("_row"),
-    )
-    both = rows.withColumn("_row", F.lit(True)).unionByName(carry, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_row", *order)
-    # The carry row is first, so row_number is already one too high.
-    number = F.first("_before").over(w) + F.row_number().over(w) - 1
-    return (
-        both.withColumn(out, number.cast("bigint")).where("_row").drop("_row", "_chunk", "_before")
-    )
+    plain, hot = (df, None) if rows_per_piece is None else split_hot(df, keys, rows_per_piece)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    numbered = plain.withColumn(out, F.row_number().over(w).cast("bigint"))
+    if hot is None:
+        return numbered
+    placed = in_pieces(hot, keys, order, rows_per_piece)
+    sizes = placed.groupBy("_piece", *keys).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sizes.select("_piece", *keys, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_piece", *keys).orderBy(*order)
+    rows = same_keys_join(placed.withColumn("_nth", F.row_number().over(inside)), carry, ["_piece", *keys], "left")
+    return numbered.unionByName(rows.withColumn(out, (F.col("_before") + F.col("_nth")).cast("bigint")).drop("_piece", "_nth", "_before"))
 
 
 def number_all_rows(df: DataFrame, order: Sequence[str | Column], out: str = "row") -> DataFrame:
@@ -143,13 +169,13 @@ def same_keys_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return l.join(r, cond, how).select("_l.*", *extra)
 
 
-def group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
-    """Group aggregates kept on every row: aggregate, then join back.
+def group_stats(df: DataFrame, keys: Sequence[str], of: DataFrame | None = None, **stats: Column) -> DataFrame:
+    """Group aggregates (of the rows of ``of``, if given) kept on every row: aggregate, then join back.
 
     Unlike an unordered window this combines map-side, and the join back can be
     split by adaptive skew handling when one key is hot.
     """
-    small = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+    small = (df if of is None else of).groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
     return same_keys_join(df, small, keys, "left")
 
 

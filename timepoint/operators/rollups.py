@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timepoint.functions.stats import count_where, flag_share, ratio
+from timepoint.operators.ordered import ROWS_PER_PIECE, number_rows, same_keys_join
 
 SHARE_FLAGS = {
     "on_time_perc": "on_time",
@@ -69,14 +70,29 @@ def otp_grains(
     part: str = "time",
     observed: str = "obs_secs",
     approximate: bool = False,
+    fine_clock: bool = False,
 ) -> DataFrame:
-    """System, line and stop grain from one scan, told apart by ``grain``."""
+    """System, line and stop grain from one scan, told apart by ``grain``.
+
+    With ``fine_clock`` the headways have no bound on their distinct values
+    (fractions of seconds), and their medians come from ``exact_median``; the
+    input is then read several times.
+    """
     d, p, l, s = (F.col(c) for c in (date, part, line, stop))
     level = F.grouping_id(date, part, line, stop).cast("bigint")
     grain = F.when(level == 3, "system").when(level == 1, "line").otherwise("stop")
-    return adherence.groupingSets([[d, p], [d, p, l], [d, p, s]], d, p, l, s).agg(
-        grain.alias("grain"), *_daily_measures(observed, date, approximate)
-    )
+    measures = _daily_measures(observed, date, approximate)
+    if fine_clock:
+        measures = measures[:-1]  # without the median of headways
+    rates = adherence.groupingSets([[d, p], [d, p, l], [d, p, s]], d, p, l, s).agg(grain.alias("grain"), *measures)
+    if not fine_clock:
+        return rates
+    medians = [
+        exact_median(adherence, [date, part, *more], "headway", "median_headway").withColumn("grain", F.lit(name))
+        for name, more in (("system", []), ("line", [line]), ("stop", [stop]))
+    ]
+    every = medians[0].unionByName(medians[1], allowMissingColumns=True).unionByName(medians[2], allowMissingColumns=True)
+    return same_keys_join(rates, every, ["grain", date, part, line, stop], "left")
 
 
 MEANS = (
@@ -120,36 +136,19 @@ def otp_period(daily: DataFrame, by: Sequence[str] = ("time",), strict: bool = F
     )
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, width: float, out: str = "median") -> DataFrame:
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, out: str = "median", rows_per_piece: int = ROWS_PER_PIECE
+) -> DataFrame:
     """Exact median of values of any spread, with no group held in one task.
 
-    A histogram of ``width`` bins finds the bin of the middle ranks of each
-    key; only that bin's rows are ordered.  Choose ``width`` so that one bin of
-    the largest group fits a task.
+    Values are numbered in their order, large groups in pieces; the one or two
+    rows in the middle make the median.  ``df`` is read several times.
     """
-    from pyspark.sql import Window
-
-    from timepoint.operators.ordered import same_keys_join
-
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    rows = rows.withColumn("_bin", F.floor(F.col(value) / F.lit(width)))
-    bins = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_size"))
-    up_to = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("_through", F.sum("_size").over(up_to))
-    bins = bins.withColumn("_before", F.col("_through") - F.col("_size"))
-    bins = bins.withColumn("_all", F.sum("_size").over(Window.partitionBy(*keys)))
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    bins = bins.withColumn("_low", low).withColumn("_high", high)
-    hit = (F.col("_through") >= F.col("_low")) & (F.col("_before") < F.col("_high"))
-    wanted = bins.where(hit).select(*keys, "_bin", "_before", "_low", "_high")
-    counted = rows.groupBy(*keys, "_bin", value).agg(F.count(F.lit(1)).alias("_copies"))
-    kept = same_keys_join(counted, wanted, [*keys, "_bin"], "inner")
-    inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    kept = kept.withColumn("_end", F.col("_before") + F.sum("_copies").over(inside))
-    kept = kept.withColumn("_start", F.col("_end") - F.col("_copies") + 1)
-
-    def at(rank: str) -> Column:
-        return F.max(F.when(F.col(rank).between(F.col("_start"), F.col("_end")), F.col(value)))
-
-    return kept.groupBy(*keys).agg(((at("_low") + at("_high")) / 2).alias(out))
+    numbered = number_rows(rows, keys, [value], "_at", rows_per_piece)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    middle_rows = same_keys_join(numbered, sizes, keys, "inner").where(
+        F.col("_at").isin(F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1)
+    )
+    return middle_rows.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(out))

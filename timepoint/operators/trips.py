@@ -70,7 +70,11 @@ def with_transfers(trips: DataFrame) -> DataFrame:
 
 
 def trip_profile(trips: DataFrame, students: str = "students") -> DataFrame:
-    """City-wide averages by student; the medians are of trips, not weighted."""
+    """City-wide averages by student; the medians are of trips, not weighted.
+
+    A median keeps a counter for each distinct value; times are whole minutes or
+    seconds of one trip, so there are few.
+    """
     w = F.col(students)
 
     def mean(col: str) -> Column:
@@ -148,7 +152,10 @@ def departure_profile(trips: DataFrame, departure: str, by: Sequence[str] = (),
 
 
 def travel_time_stats(df: DataFrame, value: str, weight: str) -> DataFrame:
-    """The mean is weighted, the median and the spread are not."""
+    """The mean is weighted, the median and the spread are not.
+
+    The median keeps a counter for each distinct time, whole seconds or minutes.
+    """
     return df.agg(
         weighted_mean(F.col(value), F.col(weight)).alias("mean_travel_time"),
         F.median(value).alias("median_travel_time"),

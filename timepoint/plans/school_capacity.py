@@ -46,13 +46,14 @@ def stops_near_parcels(stops: DataFrame, parcels: DataFrame, metres: float = HAL
     return hits.select("stop_id", "school").distinct()
 
 
-def daily_arrivals(adherence: DataFrame, stop_school: DataFrame, bells: DataFrame, minutes: int = 30) -> DataFrame:
+def daily_arrivals(arrivals: DataFrame, stop_school: DataFrame, bells: DataFrame, minutes: int = 30) -> DataFrame:
     """Buses per school, day and day part within ``minutes`` of the bell.
 
+    ``arrivals``: ``planned_arrivals``, or an adherence table.
     ``bells``: school, opening_secs, closing_secs.  The arrival itself is
     tested for the hour and joined at stop grain, so no ping geometry is needed.
     """
-    seen = adherence.where(F.col("obs_secs").isNotNull())
+    seen = arrivals.where(F.col("obs_secs").isNotNull())
     near = attach_stop_schools(seen, stop_school, "stop_id", "school")
     belled = attach_bells(near, bells, ["school"], "opening_secs", "closing_secs")
     kept = near_bell(belled, "obs_hour", "obs_minute", "obs_secs", "opening_secs", "closing_secs", minutes)

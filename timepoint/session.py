@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# Folder below the shared one that ``scratch_space`` has set for the session, if any.
+_spaces: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -26,7 +31,31 @@ def scratch_root(spark: SparkSession) -> str:
 
 def new_scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    root = _spaces.get(spark.sparkContext.applicationId) or scratch_root(spark)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows, computed once, from a table in the shared folder; what reads them does not compute them again."""
+    path = new_scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[str]:
+    """A folder for all that is written meanwhile; it is removed at the end, so results have to be used inside."""
+    app = spark.sparkContext.applicationId
+    before, path = _spaces.get(app), new_scratch(spark, "space")
+    _spaces[app] = path
+    try:
+        yield path
+    finally:
+        _spaces.pop(app)
+        if before:
+            _spaces[app] = before
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

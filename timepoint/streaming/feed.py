@@ -128,19 +128,22 @@ def stream_headway(
     path: str,
     checkpoint: str,
     tie: Sequence[str] = (),
-    chunk: Column | None = None,
+    rows_per_piece: int | None = None,
+    horizon: float | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Time since the previous arrival of the group, across micro-batches.
 
-    Each micro-batch runs the batch operator, so a hot group is ordered in
-    pieces and not in one task.  What a batch needs from the earlier ones is
+    Each micro-batch runs the batch operator, so with ``rows_per_piece`` a hot
+    group is ordered in pieces and not in one task.  What a batch needs from the earlier ones is
     one row for each group, its last arrival; it is kept as a table beside the
     checkpoint.  Batch n reads slot n-1 and replaces slot n (of three) and its
     own output, so a batch that is run again changes nothing.
 
     A row older than the last arrival already seen gets NULL: it is late, and
-    the daily batch places it.
+    the daily batch places it.  Groups whose last arrival is more than
+    ``horizon`` (in the unit of ``at``) before the newest are forgotten, which
+    bounds what is kept where the keys hold the day; give it more than a day.
     """
     keys, tie = list(keys), list(tie)
 
@@ -150,7 +153,7 @@ def stream_headway(
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        rows = previous_value(batch, keys, at, "_before", tie, chunk)
+        rows = previous_value(batch, keys, at, "_before", tie, rows_per_piece)
         last = batch.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.max(at).alias("_last"))
         if number > 0:
             seen = spark.read.parquet(slot(number - 1))
@@ -160,6 +163,9 @@ def stream_headway(
             before = F.when(late, F.lit(None)).otherwise(F.greatest("_before", "_last"))
             rows = carried.withColumn("_before", before).drop("_last")
             last = seen.unionByName(last).groupBy(*keys).agg(F.max("_last").alias("_last"))
+        if horizon is not None:
+            newest = last.agg(F.max("_last")).scalar()
+            last = last.where(F.col("_last") >= newest - F.lit(horizon))
         result = rows.withColumn(out, F.col(at) - F.col("_before")).drop("_before")
         result.write.mode("overwrite").parquet(f"{path}/batch={number}")
         last.write.mode("overwrite").parquet(slot(number))
