@@ -182,7 +182,10 @@ def test_bpe_of_odd_texts(spark, library):
     for r in got:
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert (r.n, r.back) == (ids, library.decode(ids, skip_special_tokens=False))
-    assert docs.limit(0).select(coder.encode(F.col("text"))).count() == 0
+        assert r.n == ids
+    rows = coder.documents(docs.unionByName(docs)).collect()
+    assert sorted((r.doc_id, r.ids, r.decoded) for r in rows) == sorted(2 * [(r.doc_id, r.n, r.back) for r in got])
+    assert docs.limit(0).select(coder.encode(F.col("text"))).count() == 0 == coder.documents(docs.limit(0)).count()
 
 
 def test_short_and_long_words_merge_alike():

@@ -74,7 +74,7 @@ def plain_quality(docs):
 
 
 def same(got, want):
-    close = lambda a, b: a == b if a is None or b is None else abs(a - b) < 1e-9
+    close = lambda a, b: a == b if a is None or b is None else abs(a - b) < 1e-5
     return got[:6] == want[:6] and close(got[6], want[6]) and close(got[7], want[7]) and got[8] == want[8]
 
 

@@ -17,16 +17,16 @@ from __future__ import annotations
 import heapq
 import unicodedata
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timepoint.llm.common import load_json
+from timepoint.llm.common import column, load_json
 
 LONG = 200
 REMEMBERED = 400_000
@@ -201,6 +201,15 @@ class Coder:
             own = coder()
             return by_parts(ids, own.decode_batch, pa.string())
 
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = coder()
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):  # so that little is held at once
+                    part = batch.slice(at, ROWS)
+                    ids = own.encode_batch(part.column("text"))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, own.decode_batch(ids)], ["doc_id", "ids", "decoded"])
+
+        self._both = both
         self._encode, self._decode = encode.asNondeterministic(), decode.asNondeterministic()
 
     def encode(self, text: Column) -> Column:
@@ -210,3 +219,9 @@ class Coder:
     def decode(self, ids: Column) -> Column:
         """Text of a list of ids, special tokens included."""
         return self._decode(ids)
+
+    def documents(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """One row per document: doc_id, ids, and the text that the ids decode to."""
+        rows = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        return rows.mapInArrow(self._both, f"doc_id {kind}, ids array<int>, decoded string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timepoint.llm import bpe, chat, decontaminate, html, licenses, quality, secrets, shard, simhash, warc
 from timepoint.llm.common import joined_digest, table
+from timepoint.llm.oracles import ORACLES as ORACLES
 from timepoint.session import new_scratch
 
 
@@ -38,7 +39,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    found = quality.quality(table(spark, sf_dir, "documents"))
+    # Sums of fractions, whose last bit depends on the order of adding.
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +59,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        joined_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans",
+        joined_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
@@ -92,10 +95,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
     """Ids of each text, and digests of them and of the text that they decode to."""
-    coder = bpe.Coder(docs.sparkSession, path)
-    ids = docs.select(F.col("doc_id"), coder.encode(F.col("text")).alias("ids"))
-    both = ids.withColumn("decoded", coder.decode(F.col("ids")))
-    return both.select(
+    return bpe.Coder(docs.sparkSession, path).documents(docs).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), "ids",
@@ -134,5 +134,3 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
-
-ORACLES: dict[str, str] = {}
