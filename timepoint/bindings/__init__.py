@@ -31,6 +31,7 @@ def registry() -> tuple[dict, dict]:
     from timepoint.bindings import (
         arrivals,
         endtoend,
+        files,
         headways,
         people,
         punctuality,
@@ -42,7 +43,7 @@ def registry() -> tuple[dict, dict]:
     )
 
     queries, oracles = {}, {}
-    for module in (punctuality, headways, sources, arrivals, space, trips, rides, people, streams, endtoend):
+    for module in (punctuality, headways, sources, arrivals, space, trips, rides, people, streams, endtoend, files):
         clash = queries.keys() & module.QUERIES.keys()
         if clash:
             raise ValueError(f"query names used twice: {sorted(clash)}")

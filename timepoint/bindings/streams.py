@@ -197,22 +197,31 @@ def polls(spark, folder):
 
 
 def timetables(spark, folder):
-    """Orders packed as timetable responses of one trip with three stops, then built."""
+    """Orders packed as timetable responses of three trips with three stops, then built.
+
+    A response has two entries for its direction; the stop list of the second is not taken.
+    """
     o = table(spark, folder, "orders")
     day = F.dayofmonth("o_orderdate").cast("bigint")
     times = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.struct(
         (day * 3600 + i * F.month("o_orderdate") * 60).cast("bigint"), i == 0))
-    trip = F.struct(
-        F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.col("o_custkey").cast("string"),
-        F.lit(False), times,
-    )
-    stops = F.transform(F.array(F.lit("a"), F.lit("b")), lambda s: F.struct(
-        F.concat(s, F.col("o_custkey").cast("string")), F.upper(s)))
-    direction = F.struct(
-        F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.to_date("o_orderdate").cast("string"),
-        F.lit("0"), F.array(trip), stops,
-    )
-    nested = o.select(F.array(direction).cast(struct(TIMETABLE)["data"].dataType).alias("data"))
+
+    def trip(suffix: str):
+        return F.struct(
+            F.concat(F.col("o_orderkey"), F.lit(suffix)), F.col("o_orderpriority"), F.col("o_custkey").cast("string"),
+            F.lit(False), times,
+        )
+
+    def entry(names: list[str], *trips):
+        stops = F.transform(F.array(*[F.lit(n) for n in names]), lambda s: F.struct(
+            F.concat(s, F.col("o_custkey").cast("string")), F.upper(s)))
+        return F.struct(
+            F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.to_date("o_orderdate").cast("string"),
+            F.lit("0"), F.array(*trips), stops,
+        )
+
+    entries = F.array(entry(["a", "b"], trip(""), trip("-b")), entry(["x", "y", "z"], trip("-c")))
+    nested = o.select(entries.cast(struct(TIMETABLE)["data"].dataType).alias("data"))
     built = build_timetable(nested)
     return texts(built, ["service_date"]).select(
         "route_id", "service_date", "trip_id", "block_id", "sched_secs", "sched_hour", "sched_minute", "row",
@@ -293,10 +302,11 @@ ORACLES = {
                strftime(ts, '%Y%m%d') AS start_date, CAST(json_extract(props, '$.k') AS VARCHAR) AS stop_id,
                value AS lat, -value AS lon, value / 2 AS speed_mps, hour(lt) AS hour, minute(lt) AS minute,
                CAST(second(lt) AS BIGINT) AS second, epoch_us(lt) AS local_us FROM e""",
-    "flatten_timetable": """WITH s AS (SELECT *, unnest([0, 1, 2]) AS i FROM orders),
+    "flatten_timetable": """WITH s AS (SELECT *, unnest([0, 1, 2]) AS i, suffix
+          FROM orders CROSS JOIN (VALUES (''), ('-b'), ('-c')) AS v(suffix)),
         t AS (SELECT *, CAST(day(o_orderdate) * 3600 + i * month(o_orderdate) * 60 AS BIGINT) AS secs FROM s)
         SELECT CAST(o_orderkey AS VARCHAR) AS route_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS service_date,
-               CAST(o_orderkey AS VARCHAR) AS trip_id, CAST(o_custkey AS VARCHAR) AS block_id, secs AS sched_secs,
+               CAST(o_orderkey AS VARCHAR) || suffix AS trip_id, CAST(o_custkey AS VARCHAR) AS block_id, secs AS sched_secs,
                secs // 3600 AS sched_hour, (secs % 3600) // 60 AS sched_minute, CAST(i + 1 AS BIGINT) AS row,
                i = 0 AS is_wait_stop,
                CASE i WHEN 0 THEN 'a' WHEN 1 THEN 'b' END || CAST(o_custkey AS VARCHAR) AS stop_id,

@@ -113,7 +113,13 @@ def _polygon_cells(polygons: DataFrame, ring: str, holes: str | None, size: floa
     shaped = polygons.withColumns({"_sj_edges": edges, **box}).drop(*[c for c in (ring, holes) if c])
     cells_x = cell_range(F.col("_sj_min_x"), F.col("_sj_max_x"), size)
     cells_y = cell_range(F.col("_sj_min_y"), F.col("_sj_max_y"), size)
-    return shaped.withColumn("_sj_t0", F.explode(cells_x)).withColumn("_sj_t1", F.explode(cells_y))
+    banded = shaped.withColumn("_sj_t1", F.explode(cells_y))
+    # A row of cells needs the edges in its band only: the ray of the inside test runs along the row, and an edge
+    # within the pad of a point overlaps the band widened by the pad.
+    reach = F.abs(F.col("_sj_t1")) * (size * 1e-12) + (pad_y + size * 1e-9)
+    low, high = F.col("_sj_t1") * size - reach, (F.col("_sj_t1") + 1) * size + reach
+    clipped = F.filter("_sj_edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high))
+    return banded.withColumn("_sj_edges", clipped).withColumn("_sj_t0", F.explode(cells_x))
 
 
 def _polygon_join(points, polygons, xy, ring, holes, size, pad, metres, how, salts) -> DataFrame:
