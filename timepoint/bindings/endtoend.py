@@ -196,8 +196,9 @@ WITH e AS (
 )
 """
 _GLOBE = """
-p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) / 10 - 76 AS lon, CAST(embedding[2] AS DOUBLE) / 10 + 39 AS lat,
-             label FROM embeddings),
+z AS (SELECT sqrt(count(*) / 500::DOUBLE) AS scale FROM embeddings),
+p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * scale / 10 - 76 AS lon,
+             CAST(embedding[2] AS DOUBLE) * scale / 10 + 39 AS lat, label FROM embeddings, z),
 st AS (SELECT CAST(vec_id % 500 AS VARCHAR) AS stop_id, vec_id % 500 AS stop_k, lon, lat FROM p),
 sc AS (SELECT 'school ' || CAST(vec_id AS VARCHAR) AS school, vec_id % 500 AS place, lon AS slon, lat AS slat FROM p WHERE label = 0),
 near AS (SELECT DISTINCT stop_id, stop_k, school FROM st JOIN sc ON

@@ -1,4 +1,8 @@
-"""Embeddings as places: x and y are the first two values, label 0 are schools."""
+"""Embeddings as places: x and y are the first two values, label 0 are schools.
+
+The map grows with the number of places, so that as many lie around each one
+whatever the size of the table, and pairs grow in proportion to it.
+"""
 
 from __future__ import annotations
 
@@ -25,10 +29,12 @@ PAD = 0.02
 
 
 def places(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").select(
+    vectors = table(spark, folder, "embeddings")
+    scale = F.sqrt(vectors.agg(F.count(F.lit(1))).scalar() / F.lit(500.0))
+    return vectors.select(
         "vec_id",
-        F.col("embedding")[0].cast("double").alias("x"),
-        F.col("embedding")[1].cast("double").alias("y"),
+        (F.col("embedding")[0].cast("double") * scale).alias("x"),
+        (F.col("embedding")[1].cast("double") * scale).alias("y"),
         F.col("label").cast("bigint").alias("label"),
     )
 
@@ -145,8 +151,9 @@ QUERIES = {
 }
 
 _PLACES = """
-WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
-                  CAST(label AS BIGINT) AS label FROM embeddings),
+WITH z AS (SELECT sqrt(count(*) / 500::DOUBLE) AS scale FROM embeddings),
+     p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * scale AS x, CAST(embedding[2] AS DOUBLE) * scale AS y,
+                  CAST(label AS BIGINT) AS label FROM embeddings, z),
      s AS (SELECT vec_id AS school_id, x AS sx, y AS sy FROM p WHERE label = 0)
 """
 _NEAR = "(x - sx) * (x - sx) + (y - sy) * (y - sy) <= 0.05::DOUBLE * 0.05::DOUBLE"
