@@ -7,6 +7,7 @@ from oracle import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
 from timepoint.bindings import registry
+from timepoint.session import scratch_space
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no supplied tables")
@@ -19,8 +20,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry()[0]))
 def test_query_equals_sql(spark, con, name):
-    df = registry()[0][name](spark, FOLDER)
-    assert compare(df, con, registry()[1][name]) == []
+    with scratch_space(spark):
+        df = registry()[0][name](spark, FOLDER)
+        assert compare(df, con, registry()[1][name]) == []
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
 

@@ -272,3 +272,17 @@ def test_report_files(spark, tmp_path):
     assert len(list((tmp_path / "s").glob("*.csv"))) == 1
     sinks.write_result(spark.range(3), str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == 3
+
+
+def test_scratch_is_removed_after_use(spark):
+    import os
+
+    from timepoint.session import new_scratch, scratch_root, scratch_space, written
+
+    with scratch_space(spark) as outer:
+        kept = written(spark.range(5).toDF("id"), "kept")
+        with scratch_space(spark) as inner:
+            assert written(spark.range(3).toDF("id"), "t").count() == 3 and os.path.isdir(inner.removeprefix("file:"))
+        assert not os.path.exists(inner.removeprefix("file:")) and kept.count() == 5
+    assert not os.path.exists(outer.removeprefix("file:"))
+    assert new_scratch(spark, "x").startswith(scratch_root(spark))
