@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timepoint.llm import decontaminate, quality, secrets, simhash
-from timepoint.llm.common import column, free_name, table, written
+from timepoint.llm.common import column, columns_of, free_name, table, written
 from timepoint.llm.queries import encoded_digests, vocabulary
 
 
@@ -28,18 +28,17 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a passage of a benchmark item go, whole: what stands around a passage gives it away."""
     found = free_name(docs, "found")
     marked = decontaminate.with_findings(docs, table(spark, sf_dir, "benchmark"), found)
-    return marked.where(F.size(column(marked, found)["first"]) == 0).select(docs.columns)
+    return columns_of(marked.where(F.size(column(marked, found)["first"]) == 0), docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark, and n_chars follows; texts without one stay as they are."""
-    spans = free_name(docs, "spans")
-    found = secrets.with_secrets(docs, spans)
-    some = F.size(column(found, spans)) > 0
-    text = F.when(some, secrets.redacted(column(found, "text"), column(found, spans))).otherwise(column(found, "text"))
-    cut = found.withColumn("text", text)
-    n_chars = F.when(F.size(column(cut, spans)) > 0, F.length(column(cut, "text")).cast(docs.schema["n_chars"].dataType))
-    return cut.withColumn("n_chars", F.coalesce(n_chars, column(cut, "n_chars"))).select(docs.columns)
+    secret = free_name(docs, "secret")
+    found = secrets.with_secrets(docs, secret, mark=secrets.MARK)
+    redacted = column(found, secret)["redacted"]
+    n_chars = F.length(redacted).cast(docs.schema["n_chars"].dataType)
+    cut = found.withColumns({"text": F.coalesce(redacted, column(found, "text")), "n_chars": F.coalesce(n_chars, column(found, "n_chars"))})
+    return columns_of(cut, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,7 +189,7 @@ def test_bpe_of_odd_texts(spark, library):
 
 
 def test_short_and_long_words_merge_alike():
-    coder = bpe.WordCoder(bpe.load_json(vocabulary()))
+    coder = bpe.WordCoder(bpe.read_text(vocabulary()))
     pick = random.Random(3)
     for _ in range(300):
         word = "".join(pick.choice("ethainorsd") for _ in range(pick.randint(1, 90)))

@@ -160,18 +160,17 @@ def test_inferred_automaton_finds_its_format_and_leaves_words_and_numbers():
 
 def test_redaction(spark):
     text = f'a token = "{HEX40}" b {HEX40} c'
-    spans = [{"kind": k, "start": a, "end": b} for a, b, k in secrets.base_spans(text)]
-    schema = f"text string, spans array<{secrets.SPAN}>"
-    df = spark.createDataFrame([(text, spans), ("clean", []), (None, [])], schema)
-    got = [r[0] for r in df.select(secrets.redacted(F.col("text"), F.col("spans"))).collect()]
-    assert got == ['a [REDACTED]" b [REDACTED] c', "clean", None] and not secrets.base_spans(got[0])
+    docs = documents(spark, [text, "clean", None, "api_key = " + "0123456789abcdef" * 2])
+    got = [r.s.redacted for r in secrets.with_secrets(docs, "s", mark=secrets.MARK).orderBy("doc_id").collect()]
+    assert got == ['a [REDACTED]" b [REDACTED] c', None, None, "[REDACTED]"] and not secrets.base_spans(got[0])
+    assert {r.s.redacted for r in secrets.with_secrets(docs, "s").collect()} == {None}
 
 
 # Pipeline
 
 
 def test_pipeline_stage_by_stage(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("found", F.lit("mine"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("found", F.lit("mine")).withColumn("a.b", F.lit(1))
     docs = docs.unionByName(docs.limit(30))
     before, columns = None, docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:

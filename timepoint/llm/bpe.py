@@ -15,8 +15,10 @@ Defined results: null and empty texts have no tokens and decode to the empty tex
 from __future__ import annotations
 
 import heapq
+import json
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,10 +28,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timepoint.llm.common import column, load_json
+from timepoint.llm.common import column, read_text, released
 
 LONG = 200
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 ROWS = 256
 NO_RANK = 1 << 60
 # White space as the file's patterns mean it; Python's own class has four control characters more.
@@ -47,20 +49,20 @@ def byte_letters() -> list[str]:
 class WordCoder:
     """Encodes and decodes texts with one vocabulary file."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, file: str):
+        spec = json.loads(file)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids = model["vocab"]
         self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
-        self.tokens = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens |= {i: t for t, i in self.special.items()}
+        tokens = {i: t for t, i in (self.ids | self.special).items()}
+        self.listed = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.string())
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}"))
         self.letters = byte_letters()
         self.known = Words(self)
-        self.listed = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.string())
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a text, four bytes each."""
@@ -83,8 +85,8 @@ class WordCoder:
     def word(self, word: str) -> bytes:
         text = "".join([self.letters[b] for b in word.encode()])
         parts = merged_long if len(text) > LONG else merged
-        ids = [self.ids[p] for p in parts(text, self.suffix, self.ranks) if p in self.ids]
-        return np.array(ids, np.int32).tobytes()
+        get = self.ids.get
+        return array("i", [i for p in parts(text, self.suffix, self.ranks) if (i := get(p)) is not None]).tobytes()
 
     def encode_batch(self, texts: pa.Array) -> pa.Array:
         packed = [self.packed(t.as_py()) for t in texts]
@@ -131,7 +133,7 @@ class Words(dict):
 def by_parts(batch: pa.Array, made: Callable[[pa.Array], pa.Array], kind: pa.DataType) -> pa.Array:
     """``made`` of some rows at a time, so that only their intermediate values are held at once."""
     parts = [made(batch.slice(i, ROWS)).cast(kind) for i in range(0, len(batch), ROWS)]
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+    return released(pa.concat_arrays(parts) if parts else pa.array([], kind))
 
 
 def merged(text: str, suffix: str, ranks: dict) -> list[str]:
@@ -183,7 +185,7 @@ class Coder:
     """Column functions for one vocabulary file, whose path the driver reads."""
 
     def __init__(self, spark: SparkSession, path: str):
-        sent, key = spark.sparkContext.broadcast(load_json(path)), uuid.uuid4().hex
+        sent, key = spark.sparkContext.broadcast(read_text(path)), uuid.uuid4().hex
 
         def coder() -> WordCoder:
             if key not in _coders:
@@ -208,6 +210,7 @@ class Coder:
                     part = batch.slice(at, ROWS)
                     ids = own.encode_batch(part.column("text"))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, own.decode_batch(ids)], ["doc_id", "ids", "decoded"])
+                released(ids)
 
         self._both = both
         self._encode, self._decode = encode.asNondeterministic(), decode.asNondeterministic()

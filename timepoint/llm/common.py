@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +48,22 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name.replace('`', '``')}`"]
 
 
+def columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns that ``like`` has, in its order."""
+    return df.select(*[column(df, c) for c in like.columns])
+
+
 def joined_digest(items: Column) -> Column:
     """SHA-256 in lower-case hex of the strings joined by commas."""
     return F.sha2(F.concat_ws(",", items), 256)
 
 
-def load_json(path: str) -> dict:
+def read_text(path: str) -> str:
     with open(path, encoding="utf-8") as f:
-        return json.load(f)
+        return f.read()
+
+
+def released(made: pa.Array) -> pa.Array:
+    """The array, with what Arrow holds beside it given back: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    return made

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timepoint.llm.common import WORD, column, plain_words, written
+from timepoint.llm.common import WORD, column, plain_words, released, written
 
 WINDOW = 10
 WORDS_PER_AUTOMATON = 1_000_000
@@ -111,7 +111,7 @@ def _scanner(items, size: int):
                     "spans": places(text, runs) if runs else [],
                 }
             )
-        return pa.array(rows, _ARROW)
+        return released(pa.array(rows, _ARROW))
 
     return scan.asNondeterministic()
 

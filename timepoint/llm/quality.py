@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timepoint.llm.common import column, free_name, written
+from timepoint.llm.common import column, columns_of, free_name, written
 
 #: Frequent function words of each language.
 COMMON_WORDS = {
@@ -214,4 +214,4 @@ def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang", **limi
     stats = free_name(docs, "stats")
     rows = written(docs.withColumn(stats, statistics(column(docs, text), column(docs, lang))), "statistics")
     judged = with_verdict(rows, stats, lang, **limits)
-    return judged.where(column(judged, stats)["kept"]).select(docs.columns)
+    return columns_of(judged.where(column(judged, stats)["kept"]), docs)

@@ -26,10 +26,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timepoint.llm.common import column, written
+from timepoint.llm.common import column, released, written
 
 KINDS = ("assign", "access", "hex")
 PER_KIND = 2_000
@@ -273,7 +273,7 @@ def fit(
             t = t.as_py() or ""
             found = dict.fromkeys(credentials(t)) | dict.fromkeys(("", x) for x in ordinary_tokens(t, ORDINARY_LENGTH, PER_TEXT))
             rows.append([{"kind": k, "value": v[:LONGEST]} for k, v in found])
-        return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
+        return released(pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))))
 
     found = written(docs.select(F.explode(labelled.asNondeterministic()(column(docs, text))).alias("f")).select("f.*").distinct(), "labelled")
 
@@ -285,46 +285,41 @@ def fit(
     return Model(known, plain, **options) if known and plain else None
 
 
-def spans_of(text: Column, sent, min_length: int = MIN_LENGTH) -> Column:
-    """Column function: all spans of a text (``SPAN``), by the model that was sent."""
+def listed(spans: list[tuple[int, int, str]]) -> list[dict]:
+    return [{"kind": k, "start": a, "end": b} for a, b, k in spans]
 
-    @F.arrow_udf(f"array<{SPAN}>")
-    def scan(texts: pa.Array) -> pa.Array:
-        model = sent.value
-        rows = [[{"kind": k, "start": a, "end": b} for a, b, k in all_spans(t.as_py(), model, min_length)] for t in texts]
-        return pa.array(rows, _SPANS)
 
-    return scan.asNondeterministic()(text)
+def cut(text: str, spans: list[tuple[int, int, str]], mark: str = MARK) -> str:
+    """The text with each run of overlapping spans (by start) replaced by a mark."""
+    kept, at = [], 0
+    for a, b, _ in spans:
+        if a >= at:
+            kept += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*kept, text[at:]])
+
 
+def with_secrets(docs: DataFrame, into: str, *, text: str = "text", min_length: int = MIN_LENGTH, mark: str | None = None, **options) -> DataFrame:
+    """The documents with ``spans`` (of ``SPAN``) and ``redacted`` in a struct, by a model fitted on the same table.
 
-def with_secrets(docs: DataFrame, into: str, *, text: str = "text", min_length: int = MIN_LENGTH, **options) -> DataFrame:
-    """The documents with all spans in column ``into``, by a model fitted on the same table."""
+    ``redacted`` is the text with marks in place of the secrets; null where there are none, and without ``mark``.
+    """
     model = fit(docs, text=text, **options)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # states of a bounded sample
-    return docs.withColumn(into, spans_of(column(docs, text), sent, min_length))
+
+    @F.arrow_udf(f"struct<spans: array<{SPAN}>, redacted: string>")
+    def scan(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts:
+            t = t.as_py()
+            spans = all_spans(t, sent.value, min_length)
+            rows.append({"spans": listed(spans), "redacted": cut(t, spans, mark) if spans and mark is not None else None})
+        return released(pa.array(rows, pa.struct([("spans", _SPANS), ("redacted", pa.string())])))
+
+    return docs.withColumn(into, scan.asNondeterministic()(column(docs, text)))
 
 
 def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document: doc_id and spans, an array of kind, start and end in code points, end exclusive."""
     rows = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
-    return with_secrets(rows, "spans", **options).select("doc_id", "spans")
-
-
-def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
-    """The text with each run of overlapping spans replaced by a mark; a text without spans as it was."""
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, spans in zip(texts, found):
-            t, kept, at = t.as_py(), [], 0
-            for s in spans.as_py() or []:
-                if s["end"] <= at:
-                    continue
-                if s["start"] >= at:
-                    kept += [t[at : s["start"]], mark]
-                at = s["end"]
-            out.append("".join([*kept, t[at:]]) if at else t)
-        return pa.array(out, pa.string())
-
-    return cut.asNondeterministic()(text, spans)
+    return with_secrets(rows, "found", **options).select("doc_id", "found.spans")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timepoint.llm.common import column, free_name, written
+from timepoint.llm.common import column, columns_of, free_name, released, written
 
 SHINGLE = 3
 DISTANCE = 2
@@ -66,7 +66,7 @@ def fingerprints(text: Column, size: int = SHINGLE) -> Column:
 
     @F.arrow_udf("bigint")
     def made(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t.as_py(), size) for t in texts], pa.int64())
+        return released(pa.array([fingerprint(t.as_py(), size) for t in texts], pa.int64()))
 
     return made.asNondeterministic()(text)
 
@@ -259,10 +259,10 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
     named = of.select(F.col("bits").alias(bits), F.col("root").alias(root), F.col("component_id").alias(first), F.col("n_first").alias(rows))
     kept = marked.join(named, bits).where(column(docs, doc_id).eqNullSafe(F.col(first)))
     if of.where("n_first > 1").isEmpty():
-        return kept.select(docs.columns)
+        return columns_of(kept, docs)
     # Repeated rows of one id: one of them, taken where they are before any shuffle.
     again = kept.where(F.col(rows) > 1).groupBy(root).agg(F.first(F.struct(*[column(docs, c) for c in docs.columns])).alias("row"))
-    return kept.where(F.col(rows) == 1).select(docs.columns).unionByName(again.select("row.*"))
+    return columns_of(kept.where(F.col(rows) == 1), docs).unionByName(again.select("row.*"))
 
 
 def hex_digits(bits: Column) -> Column:
