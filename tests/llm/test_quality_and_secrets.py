@@ -158,6 +158,14 @@ def test_inferred_automaton_finds_its_format_and_leaves_words_and_numbers():
     assert len(model.automata["hex"].states) < 60
 
 
+def test_sample_is_that_of_smallest_hash(spark):
+    texts = [f"token = {hashlib.md5(str(i).encode()).hexdigest()} and wordnumber{i}x" for i in range(300)]
+    few = secrets.fit(documents(spark, texts), per_kind=20, ordinary=30)
+    values = spark.createDataFrame([(t[8:40],) for t in texts], "v string").orderBy(F.xxhash64("v"), "v").limit(20)
+    want = secrets.Model([("hex", r.v) for r in values.collect()], ["word"])
+    assert few.spread["hex"] == want.spread["hex"] and few.automata["hex"].out[0].total() == want.automata["hex"].out[0].total()
+
+
 def test_redaction(spark):
     text = f'a token = "{HEX40}" b {HEX40} c'
     docs = documents(spark, [text, "clean", None, "api_key = " + "0123456789abcdef" * 2])
