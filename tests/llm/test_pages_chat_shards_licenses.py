@@ -185,6 +185,28 @@ def test_html_of_other_templates(spark):
     assert html.extract_pages(pages.limit(0)).count() == 0
 
 
+PAGE = f"<h1>Title</h1><article><p>{LOREM}</p><p>Short.</p><p>{LOREM}</p></article><div class='sidebar'><p>{LOREM}</p></div>"
+REST = f"<nav><a href='/'>Home</a></nav>%s<footer>{LOREM}</footer>"
+WRAPPED = [
+    *[(REST % f"<div {name}>{PAGE}</div>", f"{LOREM}Short. {LOREM}")
+      for name in ("id=page class=right-sidebar", "class=comments-open", "class='two-column-sidebar sticky-footer'", "role=search")],
+    (REST % f"<form action='/'><div id=nav-wrapper><div class=a>{PAGE.replace('article', 'div')}</div></div></form>", f"Title {LOREM}Short. {LOREM}"),
+    (f"<fieldset><div class=menu-open><main><p>Short.</p></main></div></fieldset><p>{LOREM}</p>", "Short."),
+    ("<div class=no-ads><div class=sidebar><article>Short.</article></div></div>", "Short."),
+    # What is beside the article stays out, however long and whatever elements it has.
+    (f"<div id=content><p>{LOREM}</p></div><div class=sidebar><article>{LOREM}</article><article>{LOREM}</article></div>", LOREM),
+    (f"<div id=content><p>{LOREM}</p></div><div class=related><p>{LOREM * 2}</p></div>", LOREM),
+    (f"<p>{LOREM}</p><div id=comments><article>{LOREM * 9}</article></div>", LOREM),
+    (f"<ul><li>One thing</li><li>{'Other things ' * 20}</li></ul><div class=cookie-notice><p>{LOREM[:150]}</p></div>", "One thing " + "Other things " * 20),
+    (f"<div style='display: none'><main>{LOREM}</main></div><nav><article>{LOREM}</article></nav><aside><main>{LOREM}</main></aside>", ""),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), WRAPPED)
+def test_html_of_pages_in_marked_wrappers(page, want):
+    assert html.main_text(page) == " ".join(want.split())
+
+
 # Chat
 
 

@@ -8,6 +8,11 @@ In the second pass an undecided block inherits from its nearest decided neighbou
 the nearest sectioning element), or else on the page: the same label on both sides is taken over, of different ones that
 of the nearer block, of equally near ones content.
 
+A name or a form proves little where the element holds the page itself. Navigation, footers, asides, hidden parts and
+comments are boilerplate whatever is in them; any other element so marked (a wrapper "right-sidebar", a form around the
+page) loses its mark where it holds a main element, the page's only article with at least half of the prose, or nearly
+all prose and most text of the page. Parts marked within it keep their own marks.
+
 Defined results: a null or empty page has an empty text; malformed markup never fails (an unclosed element ends with its
 parent, a ``<`` that begins no tag is text, an unclosed comment or script runs to the end); a page without any decided
 block is taken whole, or as nothing where all of it is boilerplate. Rows are never merged; extra columns are not carried.
@@ -29,6 +34,8 @@ LONG = 140
 SHORT = 25
 MAX_LINKS = 0.5
 MIN_STOP_WORDS = 0.15
+#: Share of a page's prose from which a marked element is taken to be around the page.
+NEARLY_ALL = 0.8
 
 #: Elements by their role in a page.
 BLOCK_TAGS = frozenset(
@@ -39,6 +46,8 @@ BLOCK_TAGS = frozenset(
 RAW_TAGS = frozenset("script style noscript template textarea iframe object svg math canvas select button title xmp noembed noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_CONTENT = frozenset("nav aside footer form menu dialog head fieldset".split())
+#: Those whose mark stands whatever they hold.
+SURE_TAGS = frozenset("nav aside footer head".split())
 CONTAINERS = frozenset(["article", "main"])
 SECTIONS = frozenset("article main section div body td aside nav header footer form ul ol dl table blockquote".split())
 #: Elements that an opening tag of the same kind closes.
@@ -50,6 +59,9 @@ ASIDE_WORDS = frozenset(
     "subscription signup login comment comments commentlist respond disqus reply replies share sharing social related recommended "
     "widget pagination pager complementary contentinfo search searchbox toc alert disclaimer".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus reply replies".split())
+#: Beside a word of comments these say how the page is, not what the element is ("comments-open").
+STATE_WORDS = frozenset("open opened closed enabled disabled allowed on off".split())
 HEADER_WORDS = frozenset(["header", "banner", "masthead"])
 ARTICLE_WORDS = frozenset(["article", "post", "entry", "content", "main"])
 #: Elements around the whole page or article, whose names say nothing against their content.
@@ -72,6 +84,18 @@ _HAVING = re.compile("(?:has|with|without|no|hide|show)[-_]", re.I)
 _NAME_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+@dataclass
+class Mark:
+    """A part beside the article by its name or form only (or the page, as the first), and what lies in it."""
+
+    number: int
+    over: Mark | None = None
+    prose: int = 0
+    text: int = 0
+    articles: int = 0
+    mains: int = 0
+
+
 @dataclass
 class Element:
     tag: str
@@ -79,6 +103,8 @@ class Element:
     aside: bool  # in a part beside the article
     content: bool  # in an article
     container: int  # the nearest article, else the nearest section
+    sure: bool  # in a part beside the article whatever it holds
+    mark: Mark  # the nearest part that is so by name or form only
 
 
 @dataclass
@@ -90,27 +116,35 @@ class Block:
     label: bool | None = None
 
 
-def named_aside(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element's attributes say that it is no part of the article."""
+#: What an element's attributes say of it.
+UNNAMED, NAMED, SURE = 0, 1, 2
+
+
+def named_aside(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element's attributes say that it is no part of the article, and whether that is sure."""
+    said = UNNAMED
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return SURE
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return SURE
         if name in ("class", "id", "role") and tag not in WHOLE_TAGS:
             for token in value.split():
                 if _HAVING.match(token):  # "has-sidebar" names what is around a sidebar
                     continue
                 words = {w.lower() for w in _NAME_WORDS.findall(token)}
+                if words & COMMENT_WORDS and not words & STATE_WORDS:
+                    return SURE
                 if words & ASIDE_WORDS or not inside and words & HEADER_WORDS and not words & ARTICLE_WORDS:
-                    return True
-    return False
+                    said = NAMED
+    return said
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page that have text, in order."""
-    top = Element("", 0, False, False, 0)
+def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[Block], list[Mark]]:
+    """The blocks of a page that have text, and its marks, in order; the elements of the given numbers get no mark."""
+    marks = [Mark(0)]
+    top = Element("", 0, False, False, 0, False, marks[0])
     stack, found, current, links, numbers = [top], [], Block(top), 0, 0
     at, end = 0, len(page)
 
@@ -161,21 +195,54 @@ def blocks(page: str) -> list[Block]:
                     del stack[last:]
             over, numbers = stack[-1], numbers + 1
             inside = over.content or tag in CONTAINERS
-            aside = over.aside or tag in NOT_CONTENT or tag == "header" and not inside or named_aside(tag, m[4], inside)
+            named = named_aside(tag, m[4], inside)
+            sure, mark = over.sure or tag in SURE_TAGS or named == SURE, over.mark
+            marked = named or tag in NOT_CONTENT or tag == "header" and not inside
+            if marked and not sure and numbers not in wrappers:
+                mark = Mark(numbers, over.mark)
+                marks.append(mark)
+            elif tag in CONTAINERS and not sure:
+                mark.mains += tag == "main"
+                mark.articles += tag == "article" and not over.content
+            aside = over.aside or sure or mark is not over.mark
             apart = tag in CONTAINERS or aside and not over.aside or tag in SECTIONS and not inside
             container = numbers if apart else over.container
-            stack.append(Element(tag, numbers, aside, inside, container))
+            stack.append(Element(tag, numbers, aside, inside, container, sure, mark))
         if tag in BLOCK_TAGS:
             current = Block(stack[-1])
     stack = stack[:1]
     close()
-    return found
+    return found, marks
+
+
+def around_page(found: list[Block], marks: list[Mark]) -> frozenset[int]:
+    """Numbers of the elements that are marked although they hold the page or its article."""
+    for block in found:
+        if not block.element.sure:
+            block.element.mark.text += len(block.text)
+            block.element.mark.prose += len(block.text) if by_text(block) else 0
+    for mark in reversed(marks[1:]):  # what is in a part is in the one over it
+        mark.over.prose += mark.prose
+        mark.over.text += mark.text
+        mark.over.articles += mark.articles
+        mark.over.mains += mark.mains
+    page = marks[0]
+    return frozenset(
+        m.number
+        for m in marks[1:]
+        if m.mains
+        or m.articles == page.articles == 1 and 2 * m.prose >= page.prose
+        or m.prose and m.prose >= NEARLY_ALL * page.prose and 2 * m.text >= page.text
+    )
 
 
 def classify(block: Block) -> bool | None:
     """First pass: content, boilerplate, or undecided."""
-    if block.element.aside:
-        return False
+    return False if block.element.aside else by_text(block)
+
+
+def by_text(block: Block) -> bool | None:
+    """What a block is by its length, stop words and links."""
     n = len(block.text)
     if block.linked > MAX_LINKS * n and not block.element.content:
         return False
@@ -226,7 +293,10 @@ def main_text(page: str | None) -> str:
     """The article's blocks in order, joined by one space."""
     if not page:
         return ""
-    found = blocks(page)
+    found, marks = blocks(page)
+    wrappers = around_page(found, marks) if len(marks) > 1 else frozenset()
+    if wrappers:
+        found, _ = blocks(page, wrappers)
     for block in found:
         block.label = classify(block)
     inherit(found)
