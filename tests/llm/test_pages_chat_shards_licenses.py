@@ -207,6 +207,27 @@ def test_html_of_pages_in_marked_wrappers(page, want):
     assert html.main_text(page) == " ".join(want.split())
 
 
+UNCLOSED = [
+    *[(f"<div>{tag}Menu<article><p>{LOREM}</p></article></div>", LOREM)
+      for tag in ("<button>", "<button class=a>", "<object data=x>", "<canvas>", "<svg><path d=x>", "<noscript>", "<template>")],
+    (f"<ul><li><select><option>a<option>b</ul><p>{LOREM}</p><form><select><option>a</select></form>", LOREM),
+    (f"<nav><button>Menu</nav><p>{LOREM}</p><button>Send</button>", LOREM),
+    (f"<p><a href=x><button>Menu</a></p><p>{LOREM}</p>", LOREM),
+    (f"<p>{LOREM}<math><mi>x</mi><mo>=</mo><semantics><mn>2</mn><annotation>x=2</annotation></semantics></math> so.</p>", f"{LOREM}x=2 so."),
+    # Closed ones are left out with all they hold, and part no block.
+    (f"<p>Is <button><div>one</div><p>two</p></button>it <select><option>a<option>b</select>so? <svg><title>t</title><text>x</text></svg>{LOREM}</p>",
+     f"Is it so? {LOREM}"),
+    (f"<article><p>{LOREM}</p><button><div>one</button> two</article>", f"{LOREM}two"),
+    (f"<noscript><p>{LOREM}</p></noscript><template><article>{LOREM}</article></template><p>{LOREM}</p>", LOREM),
+    (f"<p>{LOREM}</p><script>var a = '<p>'", LOREM), (f"<p>{LOREM}</p><textarea><p>{LOREM}</p>", LOREM),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), UNCLOSED)
+def test_html_of_elements_that_are_left_out(page, want):
+    assert html.main_text(page) == " ".join(want.split())
+
+
 # Chat
 
 

@@ -14,15 +14,17 @@ page) loses its mark where it holds a main element, the page's only article with
 all prose and most text of the page. Parts marked within it keep their own marks.
 
 Defined results: a null or empty page has an empty text; malformed markup never fails (an unclosed element ends with its
-parent, a ``<`` that begins no tag is text, an unclosed comment or script runs to the end); a page without any decided
-block is taken whole, or as nothing where all of it is boilerplate. Rows are never merged; extra columns are not carried.
+parent, a ``<`` that begins no tag is text, an unclosed comment or script, or other raw element, runs to the end); what is
+no text of the page (buttons, choices, drawings, templates) is left out, and where such an element is not closed it ends
+with its parent or at the next block; a page without any decided block is taken whole, or as nothing where all of it is
+boilerplate. Rows are never merged; extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,15 +45,22 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
     "thead title tr ul".split()
 )
-RAW_TAGS = frozenset("script style noscript template textarea iframe object svg math canvas select button title xmp noembed noframes".split())
+#: Elements that hold no markup, up to their closing tag or the end.
+RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Elements with markup that is no text of the page.
+LEFT_OUT = frozenset("noscript template object svg canvas select button annotation annotation-xml".split())
+#: Blocks that such an element may hold.
+HELD_TAGS = frozenset("option legend hr br".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_CONTENT = frozenset("nav aside footer form menu dialog head fieldset".split())
 #: Those whose mark stands whatever they hold.
 SURE_TAGS = frozenset("nav aside footer head".split())
 CONTAINERS = frozenset(["article", "main"])
 SECTIONS = frozenset("article main section div body td aside nav header footer form ul ol dl table blockquote".split())
+STACKED = BLOCK_TAGS | LEFT_OUT | frozenset("span b i em strong ins section".split())
 #: Elements that an opening tag of the same kind closes.
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}, "button": {"button"}, "select": {"select"}}
+_ENDS = {tag: closed | SECTIONS | LEFT_OUT for tag, closed in SIBLINGS.items()}
 #: Words of class, id and role that name a part beside the article.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
@@ -78,6 +87,7 @@ _TOKEN = re.compile(
     r"""<!--(.*?)(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S
 )
 _SHUT = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW_TAGS}
+_NEXT = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in LEFT_OUT}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[^\W_]+")
 _HAVING = re.compile("(?:has|with|without|no|hide|show)[-_]", re.I)
@@ -105,6 +115,8 @@ class Element:
     container: int  # the nearest article, else the nearest section
     sure: bool  # in a part beside the article whatever it holds
     mark: Mark  # the nearest part that is so by name or form only
+    out: bool = False  # in an element that is left out
+    closed: bool = True  # whether that one has a closing tag
 
 
 @dataclass
@@ -157,7 +169,7 @@ def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[Bloc
         current = Block(stack[-1])
 
     def say(raw: str) -> None:
-        if raw and (current.element.aside or not stack[-1].aside):  # else in an inline advert or the like
+        if raw and not stack[-1].out and (current.element.aside or not stack[-1].aside):  # else in an inline advert or the like
             text = html.unescape(raw)
             current.parts.append(text)
             if links:
@@ -178,22 +190,30 @@ def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[Bloc
                 stop = _SHUT[tag].search(page, at)
                 at = stop.end() if stop else end
             continue
-        if tag == "a":
+        if not closing and not stack[-1].closed and tag in BLOCK_TAGS and tag not in HELD_TAGS:  # it ends here
+            del stack[next(i for i, e in enumerate(stack) if e.out and not e.closed) :]
+        if tag == "a" and (closing or not stack[-1].out):
             links = 0 if closing else 1
-        if tag in BLOCK_TAGS:
-            close()
+        was_out = stack[-1].out
         if tag in VOID_TAGS:
+            if tag in BLOCK_TAGS and not was_out:
+                close()
             continue
         if closing:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and not (tag not in BLOCK_TAGS and any(e.tag in SECTIONS for e in stack[depth + 1 :])):
+            if depth and not (tag not in BLOCK_TAGS and tag not in LEFT_OUT and any(e.tag in SECTIONS for e in stack[depth + 1 :])):
                 del stack[depth:]
-        elif tag in BLOCK_TAGS or tag in ("span", "b", "i", "em", "strong", "ins", "section"):
+        elif tag in STACKED and not (tag in LEFT_OUT and m[4].endswith("/")):
             if tag in SIBLINGS:
-                last = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in SIBLINGS[tag] or stack[i].tag in SECTIONS), 0)
+                last = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _ENDS[tag]), 0)
                 if last and stack[last].tag in SIBLINGS[tag]:
                     del stack[last:]
             over, numbers = stack[-1], numbers + 1
+            if over.out or tag in LEFT_OUT:
+                after = None if over.out else _NEXT[tag].search(page, at)
+                closed = over.closed if over.out else after is not None and after[1] == "/"
+                stack.append(replace(over, tag=tag, number=numbers, out=True, closed=closed))
+                continue
             inside = over.content or tag in CONTAINERS
             named = named_aside(tag, m[4], inside)
             sure, mark = over.sure or tag in SURE_TAGS or named == SURE, over.mark
@@ -208,8 +228,8 @@ def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[Bloc
             apart = tag in CONTAINERS or aside and not over.aside or tag in SECTIONS and not inside
             container = numbers if apart else over.container
             stack.append(Element(tag, numbers, aside, inside, container, sure, mark))
-        if tag in BLOCK_TAGS:
-            current = Block(stack[-1])
+        if tag in BLOCK_TAGS and not (was_out and stack[-1].out):
+            close()
     stack = stack[:1]
     close()
     return found, marks
