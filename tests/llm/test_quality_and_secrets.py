@@ -158,6 +158,26 @@ def test_inferred_automaton_finds_its_format_and_leaves_words_and_numbers():
     assert len(model.automata["hex"].states) < 60
 
 
+def test_every_token_is_scored_also_without_digits_short_or_around_a_base_span():
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, of, k: "".join(of[b % len(of)] for b in hashlib.sha512(f"{n} {len(of)} {k}".encode()).digest()[:k])
+    prose = "Understanding the inspection of ordinary things thereafter made Monday 12345678 or 2024-01-31 a well-known facade for decades"
+    labelled = [("assign", key(i, letters, 24)) for i in range(300)] + [("hex", hashlib.md5(str(i).encode()).hexdigest()) for i in range(300)]
+    model = secrets.Model(labelled, [w for w in prose.split() if len(w) >= 6] * 50)
+    for of, k, least in ((letters[:52], 20, 85), (letters[:52], 16, 80), (letters, 10, 60), (letters[-10:] + "abcdef", 8, 60)):
+        texts = [f"a {key(i, of, k)} b" for i in range(100)]
+        spans = [secrets.all_spans(t, model) for t in texts]
+        assert {s[:2] for found in spans for s in found} == {(2, 2 + k)} and sum(map(bool, spans)) >= least, (of, k)
+    assert secrets.all_spans(prose, model) == []
+    form = lambda i: f"Key_{hashlib.md5(str(i).encode()).hexdigest()[:28]}_ZQ"
+    formed = secrets.Model([("assign", form(i)) for i in range(300)], [w for w in prose.split() if len(w) >= 6] * 50)
+    around = f"see {form(1000)} end"
+    assert secrets.all_spans(around, formed) == [(4, 39, "assign-like"), (8, 36, "hex")]
+    assert secrets.cut(around, secrets.all_spans(around, formed)) == "see [REDACTED] end"
+    inside = f"token = {'0a1b2c3d4e5f' * 2}"
+    assert secrets.all_spans(inside, model) == [(0, len(inside), "assign"), (8, len(inside), "hex")]
+
+
 def test_sample_is_that_of_smallest_hash(spark):
     texts = [f"token = {hashlib.md5(str(i).encode()).hexdigest()} and wordnumber{i}x" for i in range(300)]
     few = secrets.fit(documents(spark, texts), per_kind=20, ordinary=30)

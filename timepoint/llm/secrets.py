@@ -3,16 +3,17 @@
 Base rules find credentials of three kinds; what they find is labelled with its kind. For each kind a prefix tree of
 labelled credentials (as sequences of character classes) is folded into a probabilistic automaton: states whose
 stopping and outgoing frequencies are compatible by the Hoeffding bound are merged, with all that follows them
-(state merging in the manner of ALERGIA). Every candidate token of a text is scored by the log-likelihood ratio, per
-character, of the best kind's automaton against a bigram model of classes in ordinary tokens. Candidates that reach a
-kind's ``threshold`` and look like no ordinary token are added as ``<kind>-like`` spans.
+(state merging in the manner of ALERGIA). Every token of a text that is as long as a labelled credential can be, words and
+numbers too, is scored by the log-likelihood ratio, per character, of the best kind's automaton against a bigram model of
+classes in ordinary tokens. Candidates that reach a kind's ``threshold``, and ``EVIDENCE`` over all their characters, are
+added as ``<kind>-like`` spans; below 16 characters it is the latter that decides.
 
 The fit uses at most ``per_kind`` labelled credentials of each kind and ``ordinary`` tokens of some length (``PER_TEXT`` of a text,
 and the first ``LONGEST`` characters of each), those of smallest hash over the whole table, so it depends neither on the
 order of rows nor on the number of tasks. All texts are scanned whole.
 
 Defined results: null and empty texts have no spans; no labelled credentials (or no tokens) mean no added spans; a
-candidate that touches a base span is left out; rows are never merged or dropped; extra columns stay in
+candidate within base spans is left out, one that reaches beyond them is scored whole and they stay; rows are never merged or dropped; extra columns stay in
 ``with_secrets`` and are not carried by ``find_secrets``.
 """
 
@@ -35,8 +36,11 @@ KINDS = ("assign", "access", "hex")
 PER_KIND = 2_000
 ORDINARY = 20_000
 ALPHA = 0.05
-MIN_LENGTH = 16
+#: Least length of a labelled value, and of a candidate.
+MIN_LENGTH = 6
 THRESHOLD = 0.5
+#: Least log-likelihood ratio of a whole token: in a few characters many words look like a credential.
+EVIDENCE = 8.0
 DEVIATIONS = 3.0
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -48,11 +52,13 @@ _TOKEN_BYTES = bytes(b if b < 128 and CANDIDATE.match(chr(b)) else 32 for b in r
 SPAN = "struct<kind: string, start: int, end: int>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _ORDER = {k: i for i, k in enumerate((*KINDS, *[f"{k}-like" for k in KINDS]))}
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 MARK = "[REDACTED]"
 PER_TEXT = 8
 ORDINARY_LENGTH = 6
 LONGEST = 256
+#: Sequences of classes whose kind a worker remembers at a time, and how long they are at most.
+REMEMBERED = 100_000
+REMEMBERED_LENGTH = 64
 END = "$"
 
 
@@ -63,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     # A pattern runs only over texts that hold what every match of it holds.
     low = raw.lower()
     if any(word in low for word in _WORDS):
-        found += [(*m.span(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(*m.span(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_LENGTH]
     if b"AKIA" in raw:
         found += [(*m.span(), 1) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     if b"x" * 24 in raw.translate(_HEX_BYTES):
@@ -82,12 +88,16 @@ def credentials(text: str) -> list[tuple[str, str]]:
     return [(k, ASSIGN.match(text, a)[2] if k == "assign" else text[a:b]) for a, b, k in spans]
 
 
+def _class(c: str) -> str:
+    return "d" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "H" if "A" <= c <= "F" else "L" if c.isupper() else "s"
+
+
+_CLASSES = {i: _class(chr(i)) for i in range(128)}
+
+
 def classes(value: str) -> str:
-    """A letter for each character: digit, letters a-f and others in both cases, signs."""
-    return "".join(
-        "d" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "H" if "A" <= c <= "F" else "L" if c.isupper() else "s"
-        for c in value
-    )
+    """A letter for each character (of ASCII): digit, letters a-f and others in both cases, signs."""
+    return value.translate(_CLASSES)
 
 
 class Automaton:
@@ -198,6 +208,7 @@ class Model:
         self.spread = {k: self._spread(self.automata[k], v) for k, v in by_kind.items()}
         self.ordinary = Bigrams([classes(t) for t in ordinary])
         self.threshold = threshold
+        self.remembered: dict[str, str | None] = {}
 
     @staticmethod
     def _spread(automaton: Automaton, sequences: list[str]) -> tuple[float, float]:
@@ -213,22 +224,32 @@ class Model:
 
     def kind(self, token: str) -> str | None:
         """The kind whose format the token has most likely, if any: as likely as all but the oddest credentials, and
-        likelier than an ordinary token by the threshold."""
+        likelier than an ordinary token by the threshold, and by the least evidence as a whole."""
         sequence = classes(token)
+        if len(sequence) > REMEMBERED_LENGTH:
+            return self._kind(sequence)
+        if sequence not in self.remembered:
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered.clear()
+            self.remembered[sequence] = self._kind(sequence)
+        return self.remembered[sequence]
+
+    def _kind(self, sequence: str) -> str | None:
         plain = self.ordinary.score(sequence) / len(sequence)
         scored = [(a.score(sequence) / len(sequence), k) for k, a in self.automata.items()]
-        fit = [(s, k) for s, k in scored if s >= self._lowest(k, len(sequence)) and s - plain >= self.threshold]
+        least = plain + max(self.threshold, EVIDENCE / len(sequence))
+        fit = [(s, k) for s, k in scored if s >= self._lowest(k, len(sequence)) and s >= least]
         return max(fit)[1] if fit else None
 
 
-def candidates(text: str, min_length: int) -> list[tuple[int, int]]:
-    """Tokens long enough with a digit and a letter: letters alone are a word, digits alone a number."""
-    wanted = {t for t in long_tokens(text, min_length) if _DIGIT.search(t) and _LETTER.search(t)}
-    return [m.span() for m in CANDIDATE.finditer(text) if m[0] in wanted] if wanted else []
+def candidates(text: str, model: Model, min_length: int) -> list[tuple[int, int, str]]:
+    """The tokens long enough that have a kind's format, with that kind."""
+    kinds = {t: kind for t in long_tokens(text, min_length) if (kind := model.kind(t))}
+    return [(*m.span(), kinds[m[0]]) for m in CANDIDATE.finditer(text) if m[0] in kinds] if kinds else []
 
 
-def outside(tokens: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Those of the tokens (in order) that touch none of the spans (by start)."""
+def beyond(tokens: list[tuple[int, int, str]], spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Those of the tokens that do not lie within the spans (by start)."""
     covered: list[list[int]] = []
     for a, b, _ in spans:
         if covered and a <= covered[-1][1]:
@@ -237,10 +258,10 @@ def outside(tokens: list[tuple[int, int]], spans: list[tuple[int, int, str]]) ->
             covered.append([a, b])
     starts = [a for a, _ in covered]
     free = []
-    for a, b in tokens:
-        i = bisect.bisect_left(starts, b)  # the runs before i begin before the token ends
-        if not i or covered[i - 1][1] <= a:
-            free.append((a, b))
+    for a, b, kind in tokens:
+        i = bisect.bisect_right(starts, a)  # the runs before i begin no later than the token
+        if not i or covered[i - 1][1] < b:
+            free.append((a, b, kind))
     return free
 
 
@@ -249,8 +270,7 @@ def all_spans(text: str | None, model: Model | None, min_length: int = MIN_LENGT
     spans = base_spans(text) if text else []
     if not text or model is None:
         return spans
-    added = [(a, b, model.kind(text[a:b])) for a, b in outside(candidates(text, min_length), spans)]
-    added = [(a, b, f"{k}-like") for a, b, k in added if k]
+    added = [(a, b, f"{k}-like") for a, b, k in beyond(candidates(text, model, min_length), spans)]
     return sorted(spans + added, key=lambda s: (s[0], _ORDER[s[2]]))
 
 
