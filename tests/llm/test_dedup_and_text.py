@@ -156,6 +156,18 @@ def test_decontamination_without_items_or_documents(spark):
     assert decontaminate.find_passages(docs.limit(0), bench).count() == 0
 
 
+def test_items_sent_are_bounded_also_for_one_text_under_many_ids(spark, monkeypatch):
+    rows = [(f"id{i:04}", "one item text of some words") for i in range(300)] * 2 + [(f"null{i}", None) for i in range(900)] + [(None, "other words")] * 900
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    docs = spark.createDataFrame([(1, "here is one item text of some words"), (2, "and other words"), (3, None)], "doc_id bigint, text string")
+    sent, scanner = [], decontaminate._scanner
+    monkeypatch.setattr(decontaminate, "_scanner", lambda items, size: sent.append(items.value) or scanner(items, size))
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.find_passages(docs, bench, words_per_automaton=2000).collect()}
+    assert got == {1: (6, [f"id{i:04}" for i in range(300)]), 2: (2, []), 3: (0, [])}
+    assert sum(map(len, sent)) == 301 and 1 < len(sent) < 5
+    assert all(sum((len(i or "") + len(t)) / 2 + 1 for i, t in items) <= 1.25 * 2000 for items in sent)
+
+
 # BPE
 
 

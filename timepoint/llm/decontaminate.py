@@ -4,8 +4,9 @@ A window is ten consecutive words of an item (the whole item, where it has fewer
 items make one automaton, which passes once over the normalised text of each document; the ends of its matches lead to
 word numbers, and those to places in the document as it was.
 
-The items are sent to the executors, so their size is checked: beyond ``words_per_automaton`` they are dealt by hash
-into several sets, one automaton and one pass each, with the findings so far kept in a written table between passes.
+The items are sent to the executors, so their size, with that of their ids, is checked: beyond ``words_per_automaton`` the
+distinct pairs of id and text are dealt by their hash into several sets, one automaton and one pass each, with the findings
+so far kept in a written table between passes. A text under many ids is so dealt over the sets like any other items.
 
 Defined results: null and wordless texts have no words and no hits; a wordless item has no window; items with a null id
 hit words but are not listed; an id in several rows of the items is listed once; document rows are never merged, so a
@@ -129,12 +130,13 @@ def with_findings(
 ) -> DataFrame:
     """The documents with the findings (``FOUND``) in column ``into``."""
     items = benchmark.select(column(benchmark, item_id).cast("string").alias("id"), column(benchmark, item_text).alias("text"))
-    # Spaces and other parting characters are at least as many as words, less one.
-    size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
+    items = written(items.where(F.col("text").isNotNull()).distinct(), "items")
+    # Spaces and other parting characters are at least as many as words, less one; ids count by the same measure.
+    size = items.agg(F.sum((F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0))) / 2 + 1)).first()[0] or 0
     parts = max(1, math.ceil(size / words_per_automaton))
     out, sofar = docs, F.lit(None).cast(FOUND)
     for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else items
+        mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part) if parts > 1 else items
         sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in mine.collect()])
         if part:
             out = written(out, "findings")
