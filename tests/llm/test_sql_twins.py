@@ -21,4 +21,4 @@ def test_query_equals_sql(spark, name, folder):
 def test_all_are_registered():
     assert QUERIES.keys() < entry.queries().keys() and "pipeline" in entry.queries()
     assert ORACLES.items() <= entry.oracle_sql().items() and "pipeline" not in entry.oracle_sql()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -137,4 +137,69 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(said) AS turns_sha256
        sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-ORACLES = {"op2_warc": OP2, "op3_quality": OP3, "op5_decontamination": OP5, "op7_chat": OP7}
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes: the reflected polynomial, one byte after another."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    octets = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    step = f"xor(c >> 8, {table}[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce({octets}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+#: 16 to the power of so many levels is more than any table has.
+_LEVELS = 8
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of trees (tree, i, d), all runs joined, up to the level where each tree has one node."""
+    out = [f"{name}0 AS (SELECT tree, i, d, count(*) OVER (PARTITION BY tree) AS n FROM {leaves})"]
+    for k in range(_LEVELS):
+        out.append(f"{name}r{k} AS (SELECT tree, i // 16 AS i, any_value(n) AS n, string_agg(d, '' ORDER BY i) AS run FROM {name}{k} GROUP BY ALL)")
+        out.append(
+            f"{name}{k + 1} AS (SELECT tree, i, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS d, "
+            f"CASE WHEN n = 1 THEN 1 ELSE (n + 15) // 16 END AS n FROM {name}r{k})"
+        )
+    return ", ".join(out)
+
+
+def _climb(name: str, start: str, keep: str) -> str:
+    """From a node (tree, i, f) the siblings on its way up as text, and what it folds to."""
+    out, at = [], start
+    for k in range(_LEVELS):
+        out.append(
+            f"{name}c{k} AS (SELECT {keep}, s.tree, s.i // 16 AS i, CASE WHEN r.n = 1 THEN way ELSE way || left(run, CAST(64 * (s.i % 16) AS INT)) || "
+            f"substr(run, CAST(64 * (s.i % 16) AS INT) + 65) END AS way, CASE WHEN r.n = 1 THEN f ELSE sha256(left(run, CAST(64 * (s.i % 16) AS INT)) || f || "
+            f"substr(run, CAST(64 * (s.i % 16) AS INT) + 65)) END AS f FROM {at} s JOIN {name}r{k} r ON s.tree = r.tree AND s.i // 16 = r.i)"
+        )
+        at = f"{name}c{k}"
+    return ", ".join(out)
+
+
+_LEAF = " || ".join(_field(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWER = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
+
+OP13 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({_LEAF} || {_field('text')}) AS d,
+         CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN sha256({_LEAF} || {_field(_LOWER)}) END AS claim FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS i FROM d
+), {_tree('g', 'leaves')}, subroots AS (
+  SELECT '' AS tree, tree AS name, d, row_number() OVER (ORDER BY tree) - 1 AS i FROM g{_LEVELS}
+), {_tree('t', 'subroots')}, start AS (
+  SELECT doc_id, d AS leaf, tree, i, '' AS way, coalesce(claim, d) AS f FROM leaves
+), {_climb('g', 'start', 's.doc_id, s.leaf')}, up AS (
+  SELECT c.doc_id, c.leaf, s.d AS subroot, s.tree, s.i, c.way, c.f FROM gc{_LEVELS - 1} c JOIN subroots s ON s.name = c.tree
+), {_climb('t', 'up', 's.doc_id, s.leaf, s.subroot')}
+SELECT doc_id, leaf, subroot, r.d AS root, sha256(way) AS proof_sha256, f AS folded_root, f = r.d AS verified
+FROM tc{_LEVELS - 1} c, t{_LEVELS} r
+"""
+
+ORACLES = {"op2_warc": OP2, "op3_quality": OP3, "op5_decontamination": OP5, "op7_chat": OP7, "op13_merkle": OP13}

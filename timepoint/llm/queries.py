@@ -1,11 +1,11 @@
-"""The ten operators bound to the supplied tables, one query each, and the corpus pipeline."""
+"""The operators bound to the supplied tables, one query each, and the corpus pipeline."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timepoint.llm import bpe, chat, decontaminate, html, licenses, quality, secrets, shard, simhash, warc
+from timepoint.llm import align, bpe, chat, decontaminate, html, licenses, merkle, ngram_join, quality, secrets, shard, simhash, warc
 from timepoint.llm.common import joined_digest, table
 from timepoint.llm.oracles import ORACLES as ORACLES
 from timepoint.session import new_scratch
@@ -122,6 +122,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path
+    found = align.align(spark, docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    counts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, "groups_sha256")
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    drawn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    return merkle.audit(docs, ["doc_id", "source", "lang", "n_chars", "text"], tampered=F.coalesce(drawn, F.lit(False)))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_warc": op2_warc,
@@ -133,4 +152,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_merkle": op13_merkle,
 }
