@@ -186,11 +186,11 @@ def test_near_duplicates_of_clusters(spark, frequent, monkeypatch):
     assert len(found) == len(set(found)) == len(links)
 
 
-def test_hub_rounds_and_parts(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PART", 7)
+def test_blocks_of_an_entry(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
     texts = clusters(77, passage=150)
     want, _ = plain_join(texts, range(len(texts)))
-    assert sorted(map(tuple, ngram_join.near_duplicates(documents(spark, texts), frequent=1).collect()), key=str) == want
+    assert sorted(map(tuple, ngram_join.near_duplicates(documents(spark, texts), frequent=2).collect()), key=str) == want
 
 
 def test_groups_leave_enough_to_give():
@@ -202,13 +202,26 @@ def test_groups_leave_enough_to_give():
                 assert n - second - 2 * third >= n - ngram_join.least_overlap(n, threshold) + 1, (threshold, n, power)
 
 
-def test_classes_and_marks(spark):
-    counts = np.array([0, 1, 1, 500, 40_000] + [1] * 100)
-    _, kind = ngram_join.classes(counts)
-    assert kind.tolist() == [1, 1, 1, 2, 3] + [1] * 100
-    ids = [bytes([i]) * 16 for i in range(50)]
-    rows = spark.createDataFrame([(i,) for i in ids], "sid binary").select("sid", ngram_join.mark(F.col("sid")).alias("m")).collect()
-    assert all(ngram_join.spark_mark(bytes(r.sid)) == r.m for r in rows)
+def test_levels_and_classes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAVY", 30)
+    texts = ["same words in all of these", *[f"same words in all of these {i}" for i in range(60)], "its own words are here", "its own words are there"]
+    known = ngram_join.frequencies(documents(spark, texts).select("text"), 4, frequent=2)
+    found = [ngram_join.tokens(t) for t in texts]
+    number = collections.Counter(t for f in found for t in f.tolist())
+    for f in found:
+        for t, level, kind in zip(f.tolist(), *known.of(f)):
+            if t & 1:
+                assert (level > 0) == (number[t] > 1) and (kind > 1) == (number[t] > known.frequent)
+            else:
+                assert level == 255 and kind == 2
+
+
+def test_parity_maps_bound_the_difference():
+    pick = np.random.default_rng(3)
+    for n in (1, 30, 3000):
+        a, b = (np.unique(pick.integers(0, 4000, n, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        bits = [np.frombuffer(ngram_join.parity(x), np.uint64) for x in (a, b)]
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(a, b))
 
 
 def test_join_of_an_empty_table(spark):

@@ -8,14 +8,16 @@ then share a whole combination in some group: of the prefix that ends first at m
 in the other text, and all the others are in the other's prefix as well. The number of groups follows the text's size, by
 powers of two; a text is indexed under every power that a partner can have.
 
-Frequencies come from ``COUNTERS`` counters over the tokens of all texts (a fixed size, so they are sent); a token's is its
-counter less the median one. They steer order and classes only: any counter gives the same links.
+Frequencies are counted by Spark over every text, for every second token by hash (the order puts the others last), in 2^32
+counters. What is sent is of fixed size: a map of ``MARKS`` bits of the counters above one, and at most ``HEAVY`` counters
+of frequent tokens. They steer order and classes only; any counts give the same links.
 
 Equal sets are one from the start, told apart by 128-bit digests. Candidates share an entry of the index and have sizes
 within the threshold; all are verified on the whole sets. ``similar_pairs`` verifies every candidate. ``near_duplicates``
-needs components only: texts of an entry are first held against one of them, then those that are not in the entry's
-largest component yet against all of the entry, so a large cluster costs its size and not its square; no pair of
-different components is left out.
+needs components only: the texts of an entry are first held against the one whose tokens are most common, then those that
+are not in the entry's largest component yet against all of the entry. That is done block by block on parity maps of the
+sets, whose difference is never more than that of the sets, so only pairs that can reach the threshold become rows; no pair
+of different components is left out.
 
 Defined results: a text with fewer words than n is one token, the whole sequence; null and wordless texts have no tokens
 and link with nothing; the component id is the smallest id reachable, null ids being ignored where there is another; rows
@@ -25,8 +27,7 @@ are never merged, so a repeated row gives a repeated result; an empty table give
 from __future__ import annotations
 
 import itertools
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +41,19 @@ from timepoint.llm.simhash import components
 SIZE = 4
 #: The threshold is a share of a hundred: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-COUNTERS = 1 << 20
-#: Documents above which a token is frequent (more where counters stray by more), and very frequent.
+#: Documents above which a token is frequent (more if there would be over HEAVY such tokens), and very frequent.
 FREQUENT, STEP = 128, 64
+HEAVY = 1 << 20
+MARK_BITS = 28
+#: Every second token is counted.
+COUNTED = np.uint64(1)
 #: Words a worker remembers the hash of; sets whose entries a task has listed.
 REMEMBERED = 300_000
 LISTED = 100_000
-#: Texts of an entry that one task holds against others.
-PART = 4096
-MARKS = 1 << 22
-HUB_ROUNDS = 3
+#: Texts of an entry in one block.
+BLOCK = 256
+#: 64-bit words of a set's parity map.
+PARITY = 16
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -88,8 +92,15 @@ def set_id(found: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
 
 
-def counter_of(found: np.ndarray, counters: int) -> np.ndarray:
-    return (found >> np.uint64(40)).astype(np.int64) % counters
+def counter_of(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(32)).astype(np.uint32)
+
+
+def parity(found: np.ndarray) -> bytes:
+    """Of each bit whether an odd number of tokens fall on it: two sets differ by at least as many tokens as bits."""
+    at = (found >> np.uint64(11)) % np.uint64(64 * PARITY)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def least_overlap(size: int, threshold: int) -> int:
@@ -120,33 +131,36 @@ def group_numbers(power: int, threshold: int) -> tuple[int, int]:
 class Index:
     """Order, classes and entries of sets, for one table of frequencies."""
 
-    def __init__(self, level: np.ndarray, kind: np.ndarray, threshold: int):
-        self.level, self.kind, self.threshold = level, kind, threshold
+    def __init__(self, frequencies: Frequencies, threshold: int):
+        self.known, self.threshold = frequencies, threshold
 
-    def entries(self, found: np.ndarray) -> set[int]:
-        """The index entries of a set, as 64-bit hashes."""
+    def entries(self, found: np.ndarray) -> tuple[set[int], int]:
+        """The index entries of a set, as 64-bit hashes, and how common its tokens are."""
         n, threshold = len(found), self.threshold
         if n < least_size(threshold):
-            return set()
-        at = counter_of(found, len(self.level))
-        order = np.lexsort((found, self.level[at]))
-        kinds, need = self.kind[at][order], n - least_overlap(n, threshold) + 1
-        if (kinds[:need] == 1).all():
-            return set(found[order[:need]].tolist())
-        ordered = found[order].tolist()
+            return set(), 0
+        level, kind = self.known.of(found)
+        order = np.lexsort((found, level))
+        need = n - least_overlap(n, threshold) + 1
+        first = order[:need]
+        common = int(1000 * level.sum(dtype=np.int64) // n)
+        if (kind[first] == 1).all():
+            return set(found[first[level[first] > 0]].tolist()), common
         out: set[int] = set()
+        ordered, kinds, levels = found[order].tolist(), kind[order].tolist(), level[order].tolist()
         low, high = least_overlap(n, threshold), 100 * n // threshold
         for power in range(low.bit_length() - 1, high.bit_length()):
-            out |= self._extended(ordered, kinds.tolist(), need, power)
-        return out
+            out |= self._extended(ordered, kinds, levels, need, power)
+        return out, common
 
-    def _extended(self, ordered: list[int], kinds: list[int], need: int, power: int) -> set[int]:
+    def _extended(self, ordered: list[int], kinds: list[int], levels: list[int], need: int, power: int) -> set[int]:
         second, third = group_numbers(power, self.threshold)
         groups: dict[tuple[int, int], list[int]] = {}
         out = set()
-        for token, kind in zip(ordered, kinds):
+        for token, kind, level in zip(ordered, kinds, levels):
             if kind == 1 or not second:
-                out.add(token)
+                if level:  # what only one text has finds nothing
+                    out.add(token)
                 need -= 1
             else:
                 members = groups.setdefault((kind, (token & 0xFFFFFFFF) % (second if kind == 2 else third)), [])
@@ -160,94 +174,120 @@ class Index:
         return out
 
 
-def scan(docs: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str) -> DataFrame:
-    """``made`` over the texts (and ids) of the documents."""
-    return docs.mapInArrow(made, kinds)
-
-
-def members(docs: DataFrame, size: int) -> DataFrame:
-    """One row per document: doc_id, n_shingles, and the digest of its set (null for the empty one)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, ids = [], []
-            for text in batch.column("text"):
-                found = tokens(text.as_py(), size)
-                n.append(len(found))
-                ids.append(set_id(found))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_shingles", "sid"])
-            released(batch.column(0))
+class Frequencies:
+    """Which counters are above one, and the frequent ones with their numbers."""
 
-    return scan(docs, made, f"doc_id {kind}, n_shingles bigint, sid binary")
+    def __init__(self, marked: np.ndarray, heavy: np.ndarray, numbers: np.ndarray, frequent: int):
+        self.marked, self.heavy, self.numbers, self.frequent = marked, heavy, numbers, frequent
 
+    def of(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Level (0: in one text only; the order puts low ones first) and class of each token."""
+        counter = counter_of(found)
+        bit = counter >> np.uint32(32 - MARK_BITS)
+        level = (self.marked[bit >> np.uint32(6)] >> (bit & np.uint32(63)).astype(np.uint64) & np.uint64(1)).astype(np.uint8)
+        kind = np.ones(len(found), np.uint8)
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, counter), len(self.heavy) - 1)
+            number = np.where(self.heavy[at] == counter, self.numbers[at], 1)
+            level += np.minimum(4 * np.log2(number), 250).astype(np.uint8)
+            kind += (number > 1).astype(np.uint8) + (number > STEP * self.frequent).astype(np.uint8)
+        not_counted = (found & COUNTED) == 0
+        level[not_counted], kind[not_counted] = 255, 2
+        return level, kind
 
-def frequencies(docs: DataFrame, size: int, counters: int = COUNTERS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Of each counter the level that orders its tokens, and their class."""
 
+def frequencies(docs: DataFrame, size: int, frequent: int = FREQUENT) -> Frequencies:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(counters, np.int32)
+        listed: set[bytes] = set()
         for batch in batches:
-            for text in batch.column("text"):
-                np.add.at(counts, counter_of(tokens(text.as_py(), size), counters), 1)
-        used = np.nonzero(counts)[0]
-        for at in range(0, len(used), 1 << 14):
-            part = used[at : at + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], ["counter", "n"])
-
-    table = scan(docs, made, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(counters, np.int64)  # a number for each counter, whatever the data
-    counts[table.column("counter").to_numpy()] = table.column("n").to_numpy()
-    return classes(counts, frequent)
-
-
-def classes(counts: np.ndarray, frequent: float = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    usual = float(np.median(counts))
-    own = np.maximum(counts - usual, 1)
-    frequent = max(frequent, 6 * math.sqrt(usual))
-    kind = 1 + (own > frequent).astype(np.uint8) + (own > STEP * frequent).astype(np.uint8)
-    return np.minimum(4 * np.log2(own), 255).astype(np.uint8), kind
+            for at in range(0, batch.num_rows, 256):
+                own = [np.zeros(0, np.uint64)]
+                for text in batch.column("text").slice(at, 256):
+                    found = tokens(text.as_py(), size)
+                    if new_set(set_id(found), listed):
+                        own.append(found[(found & COUNTED) > 0])
+                counters = counter_of(np.concatenate(own)).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(counters)], ["counter"])
+
+    counts = docs.mapInArrow(made, "counter int").groupBy("counter").agg(F.count("*").alias("n")).where("n > 1")
+    counts = written(counts, "counts")
+    word = F.shiftrightunsigned("counter", 32 - MARK_BITS + 6).alias("word")
+    bit = F.expr(f"shiftleft(1L, shiftrightunsigned(counter, {32 - MARK_BITS}) & 63)")
+    words = counts.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^MARK_BITS / 64 rows at most
+    marked = np.zeros((1 << MARK_BITS) // 64, np.int64)
+    marked[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    while counts.where(F.col("n") > frequent).count() > HEAVY:
+        frequent *= 4
+    top = counts.where(F.col("n") > frequent).toArrow()
+    heavy, numbers = top.column("counter").to_numpy().view(np.uint32), top.column("n").to_numpy()
+    order = np.argsort(heavy)
+    return Frequencies(marked.view(np.uint64), heavy[order], numbers[order], frequent)
+
+
+def new_set(sid: bytes | None, listed: set[bytes]) -> bool:
+    """Whether the set is not empty and not among those this task has met (the last ``LISTED``)."""
+    if sid is None or sid in listed:
+        return False
+    if len(listed) >= LISTED:
+        listed.clear()
+    listed.add(sid)
+    return True
+
+
+_SETS = "n_shingles bigint, sid binary, common int, sigs array<bigint>, tokens array<bigint>, parity binary"
 
 
 def indexed(docs: DataFrame, size: int, threshold: int, **order: int) -> DataFrame:
-    """The entries that two different sets share: sig, sid, n (size of the set), m (sets of the entry), hub and hub_n."""
+    """One row per document: doc_id, n_shingles, sid (digest of its set) and, where the set has entries that others may have
+    too and was not met in the task before, these (sigs), its tokens and their parity map."""
     sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size, **order))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, listed = Index(*sent.value, threshold), set()
+        index, listed = Index(sent.value, threshold), set()
         for batch in batches:
-            sigs, ids, sizes, counts = [], [], [], []
-            for text in batch.column("text"):
-                found = tokens(text.as_py(), size)
-                sid = set_id(found)
-                if sid is None or sid in listed:  # copies in this task: their entries are listed
-                    continue
-                if len(listed) >= LISTED:
-                    listed.clear()
-                listed.add(sid)
-                own = index.entries(found)
-                if own:
-                    sigs.append(np.fromiter(own, np.uint64, len(own)))
-                    ids.append(sid)
-                    sizes.append(len(found))
-                    counts.append(len(own))
-                if len(sigs) >= 512:
-                    yield rows(sigs, ids, sizes, counts)
-                    sigs, ids, sizes, counts = [], [], [], []
-            if sigs:
-                yield rows(sigs, ids, sizes, counts)
-
-    def rows(sigs: list[np.ndarray], ids: list[bytes], sizes: list[int], counts: list[int]) -> pa.RecordBatch:
-        at = pa.array(np.repeat(np.arange(len(ids)), counts))
-        out = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(ids, pa.binary()).take(at), pa.array(sizes, pa.int32()).take(at)]
-        return pa.RecordBatch.from_arrays([released(out[0]), *out[1:]], ["sig", "sid", "n"])
-
-    entries = scan(docs, made, "sig bigint, sid binary, n int").repartition("sig").distinct()
-    hub = F.min(F.struct("sid", "n"))
+            for at in range(0, batch.num_rows, 256):
+                yield part(index, listed, batch.slice(at, 256))
+
+    def part(index: Index, listed: set[bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, ids, common, sigs, sets, maps = [], [], [], [], [], []
+        for text in batch.column("text"):
+            found = tokens(text.as_py(), size)
+            sid = set_id(found)
+            own, score = index.entries(found) if new_set(sid, listed) else ((), 0)
+            n.append(len(found))
+            ids.append(sid)
+            common.append(score)
+            sigs.append(np.fromiter(own, np.uint64, len(own)).view(np.int64))
+            sets.append(found.view(np.int64) if own else np.zeros(0, np.int64))
+            maps.append(parity(found) if own else None)
+        columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(common, pa.int32())]
+        columns += [lists(sigs), lists(sets), pa.array(maps, pa.binary())]
+        released(columns[-1])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", *[c.split()[0] for c in _SETS.split(", ")]])
+
+    return written(docs.mapInArrow(made, f"doc_id {kind}, {_SETS}"), "indexed")
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts)))
+
+
+def shared_entries(rows: DataFrame) -> DataFrame:
+    """The entries that two different sets have: sig, sid, n (size of the set), m (sets of the entry), hub and hub_n."""
+    entries = rows.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "sid", F.col("n_shingles").cast("int").alias("n"), "common")
+    entries = entries.repartition("sig").distinct()
+    hub = F.max(F.struct("common", "sid", "n"))
     shared = entries.groupBy("sig").agg(F.count("*").alias("m"), hub.alias("h")).where("m > 1")
     return written(entries.join(shared, "sig").select("sig", "sid", "n", "m", F.col("h.sid").alias("hub"), F.col("h.n").alias("hub_n")), "shared-entries")
 
 
+def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Tokens and parity map of each of the wanted sets (sid)."""
+    own = rows.where(F.size("sigs") > 0).select("sid", "tokens", "parity").join(wanted.select("sid").distinct(), "sid", "left_semi")
+    return written(own.groupBy("sid").agg(F.first("tokens").alias("tokens"), F.first("parity").alias("parity")), "sets")
+
+
 def of_like_size(a: Column, b: Column, threshold: int) -> Column:
     return (100 * F.least(a, b)) >= (threshold * F.greatest(a, b))
 
@@ -256,55 +296,6 @@ def ordered_pair(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
-def mark(sid: Column) -> Column:
-    return F.pmod(F.xxhash64(sid), F.lit(MARKS))
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The tokens of the wanted sets (sid), each once.
-
-    A map of marks of the wanted ones (half a megabyte, whatever their number) leaves out most others before the shuffle.
-    """
-    wanted = wanted.select("sid").distinct().withColumn("mark", mark(F.col("sid")))
-    bits = F.bit_or(F.expr("shiftleft(1L, cast(pmod(mark, 64) as int))"))
-    words = wanted.groupBy(F.floor(F.col("mark") / 64).alias("word")).agg(bits.alias("bits")).collect()  # MARKS / 64 at most
-    marked = np.zeros(MARKS // 64, np.int64)
-    for r in words:
-        marked[r.word] = r.bits
-    sent = docs.sparkSession.sparkContext.broadcast(marked.view(np.uint64))
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, found = [], []
-                for text in batch.column("text").slice(at, 256):
-                    own = tokens(text.as_py(), size)
-                    sid = set_id(own)
-                    if sid is None or sid in listed:
-                        continue
-                    m = spark_mark(sid)
-                    if sent.value[m >> 6] >> np.uint64(m & 63) & np.uint64(1):
-                        if len(listed) >= LISTED:
-                            listed.clear()
-                        listed.add(sid)
-                        ids.append(sid)
-                        found.append(own.view(np.int64))
-                if ids:
-                    ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], ["sid", "tokens"])
-            released(batch.column(0))
-
-    have = scan(docs, made, "sid binary, tokens array<bigint>").groupBy("sid").agg(F.first("tokens").alias("tokens"))
-    return written(have.join(wanted.select("sid"), "sid", "left_semi"), "sets")
-
-
-def spark_mark(sid: bytes) -> int:
-    """``mark`` in Python: Spark's xxhash64 has seed 42."""
-    made = xxhash.xxh64_intdigest(sid, 42)
-    return (made - (1 << 64) if made >> 63 else made) % MARKS
-
-
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Those of the distinct pairs (u, v) whose sets reach the threshold."""
 
@@ -322,69 +313,87 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(check, "u binary, v binary")
 
 
-def within_entries(left: DataFrame, right: DataFrame, threshold: int, apart: str) -> DataFrame:
-    """Distinct pairs of a text in ``left`` and one in ``right`` that share an entry; large entries are dealt in parts."""
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    spread = left.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = right.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int")).drop("m", "hub", "hub_n")
-    renamed = dealt.select("sig", "part", *[F.col(c).alias(f"r_{c}") for c in dealt.columns if c not in ("sig", "part")])
-    met = spread.join(renamed, ["sig", "part"]).where(f"sid != r_sid and {apart}")
-    return met.where(of_like_size(F.col("n"), F.col("r_n"), threshold)).select(*ordered_pair(F.col("sid"), F.col("r_sid"))).distinct()
+def in_blocks(texts: DataFrame) -> DataFrame:
+    """The texts of each entry (sig, sid, n, root, parity) in blocks of about ``BLOCK``."""
+    counts = texts.groupBy("sig").agg(F.count("*").alias("own"))
+    dealt = texts.join(counts, "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.ceil(F.col("own") / BLOCK)))
+    return dealt.groupBy("sig", "block").agg(F.collect_list(F.struct("sid", "n", "root", "parity")).alias("texts"))
+
+
+def candidates(left: DataFrame, right: DataFrame, threshold: int, *, apart: bool) -> DataFrame:
+    """Distinct pairs (u, v) of a text in ``left`` and one in ``right`` that share an entry and may reach the threshold.
+
+    ``apart``: only pairs of different roots. A pair of blocks is one row; only its pairs that pass all bounds are made.
+    """
+
+    def numbers(block: pa.Array) -> tuple[np.ndarray, ...]:
+        words = lambda f: np.frombuffer(b"".join(block.field(f).to_pylist()), np.uint64).reshape(len(block), -1)
+        return block.field("n").to_numpy(zero_copy_only=False).astype(np.int64), words("sid"), words("root"), words("parity")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[bytes, bytes]] = set()
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                (n, ids, root, bits), (m, b_ids, b_root, b_bits) = numbers(a.values), numbers(b.values)
+                sizes = n[:, None] + m[None, :]
+                least = -(-threshold * sizes // (100 + threshold))
+                keep = (ids[:, None] != b_ids[None]).any(axis=2) & (least <= np.minimum(n[:, None], m[None, :]))
+                if apart:
+                    keep &= (root[:, None] != b_root[None]).any(axis=2)
+                i, j = np.nonzero(keep)
+                for at in range(0, len(i), 1 << 14):
+                    x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                    differ = np.bitwise_count(bits[x] ^ b_bits[y]).sum(axis=1, dtype=np.int64)
+                    near = differ <= (sizes - 2 * least)[x, y]
+                    found.update((max(p, q), min(p, q)) for p, q in zip(map(bytes, ids[x[near]]), map(bytes, b_ids[y[near]])))
+            u, v = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+    met = in_blocks(left).select("sig", F.col("texts").alias("a")).join(in_blocks(right).select("sig", F.col("texts").alias("b")), "sig")
+    return met.select("a", "b").mapInArrow(compare, "u binary, v binary").distinct()
 
 
 def similar_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, threshold: int = THRESHOLD, **order: int) -> tuple[DataFrame, DataFrame]:
     """The join: every pair of different sets that reach the threshold, as (u, v), and which document has which set."""
-    rows = narrow(docs, doc_id, text)
-    shared = indexed(rows, size, threshold, **order)
-    pairs = written(within_entries(shared, shared, threshold, "sid > r_sid"), "candidates")
-    return verified(pairs, sets_of(rows, shared, size), threshold), members(rows, size)
+    rows = indexed(narrow(docs, doc_id, text), size, threshold, **order)
+    shared = shared_entries(rows)
+    sets = sets_of(rows, shared)
+    texts = shared.join(sets.select("sid", "parity"), "sid").withColumn("root", F.col("sid"))
+    pairs = written(candidates(texts, texts, threshold, apart=False), "candidates")
+    return verified(pairs, sets, threshold), rows.select("doc_id", "n_shingles", "sid")
 
 
 def narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
 
 
-def _spanning_links(shared: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _roots(shared: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Roots of the components of all sets that link, by verified links enough to connect them."""
     like = of_like_size(F.col("n"), F.col("hub_n"), threshold)
     pairs = shared.where((F.col("sid") != F.col("hub")) & like).select(*ordered_pair(F.col("sid"), F.col("hub"))).distinct()
     tested = written(pairs, "candidates")
     links = written(verified(tested, sets, threshold), "links")
-    before = None
-    for turn in range(HUB_ROUNDS + 1):
-        roots = written(components(links), "roots")
-        named = shared.join(roots, shared["sid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
-        largest = (
-            named.groupBy("sig", "root").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "n")).alias("one"))
-            .groupBy("sig").agg(F.max(F.struct("k", "root", "one")).alias("top"))
-            .select("sig", F.col("top.root").alias("largest"), F.col("top.one.sid").alias("other"), F.col("top.one.n").alias("other_n"))
-        )
-        open_ = written(named.join(largest, "sig").where("root != largest"), "open-texts")
-        left = open_.agg(F.sum("m")).first()[0] or 0
-        if not left:
-            return roots
-        # More hubs while they help and what is left would be many pairs; then every pair.
-        if turn < HUB_ROUNDS and left > 4 * sets.count() and (before is None or 2 * left <= before):
-            like = of_like_size(F.col("n"), F.col("other_n"), threshold)
-            pairs = open_.where(like).select(*ordered_pair(F.col("sid"), F.col("other"))).distinct()
-            last = False
-        else:
-            pairs, last = within_entries(open_.drop("largest", "other", "other_n"), named, threshold, "root != r_root"), True
-        before = left
-        pairs = written(pairs.join(tested, ["u", "v"], "left_anti"), "candidates")
-        new = written(verified(pairs, sets, threshold), "links")
-        if last:
-            return components(links.unionByName(new)) if not new.isEmpty() else roots
-        tested, links = tested.unionByName(pairs), links.unionByName(new)
-    raise AssertionError
+    roots = written(components(links), "roots")
+    named = shared.join(roots, shared["sid"] == roots["node"], "left").select("sig", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    named = written(named, "entries-with-roots")
+    largest = (
+        named.groupBy("sig", "root").agg(F.count("*").alias("k"))
+        .groupBy("sig").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots"))
+        .where("roots > 1").select("sig", F.col("top.root").alias("largest"))
+    )
+    texts = named.join(largest, "sig").join(sets.select("sid", "parity"), "sid")
+    texts = written(texts, "open-entries")
+    pairs = candidates(texts.where("root != largest"), texts, threshold, apart=True).join(tested, ["u", "v"], "left_anti")
+    new = written(verified(written(pairs, "candidates"), sets, threshold), "links")
+    return roots if new.isEmpty() else components(links.unionByName(new))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, threshold: int = THRESHOLD, **order: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    rows = narrow(docs, doc_id, text)
-    shared = indexed(rows, size, threshold, **order)
-    roots = _spanning_links(shared, sets_of(rows, shared, size), threshold)
-    of = written(members(rows, size), "members")
+    rows = indexed(narrow(docs, doc_id, text), size, threshold, **order)
+    shared = shared_entries(rows)
+    roots = _roots(shared, sets_of(rows, shared), threshold)
+    of = rows.select("doc_id", "n_shingles", "sid")
     first = of.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     named = first.join(roots, first["sid"] == roots["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
     named = written(named, "classes")
