@@ -16,8 +16,8 @@ Equal sets are one from the start, told apart by 128-bit digests. Candidates sha
 within the threshold; all are verified on the whole sets. ``similar_pairs`` verifies every candidate. ``near_duplicates``
 needs components only: the texts of an entry are first held against the one whose tokens are most common, then those that
 are not in the entry's largest component yet against all of the entry. That is done block by block on parity maps of the
-sets, whose difference is never more than that of the sets, so only pairs that can reach the threshold become rows; no pair
-of different components is left out.
+sets, whose difference is never more than that of the sets, so only pairs that can reach the threshold become rows: the
+nearest ones of each text first, and when these are linked all that are still in different components.
 
 Defined results: a text with fewer words than n is one token, the whole sequence; null and wordless texts have no tokens
 and link with nothing; the component id is the smallest id reachable, null ids being ignored where there is another; rows
@@ -52,6 +52,8 @@ REMEMBERED = 300_000
 LISTED = 100_000
 #: Texts of an entry in one block.
 BLOCK = 256
+#: Nearest texts that are tried before every pair of different components is.
+NEAREST = (1, 4)
 #: 64-bit words of a set's parity map.
 PARITY = 16
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -320,10 +322,11 @@ def in_blocks(texts: DataFrame) -> DataFrame:
     return dealt.groupBy("sig", "block").agg(F.collect_list(F.struct("sid", "n", "root", "parity")).alias("texts"))
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: int, *, apart: bool) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, threshold: int, *, apart: bool, nearest: int | None = None) -> DataFrame:
     """Distinct pairs (u, v) of a text in ``left`` and one in ``right`` that share an entry and may reach the threshold.
 
-    ``apart``: only pairs of different roots. A pair of blocks is one row; only its pairs that pass all bounds are made.
+    ``apart``: only pairs of different roots; ``nearest``: of each text in ``left`` only so many, by parity maps, for two
+    blocks. A pair of blocks is one row; only its pairs that pass all bounds are made.
     """
 
     def numbers(block: pa.Array) -> tuple[np.ndarray, ...]:
@@ -340,12 +343,16 @@ def candidates(left: DataFrame, right: DataFrame, threshold: int, *, apart: bool
                 keep = (ids[:, None] != b_ids[None]).any(axis=2) & (least <= np.minimum(n[:, None], m[None, :]))
                 if apart:
                     keep &= (root[:, None] != b_root[None]).any(axis=2)
-                i, j = np.nonzero(keep)
-                for at in range(0, len(i), 1 << 14):
-                    x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                    differ = np.bitwise_count(bits[x] ^ b_bits[y]).sum(axis=1, dtype=np.int64)
-                    near = differ <= (sizes - 2 * least)[x, y]
-                    found.update((max(p, q), min(p, q)) for p, q in zip(map(bytes, ids[x[near]]), map(bytes, b_ids[y[near]])))
+                differ = np.bitwise_count(bits[:, None] ^ b_bits[None]).sum(axis=2, dtype=np.int32)
+                keep &= differ <= sizes - 2 * least
+                if nearest is not None and nearest < len(m):
+                    differ[~keep] = 1 << 30
+                    first = np.argpartition(differ, nearest, axis=1)[:, :nearest]
+                    chosen = np.zeros_like(keep)
+                    np.put_along_axis(chosen, first, True, axis=1)
+                    keep &= chosen
+                x, y = np.nonzero(keep)
+                found.update((max(p, q), min(p, q)) for p, q in zip(map(bytes, ids[x]), map(bytes, b_ids[y])))
             u, v = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
@@ -373,7 +380,20 @@ def _roots(shared: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     pairs = shared.where((F.col("sid") != F.col("hub")) & like).select(*ordered_pair(F.col("sid"), F.col("hub"))).distinct()
     tested = written(pairs, "candidates")
     links = written(verified(tested, sets, threshold), "links")
-    roots = written(components(links), "roots")
+    for nearest in (*NEAREST, None):
+        roots = written(components(links), "roots")
+        texts = _open_entries(shared, roots, sets)
+        found = written(candidates(texts.where("root != largest"), texts, threshold, apart=True, nearest=nearest), "candidates")
+        if found.isEmpty():  # entries have one component each, or what they have more of is too far apart
+            return roots
+        pairs = written(found.join(tested, ["u", "v"], "left_anti"), "candidates")
+        new = written(verified(pairs, sets, threshold), "links")
+        tested, links = tested.unionByName(pairs), links.unionByName(new)
+    return roots if new.isEmpty() else components(links)
+
+
+def _open_entries(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """The texts of entries that hold several components, with their root, the entry's largest one, and parity map."""
     named = shared.join(roots, shared["sid"] == roots["node"], "left").select("sig", "sid", "n", F.coalesce("root", "sid").alias("root"))
     named = written(named, "entries-with-roots")
     largest = (
@@ -381,11 +401,7 @@ def _roots(shared: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         .groupBy("sig").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots"))
         .where("roots > 1").select("sig", F.col("top.root").alias("largest"))
     )
-    texts = named.join(largest, "sig").join(sets.select("sid", "parity"), "sid")
-    texts = written(texts, "open-entries")
-    pairs = candidates(texts.where("root != largest"), texts, threshold, apart=True).join(tested, ["u", "v"], "left_anti")
-    new = written(verified(written(pairs, "candidates"), sets, threshold), "links")
-    return roots if new.isEmpty() else components(links.unionByName(new))
+    return written(named.join(largest, "sig").join(sets.select("sid", "parity"), "sid"), "open-entries")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, threshold: int = THRESHOLD, **order: int) -> DataFrame:
