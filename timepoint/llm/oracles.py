@@ -54,8 +54,9 @@ _COMMON = " ".join(
     for name, words in quality.COMMON_WORDS.items()
 )
 _LANGS = ", ".join(f"'{name}'" for name in quality.COMMON_WORDS)
-_SUMS = ", ".join(f"CAST(sum(classes[{i}]) AS BIGINT)" for i in range(1, 6))
-_COMMON_SUMS = ", ".join(f"CAST(sum(common[{i}]) AS BIGINT)" for i in range(1, 14))
+_SUMS = ", ".join(f"coalesce(sum(classes[{i}]::DOUBLE / nullif(list_sum(classes), 0)), 0)" for i in range(1, 6))
+_COMMON_SUMS = ", ".join(f"coalesce(sum(common[{i}]::DOUBLE / nullif(list_sum(common), 0)), 0)" for i in range(1, 14))
+_NONE = f"[{'0, ' * 12}1]"
 
 OP3 = f"""
 WITH d AS (
@@ -72,25 +73,26 @@ WITH d AS (
          coalesce(rep.n, 0) AS n_repeat_words, [{_KNOWN}] AS known, CASE {_COMMON} END AS words
   FROM d LEFT JOIN rep USING (rid)
 ), h AS (
-  SELECT *, list_append(known, word_chars - list_sum(known)) AS classes, list_append(words, n_words - list_sum(words)) AS common FROM s
+  SELECT *, list_append(known, word_chars - list_sum(known)) AS classes, list_append(words, n_words - list_sum(words)) AS common,
+         n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
 ), every AS (
-  SELECT [{_SUMS}] AS classes FROM h
+  SELECT [{_SUMS}] AS classes FROM h WHERE NOT base_failed
 ), own AS (
-  SELECT lang, [{_SUMS}] AS classes, [{_COMMON_SUMS}] AS common FROM h WHERE lang IN ({_LANGS}) GROUP BY lang
+  SELECT lang, [{_SUMS}] AS classes, [{_COMMON_SUMS}] AS common FROM h WHERE lang IN ({_LANGS}) AND NOT base_failed GROUP BY lang
 ), m AS (
   SELECT h.*, coalesce(own.classes, every.classes) AS rc, own.common AS rw
   FROM h CROSS JOIN every LEFT JOIN own ON h.lang = own.lang
 ), j AS (
   SELECT *, known[1] AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-         n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          CASE WHEN word_chars >= {quality.GUARD_CHARS} THEN {_js('classes', 'word_chars', 'rc', 5)} END AS class_distance,
-         CASE WHEN n_words >= {quality.GUARD_WORDS} THEN {_js('common', 'n_words', 'rw', 13)} END AS common_distance
+         CASE WHEN n_words >= {quality.GUARD_WORDS} THEN {_js('common', 'n_words', 'rw', 13)} END AS common_distance,
+         {_js(_NONE, '1', 'rw', 13)} AS reach
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance,
        NOT base_failed AND coalesce(class_distance, 0) <= {quality.MAX_CLASSES}
-         AND (common_distance IS NULL OR common_distance <= {quality.MAX_COMMON} + {quality.SLACK} / sqrt(n_words)) AS kept
+         AND (common_distance IS NULL OR common_distance <= least({quality.MAX_COMMON} + {quality.SLACK} / sqrt(n_words), {quality.REACH} * reach)) AS kept
 FROM j
 """
 

@@ -1,9 +1,11 @@
 """Quality rules: base counts, and the divergence of a text's histograms from its language's reference.
 
 All of it is built-in column functions. Each text has a histogram of character classes and one of the common words of
-its language; the references are the same counts summed over all documents of the language (over all documents, for
-the classes of languages without a word list). A text is rejected where the Jensen-Shannon distance (base 2, so 0 to 1)
-of a histogram from its reference passes a limit, provided the text is long enough for the histogram to mean anything.
+its language; the references are the means of the histograms, as shares, of all documents of the language that pass the
+base rules (over all languages, for the classes of languages without a word list), so each text weighs one whatever its
+length. A text is rejected where the Jensen-Shannon distance (base 2, so 0 to 1) of a histogram from its reference passes
+a limit, provided the text is long enough for the histogram to mean anything. The limit of the common words stays below
+the distance that a text without any of them has, so it can be passed at every length that is judged.
 
 Statistics are computed once and written with the rows; references are a few summed rows; verdicts are then arithmetic
 on columns. Nothing within a text costs more than a sort of its words.
@@ -15,6 +17,7 @@ result; an empty table gives none. Extra columns stay in ``keep_good`` and are n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -31,13 +34,14 @@ COMMON_WORDS = {
 }
 MIN_WORDS = 50
 #: Words, and characters in words, from which a histogram is judged.
-GUARD_WORDS = 100
+GUARD_WORDS = 50
 GUARD_CHARS = 400
 #: Distances beyond which a text is rejected; common words have the slack over the root of the word count besides,
-#: since a short text strays by chance.
+#: since a short text strays by chance, but never more than a share of the distance of a text without common words.
 MAX_CLASSES = 0.35
 MAX_COMMON = 0.2
 SLACK = 1.0
+REACH = 0.9
 #: Symbols, capitals, digits and marks; the rest are letters and all else.
 CLASSES = ("#*$%&|<>", "A-Z", "0-9", r"!\x22'()+,./:;=?@\[\]\\^_`{}~-")
 BASE = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -127,22 +131,34 @@ def statistics(text: Column, lang: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda ws: of_words(t, ws)))
 
 
-def references(rows: DataFrame, stats: str, lang: str) -> dict[str | None, dict[str, list[int]]]:
-    """Summed counts of each language with a word list, and under None of all documents."""
+def references(rows: DataFrame, stats: str, lang: str) -> dict[str | None, dict[str, list[float]]]:
+    """Summed shares of each language with a word list, and under None of all documents, over those that pass the base rules."""
     s = column(rows, stats)
-    key = F.when(column(rows, lang).isin(*COMMON_WORDS), column(rows, lang))
     n = {"classes": len(CLASSES) + 1, "common": len(COMMON_WORDS["en"]) + 1}
-    sums = [F.sum(F.get(s[h], F.lit(i))).alias(f"{h}{i}") for h, size in n.items() for i in range(size)]
-    found: dict[str | None, dict[str, list[int]]] = {None: {"classes": [0] * n["classes"]}}
-    for r in rows.groupBy(key.alias("key")).agg(*sums).collect():  # a row for each word list, and one
-        own = {h: [r[f"{h}{i}"] or 0 for i in range(size)] for h, size in n.items()}
+    share = lambda h: let(total(s[h]).cast("double"), lambda t: F.when(t > 0, F.transform(s[h], lambda c: c / t))).alias(h)
+    passing = rows.where(~base_failed(s)).select(F.when(column(rows, lang).isin(*COMMON_WORDS), column(rows, lang)).alias("key"), *map(share, n))
+    sums = [F.sum(F.get(h, F.lit(i))).alias(f"{h}{i}") for h, size in n.items() for i in range(size)]
+    found: dict[str | None, dict[str, list[float]]] = {None: {"classes": [0.0] * n["classes"]}}
+    for r in sorted(passing.groupBy("key").agg(*sums).collect(), key=lambda r: r["key"] or ""):  # a row for each word list, and one
+        own = {h: [r[f"{h}{i}"] or 0.0 for i in range(size)] for h, size in n.items()}
         found[None]["classes"] = [a + b for a, b in zip(found[None]["classes"], own["classes"])]
         if r["key"] is not None:
             found[r["key"]] = own
     return found
 
 
-def shares(counts: list[int]) -> Column:
+def farthest(reference: list[float]) -> float | None:
+    """Distance of a text that has none of the common words."""
+    whole = sum(reference)
+    if not whole:
+        return None
+    q = reference[-1] / whole
+    # All of the text is in the last bin, and the reference's other bins stand alone.
+    last = math.log2(2 / (1 + q)) + (q * math.log2(2 * q / (1 + q)) if q else 0.0)
+    return math.sqrt((last + 1 - q) / 2)
+
+
+def shares(counts: list[float]) -> Column:
     """A reference as shares, null where nothing was counted."""
     whole = sum(counts)
     return F.array(*[F.lit(c / whole) for c in counts]) if whole else F.lit(None).cast("array<double>")
@@ -159,7 +175,7 @@ def js_distance(counts: Column, reference: Column) -> Column:
 
     def of_total(n: Column) -> Column:
         terms = F.zip_with(F.transform(counts, lambda c: c / n), reference, divergence)
-        return F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))))
+        return F.when((n > 0) & reference.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))))
 
     return let(total(counts).cast("double"), of_total)
 
@@ -168,17 +184,19 @@ def base_failed(stats: Column, min_words: int = MIN_WORDS) -> Column:
     return (stats["n_words"] < min_words) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
 
 
-def distances(rows: DataFrame, stats: str, lang: str) -> tuple[Column, Column]:
-    """Of the character classes and of the common words, each null where the text is too short to judge."""
+def distances(rows: DataFrame, stats: str, lang: str) -> tuple[Column, Column, Column]:
+    """Of the character classes and of the common words, each null where the text is too short to judge; how far the latter reaches."""
     refs, s, named = references(rows, stats, lang), column(rows, stats), column(rows, lang)
-    classes, common = shares(refs[None]["classes"]), F.lit(None).cast("array<double>")
+    classes, common, reach = shares(refs[None]["classes"]), F.lit(None).cast("array<double>"), F.lit(None).cast("double")
     for name, ref in refs.items():
         if name is not None:
             classes = F.when(named == name, shares(ref["classes"])).otherwise(classes)
             common = F.when(named == name, shares(ref["common"])).otherwise(common)
+            reach = F.when(named == name, F.lit(farthest(ref["common"]))).otherwise(reach)
     return (
         F.when(s["word_chars"] >= GUARD_CHARS, js_distance(s["classes"], classes)),
         F.when(s["n_words"] >= GUARD_WORDS, js_distance(s["common"], common)),
+        reach,
     )
 
 
@@ -186,13 +204,12 @@ def with_verdict(
     rows: DataFrame, stats: str, lang: str, *, max_classes: float = MAX_CLASSES, max_common: float = MAX_COMMON, slack: float = SLACK
 ) -> DataFrame:
     """The rows with base_failed, class_distance, common_distance and kept in a struct in place of the statistics."""
-    s, (classes, common) = column(rows, stats), distances(rows, stats, lang)
+    s, (classes, common, reach) = column(rows, stats), distances(rows, stats, lang)
     counts = [s[c].alias(c) for c in ("n_words", *BASE)]
     judged = rows.withColumn(stats, F.struct(*counts, base_failed(s).alias("base_failed"), classes.alias("class_distance"), common.alias("common_distance")))
     v = column(judged, stats)
-    near = (F.coalesce(v["class_distance"], F.lit(0.0)) <= max_classes) & (
-        F.coalesce(v["common_distance"], F.lit(0.0)) <= max_common + slack / F.sqrt(v["n_words"].cast("double"))
-    )
+    limit = F.least(max_common + slack / F.sqrt(v["n_words"].cast("double")), REACH * reach)
+    near = (F.coalesce(v["class_distance"], F.lit(0.0)) <= max_classes) & (v["common_distance"].isNull() | (v["common_distance"] <= limit))
     return judged.withColumn(stats, v.withField("kept", ~v["base_failed"] & near))
 
 
