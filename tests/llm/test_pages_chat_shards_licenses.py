@@ -1,6 +1,7 @@
 """Licences, WARC archives, HTML extraction, chat formatting and shards against plain versions."""
 
 import base64
+import bisect
 import hashlib
 import html as markup
 import random
@@ -335,6 +336,34 @@ def test_sharding_of_odd_tables(spark, tmp_path, texts):
     check_shards([tuple(r) for r in QUERIES["op10_sharding"](spark, str(tmp_path)).collect()], rows)
 
 
+def test_few_passes_and_pieces_bounded_in_rows(spark, monkeypatch):
+    """A heavy text, a text repeated very often and a third of null texts: at most 6 passes, no piece with a mass of rows."""
+    texts = ["x" * 400_000, *["again and again"] * 3000, *[f"text number {i} " * 9 for i in range(3000)], *[None] * 3000]
+    rows = documents(spark, texts).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.octet_length("text").alias("n"))
+    passes, found = [], []
+    real, probed = shard.piece_of, shard.common_start
+    monkeypatch.setattr(shard, "piece_of", lambda key, cuts, first=0: (found.append(cuts) if not found else None) or real(key, cuts, first))
+    monkeypatch.setattr(shard, "common_start", lambda a, b: passes.append(1) or probed(a, b))
+    group = type(rows).groupBy
+    probes = []
+    monkeypatch.setattr(type(rows), "groupBy", lambda self, *c: (probes.append(1) if "probe" in str(c) else None) or group(self, *c))
+    key = F.concat(shard.hex_key(F.col("h")), shard.hex_key(F.col("doc_id")))
+    got = shard.histogram_sort(rows, key, F.coalesce("n", F.lit(0)) + 1, 8).select("doc_id", "n", "shard", "slot").collect()
+    assert 2 <= len(probes) <= 6
+    keys = sorted(r[0] for r in rows.select(key).collect())
+    ends = [bisect.bisect_left(keys, c) for c in found[0]]
+    assert max(b - a for a, b in zip([0, *ends], [*ends, len(keys)])) <= 2 * len(keys) / 128
+    check_shards([(r.doc_id, (r.n or 0) + 1, 0, "bytes", r.shard, r.slot, None) for r in got], [(i, len(t or "") + 1, 0) for i, t in enumerate(texts)])
+
+
+def test_archive_is_read_by_several_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i} " * 200) for i in range(400)], "page_id bigint, url string, html string")
+    index = warc.write_archive(pages, str(tmp_path / "a"), frame=4096)
+    read = warc.read_archive(index, str(tmp_path / "a"), read_bytes=1 << 16)
+    assert read.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 2
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in read.collect()) == [(i, f"{i} " * 200) for i in range(400)]
+
+
 def test_histogram_sort_keeps_columns_and_order(spark):
     rows = spark.range(1000).select("id", (F.col("id") % 10).alias("sort_key"), F.lit(1).alias("sort_piece"))
     got = shard.histogram_sort(rows, shard.hex_key(F.col("id")), F.lit(1), 4, shard="part", slot="at", pieces=3).collect()

@@ -5,7 +5,7 @@ boundaries are summed exactly over all partitions, and the probes refined inside
 target, until each splitter is within the tolerance of its target. Then every row's place is known up to the order
 within its piece, and the rows are exchanged once.
 
-Each shard is cut into pieces, so that no task sorts a whole shard; slots follow from the counts of the pieces before.
+Each shard is cut into pieces by weight and by rows, so that no task sorts a whole shard or a mass of light rows; slots follow from the counts of the pieces before.
 The key ends with a digest of the row's number, so rows that are equal in all else can be parted too.
 
 Defined results: a null weight counts as zero, a null key sorts first; equal keys (equal texts) lie beside each other,
@@ -15,6 +15,7 @@ none; columns whose names clash are kept, the new ones are named by the caller.
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -34,34 +35,40 @@ def hex_key(value: Column) -> Column:
     return F.coalesce(F.lower(F.lpad(F.hex(shifted), 16, "0")), F.lit("0" * 16))
 
 
-def splitters(keyed: DataFrame, key: str, weight: str, targets: list[float], tolerance: float) -> list[str]:
-    """For each target weight a key; the rows below it weigh the target, give or take the tolerance.
+def common_start(a: str, b: str) -> str:
+    return os.path.commonprefix([a, b])
 
-    A probe is a prefix of the key; one pass sums the weights of all probes under the prefixes that are still open.
+
+def splitters(keyed: DataFrame, key: str, weights: dict[str, Column], targets: list[tuple[str, float]], tolerance: dict[str, float]) -> list[str]:
+    """For each target (a weight's name, how much of it) a key; the rows below it weigh that, give or take the tolerance.
+
+    A probe is a prefix of the key; one pass sums the weights of all probes under the prefixes that are still open. A probe
+    of one key is not refined, and from the least and greatest key of a probe all digits that its rows share are skipped.
     """
     found: list[str | None] = [None] * len(targets)
     # Of each open target the prefix of the interval it lies in, and the weight below that interval.
     open_at = dict.fromkeys(range(len(targets)), ("", 0))
-    depth, k = 0, column(keyed, key)
+    k = column(keyed, key)
     while open_at:
-        probe = F.substring(k, 1, depth + DIGITS)
-        inside = keyed if not depth else keyed.where(F.substring(k, 1, depth).isin(sorted({p for p, _ in open_at.values()})))
-        sums = inside.groupBy(probe.alias("probe")).agg(F.sum(column(keyed, weight)).alias("w"))
-        by_prefix: dict[str, list[tuple[str, int]]] = {}
-        for r in sorted(sums.collect()):  # at most 256 for each open prefix
-            by_prefix.setdefault(r.probe[:depth], []).append((r.probe, r.w))
+        prefixes = sorted({p for p, _ in open_at.values()})
+        probe = F.coalesce(*[F.when(k.startswith(p), F.substring(k, 1, len(p) + DIGITS)) for p in prefixes])
+        sums = keyed.groupBy(probe.alias("probe")).agg(
+            F.count("*").alias("rows"), F.min(k).alias("least"), F.max(k).alias("greatest"), *[F.sum(w).alias(n) for n, w in weights.items()]
+        )
+        by_prefix: dict[str, list] = {p: [] for p in prefixes}
+        for r in sorted(sums.where("probe is not null").collect(), key=lambda r: r.probe):  # at most 256 for each open prefix
+            by_prefix[prefixes[bisect_right(prefixes, r.probe) - 1]].append(r)  # open prefixes are apart from each other
         for i, (prefix, below) in list(open_at.items()):
-            probes = by_prefix[prefix]
-            ends = [below + s for s in accumulate(w for _, w in probes)]
-            at = min(bisect_right(ends, targets[i]), len(probes) - 1)
-            name, w = probes[at]
-            if w <= tolerance or len(name) < depth + DIGITS:
+            (name, target), probes = targets[i], by_prefix[prefix]
+            ends = [below + s for s in accumulate(r[name] for r in probes)]
+            at = min(bisect_right(ends, target), len(probes) - 1)
+            r = probes[at]
+            if r[name] <= tolerance[name] or r.least == r.greatest:
                 # The nearer end of the probe's interval; all keys under a prefix lie below the prefix and a "g".
-                found[i] = f"{name}g" if ends[at] - targets[i] < targets[i] - (ends[at] - w) else name
+                found[i] = f"{r.probe}g" if ends[at] - target < target - (ends[at] - r[name]) else r.probe
                 del open_at[i]
             else:
-                open_at[i] = (name, ends[at] - w)
-        depth += DIGITS
+                open_at[i] = (common_start(r.least, r.greatest), ends[at] - r[name])
     return found
 
 
@@ -92,15 +99,23 @@ def histogram_sort(
     number = F.lower(F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0"))
     marked = rows.withColumn(k, F.concat(key, number)).withColumn(w, F.coalesce(weight, F.lit(0)).cast("long"))
     keyed = written(marked, "keyed")  # the row numbers have to stay what they are
-    total = keyed.agg(F.sum(column(keyed, w))).first()[0] or 0
-    targets = [total * i / (shards * pieces) for i in range(1, shards * pieces)]
-    cuts = splitters(keyed, k, w, targets, tolerance * total / shards) if total else []
+    total, n = keyed.agg(F.sum(column(keyed, w)), F.count("*")).first()
+    # Pieces are cut by weight and by rows, so that neither heavy rows nor many light ones pile up in a task.
+    parts, sizes = shards * pieces, {"weight": total or 0, "rows_": n}
+    aims = [(name, i) for name, size in sizes.items() for i in range(1, parts) if size]
+    targets = [(name, sizes[name] * i / parts) for name, i in aims]
+    weights = {"weight": column(keyed, w), "rows_": F.lit(1)}
+    ends = splitters(keyed, k, weights, targets, {name: tolerance * size / shards for name, size in sizes.items()})
+    shard_ends = [e for (name, i), e in zip(aims, ends) if name == "weight" and i % pieces == 0]
+    cuts = sorted(set(ends))
+    shard_of = [bisect_right(shard_ends, c) for c in ["", *cuts]]
     placed = keyed.withColumn(p, piece_of(column(keyed, k), cuts))
     counts = {r[0]: r[1] for r in placed.groupBy(column(placed, p)).count().collect()}  # one row for a piece
-    before = []
-    for i in range(shards * pieces):
-        before.append(sum(counts.get(j, 0) for j in range(i - i % pieces, i)))
+    before, own = [], [0] * shards
+    for i, s in enumerate(shard_of):
+        before.append(own[s])
+        own[s] += counts.get(i, 0)
     order = F.row_number().over(Window.partitionBy(column(placed, p)).orderBy(column(placed, k)))
-    start = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), column(placed, p) + 1)
-    out = placed.withColumn(slot, start + order - 1).withColumn(shard, F.floor(column(placed, p) / pieces).cast("int"))
+    of_piece = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), column(placed, p) + 1)
+    out = placed.withColumn(slot, of_piece(before, "long") + order - 1).withColumn(shard, of_piece(shard_of, "int"))
     return out.drop(k, w, p)

@@ -34,6 +34,9 @@ from timepoint.llm.common import column, written
 
 FRAME = 1 << 20
 BUNDLE = 256 << 20
+#: Bytes of records that a task unpacks, and neighbouring frames that stay together.
+READ_BYTES = 64 << 20
+RUN = 16
 LEVEL = 3
 #: Numbers of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -198,8 +201,13 @@ def write_archive(
     return written(with_revisits(rows, min_revisit_bytes).mapInArrow(write, INDEX), "warc-index")
 
 
-def read_archive(index: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
-    """The records of an index (``RECORD``), each frame of which is read and unpacked once."""
+def read_archive(index: DataFrame, folder: str, *, payloads: bool = True, read_bytes: int = READ_BYTES) -> DataFrame:
+    """The records of an index (``RECORD``), each frame of which is read and unpacked once.
+
+    Frames are dealt over tasks by what they unpack to, which the index alone does not show.
+    """
+    unpacked = index.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    tasks = max(1, -(-unpacked // read_bytes))
     frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("page_id", "at", "size")).alias("records"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,4 +233,4 @@ def read_archive(index: DataFrame, folder: str, *, payloads: bool = True) -> Dat
         if file is not None:
             file.close()
 
-    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(read, RECORD)
+    return frames.repartition(tasks, "bundle", F.floor(F.col("frame") / RUN)).sortWithinPartitions("bundle", "frame").mapInArrow(read, RECORD)
