@@ -6,6 +6,7 @@ import hashlib
 import html as markup
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -224,6 +225,25 @@ UNCLOSED = [
 ]
 
 
+@pytest.mark.parametrize("shape", [
+    "<ul><li>" * 20_000 + "</span>" * 20_000, "<div>" * 20_000 + "</b>" * 20_000, "<b>" + "<div>" * 20_000 + "</b>" * 20_000,
+    "<section><p>" * 20_000 + "</i></section>" * 20_000, "<div>" * 20_000 + "<li>x" * 20_000, "<button>" * 20_000 + "<p>x" * 20_000,
+])
+def test_html_in_linear_time(shape):
+    start = time.process_time()
+    html.main_text(f"<article><p>{'The end of the story is in the book. ' * 9}{shape}")
+    assert time.process_time() - start < 3
+
+
+def test_long_blocks_poor_in_stop_words_are_not_content_by_length():
+    names = "Alpha Bravo Charlie Delta Echo Foxtrot Golf Hotel India Juliett Kilo Lima Mike " * 4
+    prose = "It was the best of the times and it was the worst of the times, as they say in the book that is on the table. " * 2
+    assert html.by_text(html.Block(None, text=prose)) is True and html.by_text(html.Block(None, text=names)) is None
+    menu = f"<div><a href=a>One</a></div><div><a href=b>Two</a></div><div>{names}</div><div><a href=c>Three</a></div>"
+    page = f"<html><body><table><tr><td>{menu}</td><td><p>{prose}</p><p>{names}</p><p>{prose}</p></td></tr></table></body></html>"
+    assert html.main_text(page) == " ".join(f"{prose} {names} {prose}".split())
+
+
 @pytest.mark.parametrize(("page", "want"), UNCLOSED)
 def test_html_of_elements_that_are_left_out(page, want):
     assert html.main_text(page) == " ".join(want.split())

@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags; each block has its text, the share of it inside links, and the elements
 it lies in. The first pass decides what it can: blocks inside navigation, headers, footers, sidebars, forms, notices,
 adverts and comments (by element, or by words in class, id and role) and blocks that are mostly links are boilerplate;
-blocks that are long, or of some length with many stop words and few links, are content. Short blocks stay undecided.
+blocks with many stop words that are long, or of some length with few links, are content. Short blocks, and blocks poor in
+stop words whatever their length (lists of names, codes), stay undecided.
 In the second pass an undecided block inherits from its nearest decided neighbours in the same container (the article,
 the nearest sectioning element), or else on the page: the same label on both sides is taken over, of different ones that
 of the nearer block, of equally near ones content.
@@ -13,6 +14,8 @@ comments are boilerplate whatever is in them; any other element so marked (a wra
 page) loses its mark where it holds a main element, the page's only article with at least half of the prose, or nearly
 all prose and most text of the page. Parts marked within it keep their own marks.
 
+A page is read in time proportional to its length, also where nothing in it is closed or everything twice.
+
 Defined results: a null or empty page has an empty text; malformed markup never fails (an unclosed element ends with its
 parent, a ``<`` that begins no tag is text, an unclosed comment or script, or other raw element, runs to the end); what is
 no text of the page (buttons, choices, drawings, templates) is left out, and where such an element is not closed it ends
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -159,6 +163,22 @@ def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[Bloc
     top = Element("", 0, False, False, 0, False, marks[0])
     stack, found, current, links, numbers = [top], [], Block(top), 0, 0
     at, end = 0, len(page)
+    # Where on the stack each tag and the sections are open, so that a closing tag is met without a search.
+    places: dict[str, list[int]] = defaultdict(list)
+    sections: list[int] = []
+
+    def push(element: Element) -> None:
+        places[element.tag].append(len(stack))
+        if element.tag in SECTIONS:
+            sections.append(len(stack))
+        stack.append(element)
+
+    def cut(depth: int) -> None:
+        for element in reversed(stack[depth:]):
+            places[element.tag].pop()
+            if element.tag in SECTIONS:
+                sections.pop()
+        del stack[depth:]
 
     def close() -> None:
         nonlocal current
@@ -191,7 +211,10 @@ def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[Bloc
                 at = stop.end() if stop else end
             continue
         if not closing and not stack[-1].closed and tag in BLOCK_TAGS and tag not in HELD_TAGS:  # it ends here
-            del stack[next(i for i, e in enumerate(stack) if e.out and not e.closed) :]
+            depth = len(stack)
+            while stack[depth - 1].out and not stack[depth - 1].closed:
+                depth -= 1
+            cut(depth)
         if tag == "a" and (closing or not stack[-1].out):
             links = 0 if closing else 1
         was_out = stack[-1].out
@@ -200,19 +223,19 @@ def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[Bloc
                 close()
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and not (tag not in BLOCK_TAGS and tag not in LEFT_OUT and any(e.tag in SECTIONS for e in stack[depth + 1 :])):
-                del stack[depth:]
+            depth = places[tag][-1] if places.get(tag) else 0
+            if depth and not (tag not in BLOCK_TAGS and tag not in LEFT_OUT and sections and sections[-1] > depth):
+                cut(depth)
         elif tag in STACKED and not (tag in LEFT_OUT and m[4].endswith("/")):
             if tag in SIBLINGS:
-                last = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _ENDS[tag]), 0)
+                last = max((places[t][-1] for t in _ENDS[tag] if places.get(t)), default=0)
                 if last and stack[last].tag in SIBLINGS[tag]:
-                    del stack[last:]
+                    cut(last)
             over, numbers = stack[-1], numbers + 1
             if over.out or tag in LEFT_OUT:
                 after = None if over.out else _NEXT[tag].search(page, at)
                 closed = over.closed if over.out else after is not None and after[1] == "/"
-                stack.append(replace(over, tag=tag, number=numbers, out=True, closed=closed))
+                push(replace(over, tag=tag, number=numbers, out=True, closed=closed))
                 continue
             inside = over.content or tag in CONTAINERS
             named = named_aside(tag, m[4], inside)
@@ -227,7 +250,7 @@ def blocks(page: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[Bloc
             aside = over.aside or sure or mark is not over.mark
             apart = tag in CONTAINERS or aside and not over.aside or tag in SECTIONS and not inside
             container = numbers if apart else over.container
-            stack.append(Element(tag, numbers, aside, inside, container, sure, mark))
+            push(Element(tag, numbers, aside, inside, container, sure, mark))
         if tag in BLOCK_TAGS and not (was_out and stack[-1].out):
             close()
     stack = stack[:1]
@@ -266,47 +289,50 @@ def by_text(block: Block) -> bool | None:
     n = len(block.text)
     if block.linked > MAX_LINKS * n and not block.element.content:
         return False
-    if n >= LONG:
-        return True
+    if n < SHORT:
+        return None
     words = _WORDS.findall(block.text.lower())
-    stop = sum(w in STOP_WORDS for w in words)
-    if n >= SHORT and words and stop >= MIN_STOP_WORDS * len(words) and block.linked * 4 < n:
-        return True
-    return None
+    dense = sum(w in STOP_WORDS for w in words) >= MIN_STOP_WORDS * len(words) if words else False
+    return True if dense and (n >= LONG or block.linked * 4 < n) else None
 
 
-def neighbours(found: list[Block], keys: list[int]) -> list[tuple[int | None, int | None]]:
-    """For each block the nearest decided blocks of its key, before and after."""
+def neighbours(found: list[Block], keys: list[int], *, marked: bool = True) -> list[tuple[int | None, int | None]]:
+    """For each block the nearest decided blocks of its key, before and after; without ``marked`` only those decided by text."""
     sides = []
     for order in (range(len(found)), range(len(found) - 1, -1, -1)):
         last: dict[int, int] = {}
         side: list[int | None] = [None] * len(found)
         for i in order:
             side[i] = last.get(keys[i])
-            if found[i].label is not None:
+            if found[i].label is not None and (marked or not found[i].element.aside):
                 last[keys[i]] = i
         sides.append(side)
     return list(zip(*sides))
 
 
 def inherit(found: list[Block]) -> None:
-    """Second pass: undecided blocks take the label of their nearest decided neighbours, first in their container."""
-    within = neighbours(found, [b.element.container for b in found])
-    overall = neighbours(found, [0] * len(found))
-    labels = [b.label for b in found]
-    for i, block in enumerate(found):
-        if labels[i] is not None:
-            continue
-        near = [j for j in within[i] if j is not None]
-        if not near and not block.element.content:
-            near = [j for j in overall[i] if j is not None]
-        if len({labels[j] for j in near}) == 1:
-            block.label = labels[near[0]]
-        elif near:
-            a, b = near
-            block.label = labels[b] if b - i < i - a else labels[a] if i - a < b - i else True
-        else:
-            block.label = True  # nothing near, or alone in an article
+    """Second pass: undecided blocks take the label of their nearest decided neighbours, first in their container.
+
+    Long blocks come first: such a block is no part of an advert or menu beside it, so it looks at blocks that were decided
+    by their text only; short ones then look at all that are decided.
+    """
+    containers, page = [b.element.container for b in found], [0] * len(found)
+    for long in (True, False):
+        within, overall = neighbours(found, containers, marked=not long), neighbours(found, page, marked=not long)
+        labels = [b.label for b in found]
+        for i, block in enumerate(found):
+            if labels[i] is not None or long and len(block.text) < LONG:
+                continue
+            near = [j for j in within[i] if j is not None]
+            if not near and not block.element.content:
+                near = [j for j in overall[i] if j is not None]
+            if len({labels[j] for j in near}) == 1:
+                block.label = labels[near[0]]
+            elif near:
+                a, b = near
+                block.label = labels[b] if b - i < i - a else labels[a] if i - a < b - i else True
+            else:
+                block.label = True  # nothing near, or alone in an article
 
 
 def main_text(page: str | None) -> str:
