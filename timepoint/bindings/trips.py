@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from timepoint.bindings import rounded, table
 from timepoint.operators.joins import attach_enrollment, attach_names, od_with_points
 from timepoint.operators.ordered import number_rows
+from timepoint.operators.selection import weighted_median
 from timepoint.operators.trips import (
     MODES,
     PROBE_MINUTES,
@@ -137,6 +138,18 @@ def travel_times(spark, folder):
     return rounded(df, 9, ["mean_travel_time", "sd_travel_time"])
 
 
+#: Few enough rows that the groups of the supplied tables are narrowed before they are ordered.
+GATHER = 200
+
+
+def weighted_times(spark, folder):
+    """Legs as trips: their duration, at which half of the students (the quantity) arrive, by line."""
+    legs_ = table(spark, folder, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("line"), F.col("l_extendedprice").cast("double").alias("seconds"), F.col("l_quantity").cast("bigint").alias("students")
+    )
+    return weighted_median(legs_, ["line"], "seconds", "students", "median_travel_time", gather=GATHER)
+
+
 def popular_routes(spark, folder):
     return route_popularity(legs(spark, folder), trips(spark, folder), TRIP, lines(spark, folder))
 
@@ -190,6 +203,7 @@ QUERIES = {
     "departure_profile": departures_by_bell,
     "departure_profile_all": departures_all,
     "travel_time_stats": travel_times,
+    "weighted_median": weighted_times,
     "route_popularity": popular_routes,
     "route_share": shared_routes,
     "latest_departure": latest_departure,
@@ -274,6 +288,15 @@ _DEPART = """CAST(sum(students) AS BIGINT) AS students, round(avg(departure), 9)
 _USED = "used AS (SELECT DISTINCT trip_id, route FROM l WHERE route IS NOT NULL)"
 
 ORACLES = {
+    "weighted_median": """
+WITH c AS (
+  SELECT l_returnflag || l_linestatus AS line, CAST(l_extendedprice AS DOUBLE) AS v, CAST(l_quantity AS BIGINT) AS w FROM lineitem
+), r AS (
+  SELECT line, v, 2 * sum(w) OVER (PARTITION BY line ORDER BY v ROWS UNBOUNDED PRECEDING) AS reached, sum(w) OVER (PARTITION BY line) AS whole
+  FROM c WHERE w > 0
+)
+SELECT line, (min(v) FILTER (reached >= whole) + min(v) FILTER (reached > whole)) / 2 AS median_travel_time FROM r GROUP BY line
+""",
     "trip_summary": f"""{_LEGS}, t AS (
           SELECT trip_id, string_agg(coalesce(CAST(l.route AS VARCHAR), '-'), ',' ORDER BY segment) AS routes,
                  string_agg(coalesce(name, '-'), ',' ORDER BY segment) AS short_names,

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timepoint.functions.stats import count_where, flag_share, ratio
-from timepoint.operators.ordered import ROWS_PER_PIECE, number_rows, same_keys_join
+from timepoint.operators.ordered import ROWS_PER_PIECE, same_keys_join
+from timepoint.operators.selection import medians
 
 SHARE_FLAGS = {
     "on_time_perc": "on_time",
@@ -57,9 +58,14 @@ def otp_daily(
     part: str = "time",
     observed: str = "obs_secs",
     approximate: bool = False,
+    fine_clock: bool = False,
 ) -> DataFrame:
-    """Rates for each service day and day part, also by line or by stop."""
-    return adherence.groupBy(date, part, *by).agg(*_daily_measures(observed, date, approximate))
+    """Rates for each service day and day part, also by line or by stop; ``fine_clock`` as in ``otp_grains``."""
+    measures, keys = _daily_measures(observed, date, approximate), [date, part, *by]
+    if not fine_clock:
+        return adherence.groupBy(*keys).agg(*measures)
+    rates = adherence.groupBy(*keys).agg(*measures[:-1])
+    return same_keys_join(rates, exact_median(adherence, keys, "headway", "median_headway"), keys, "left")
 
 
 def otp_grains(
@@ -75,8 +81,8 @@ def otp_grains(
     """System, line and stop grain from one scan, told apart by ``grain``.
 
     With ``fine_clock`` the headways have no bound on their distinct values
-    (fractions of seconds), and their medians come from ``exact_median``; the
-    input is then read several times.
+    (fractions of seconds), and their medians come from ``medians``, for all
+    grains at once; the input is then read several times.
     """
     d, p, l, s = (F.col(c) for c in (date, part, line, stop))
     level = F.grouping_id(date, part, line, stop).cast("bigint")
@@ -87,11 +93,9 @@ def otp_grains(
     rates = adherence.groupingSets([[d, p], [d, p, l], [d, p, s]], d, p, l, s).agg(grain.alias("grain"), *measures)
     if not fine_clock:
         return rates
-    medians = [
-        exact_median(adherence, [date, part, *more], "headway", "median_headway").withColumn("grain", F.lit(name))
-        for name, more in (("system", []), ("line", [line]), ("stop", [stop]))
-    ]
-    every = medians[0].unionByName(medians[1], allowMissingColumns=True).unionByName(medians[2], allowMissingColumns=True)
+    every = medians(adherence, [[date, part], [date, part, line], [date, part, stop]], "headway", "median_headway")
+    named = F.element_at(F.array(F.lit("system"), F.lit("line"), F.lit("stop")), F.col("_grain") + 1)
+    every = every.withColumn("grain", named).drop("_grain")
     return same_keys_join(rates, every, ["grain", date, part, line, stop], "left")
 
 
@@ -139,16 +143,5 @@ def otp_period(daily: DataFrame, by: Sequence[str] = ("time",), strict: bool = F
 def exact_median(
     df: DataFrame, keys: Sequence[str], value: str, out: str = "median", rows_per_piece: int = ROWS_PER_PIECE
 ) -> DataFrame:
-    """Exact median of values of any spread, with no group held in one task.
-
-    Values are numbered in their order, large groups in pieces; the one or two
-    rows in the middle make the median.  ``df`` is read several times.
-    """
-    keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    numbered = number_rows(rows, keys, [value], "_at", rows_per_piece)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
-    middle_rows = same_keys_join(numbered, sizes, keys, "inner").where(
-        F.col("_at").isin(F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1)
-    )
-    return middle_rows.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(out))
+    """Exact median of values of any spread by selection, with no group held in one task (``medians``)."""
+    return medians(df, [list(keys)], value, out, gather=rows_per_piece).drop("_grain")
