@@ -5,19 +5,29 @@ Files go to the scratch folder all executors share, in several tasks each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timepoint.bindings import rounded, table
 from timepoint.functions.clock import wall_micros
 from timepoint.operators.reshape import unpivot_wide
+from timepoint.plans.school_capacity import attendance_table
 from timepoint.session import new_scratch
 from timepoint.sources import positions, tables
 from timepoint.streaming.feed import run_to_table, stream_pings
 
 
+#: Rows of one list, or one text file, whatever their minute, brand or nation.
+PER_LIST = 500
+
+
+def piece(number: str) -> Column:
+    """Which list a row goes to, by its number."""
+    return F.floor(F.col(number) / PER_LIST)
+
+
 def poll_files(spark: SparkSession, folder: str) -> str:
-    """A poll for each minute with reports, each with all reports of that minute; a file holds a day's polls.
+    """Polls of the reports of a minute, of at most ``PER_LIST`` reports each; a file holds polls of one day.
 
     Folders are named as the feed's: the poll's name, with its time, is part of the path.
     """
@@ -32,15 +42,16 @@ def poll_files(spark: SparkSession, folder: str) -> str:
     )
     entity = F.struct(F.col("event_id").cast("string").alias("id"), vehicle.alias("vehicle"))
     minute = F.date_trunc("minute", "ts")
-    polls = e.groupBy(minute.alias("minute")).agg(F.collect_list(entity).alias("entity"))
+    polls = e.groupBy(minute.alias("minute"), piece("event_id").alias("piece")).agg(F.collect_list(entity).alias("entity"))
     named = polls.select(
+        F.floor(F.col("piece") / 100).alias("file"),
         F.to_date("minute").alias("day"),
         F.concat(F.lit("positions_data_"), F.date_format("minute", "yyyyMMdd"), F.lit("120000")).alias("poll"),
         F.struct(F.unix_seconds(F.col("minute").cast("timestamp")).cast("string").alias("timestamp")).alias("header"),
         "entity",
     )
     root = new_scratch(spark, "polls")
-    named.repartition("day").write.partitionBy("day", "poll").json(root)
+    named.repartition("day", "file").drop("file").write.partitionBy("day", "poll").json(root)
     return root
 
 
@@ -63,26 +74,26 @@ def stream_polls(spark, folder):
 
 
 def route_files(spark, folder):
-    """A route list for each brand."""
+    """Route lists of a brand, each of at most ``PER_LIST`` routes."""
     p = table(spark, folder, "part")
     route = F.struct(
         F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("name"), F.col("p_name").alias("shortName"),
     )
-    lists = p.groupBy(F.col("p_brand").alias("service")).agg(F.struct(F.collect_list(route).alias("routes")).alias("data"))
+    lists = p.groupBy(F.col("p_brand").alias("service"), piece("p_partkey").alias("list")).agg(F.struct(F.collect_list(route).alias("routes")).alias("data"))
     root = new_scratch(spark, "routes")
-    lists.write.partitionBy("service").json(root)
+    lists.drop("list").write.partitionBy("service").json(root)
     routes = tables.read_routes(spark, [root])
     return routes.select(F.col("id").cast("bigint").alias("id"), "name", "short_name", "color")
 
 
-def _by_nation(lines: DataFrame, root: str) -> None:
-    """One text file for each nation, its lines in order."""
-    placed = lines.repartition("nation").sortWithinPartitions("nation", "at")
-    placed.select("nation", "value").write.partitionBy("nation").text(root)
+def _in_files(lines: DataFrame, names: list[str], root: str) -> None:
+    """A text file for each value of the names, its lines in order."""
+    placed = lines.repartition(*names).sortWithinPartitions(*names, "at")
+    placed.select(*names, "value").write.partitionBy(*names).text(root)
 
 
 def enrollment_files(spark, folder):
-    """Programmes with masked numbers, a file with five heading rows for each nation."""
+    """Programmes with masked numbers, in files with five heading rows for each nation."""
     s = table(spark, folder, "supplier")
     size = F.when(F.col("s_acctbal") < 0, F.lit("*")).when(F.col("s_suppkey") % 7 > 0, F.floor("s_acctbal").cast("string"))
     masked = F.when(F.col("s_suppkey") % 3 > 0, (F.col("s_suppkey") % 40).cast("string")).otherwise("*")
@@ -90,16 +101,32 @@ def enrollment_files(spark, folder):
         ",", F.col("s_suppkey"), F.concat(F.lit('"'), "s_name", F.lit(', of"')), F.coalesce(size, F.lit("")), masked,
         F.col("s_nationkey"),
     )
-    rows = s.select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("at"), row.alias("value"))
+    names = ["nation", "file"]
+    file = [F.col("s_nationkey").alias("nation"), piece("s_suppkey").alias("file")]
+    rows = s.select(*file, F.col("s_suppkey").alias("at"), row.alias("value"))
     heading = F.array(*[F.lit(f"Heading {i},,1,2,3") for i in range(5)], F.lit("Prog No,Program,Enrollment,24510010100,24510010200"))
-    heads = s.select(F.col("s_nationkey").alias("nation")).distinct().select("nation", F.posexplode(heading).alias("at", "value"))
+    heads = s.select(*file).distinct().select(*names, F.posexplode(heading).alias("at", "value"))
     root = new_scratch(spark, "enrollment")
-    _by_nation(heads.withColumn("at", F.col("at").cast("bigint") - 6).unionByName(rows), root)
+    _in_files(heads.withColumn("at", F.col("at").cast("bigint") - 6).unionByName(rows), names, root)
     wide = tables.read_enrollment_wide(spark, root, ["prog_no", "program", "enrollment"])
     tracts = unpivot_wide(wide, ["prog_no", "program", "enrollment"], "tract", "students")
     return tracts.withColumn("prog_no", F.col("prog_no").cast("bigint"))
 
 
+def attendance_files(spark, folder):
+    """Customers as schools in the broken extract: the name on one line, the numbers on the next, without a heading."""
+    c = table(spark, folder, "customer")
+    percent = lambda x: F.concat((x % 1000 / 10).cast("string"), F.lit("%"))
+    key = F.col("c_custkey")
+    numbers = F.concat_ws(",", F.lit(""), percent(key), percent(key * 7), F.concat(F.lit("-"), percent(key * 3)))
+    # A school's short name, on a line of its own, is none of the names.
+    listed = F.array(F.concat(F.lit("School No "), key, F.lit(",,,")), numbers, F.lit("High,,,"))
+    lines = c.select(piece("c_custkey").alias("file"), key.alias("school"), F.posexplode(listed).alias("place", "value"))
+    root = new_scratch(spark, "attendance")
+    _in_files(lines.select("file", (F.col("school") * 3 + F.col("place")).alias("at"), "value"), ["file"], root)
+    return attendance_table(tables.read_attendance(spark, root))
+
+
 def bell_files(spark, folder):
     """Bell times as text, some of them not given."""
     s = table(spark, folder, "supplier")
@@ -184,6 +211,7 @@ QUERIES = {
     "poll_files_streamed": stream_polls,
     "route_files": route_files,
     "enrollment_files": enrollment_files,
+    "attendance_files": attendance_files,
     "bell_files": bell_files,
     "crosswalk_files": crosswalk_files,
     "itinerary_files": itinerary_files,
@@ -214,6 +242,8 @@ ORACLES = {
         SELECT s_suppkey AS school_number, am AS am_bell, CASE WHEN s_suppkey % 5 = 0 THEN 'none' ELSE am || ':30' END AS pm_bell,
                CAST(secs AS BIGINT) AS opening_secs, CASE WHEN s_suppkey % 5 > 0 THEN CAST(secs + 30 AS BIGINT) END AS closing_secs
         FROM b""",
+    "attendance_files": """SELECT 'School No ' || c_custkey AS school, c_custkey % 1000 / 10 AS first_period,
+        c_custkey * 7 % 1000 / 10 AS all_other_periods, -(c_custkey * 3 % 1000 / 10) AS difference FROM customer""",
     "crosswalk_files": "SELECT c_custkey AS geoid, c_mktsegment AS area FROM customer",
     "itinerary_files": """SELECT l_orderkey AS trip_id, CASE WHEN l_returnflag = 'N' THEN 'WALK' ELSE 'BUS' END AS mode, count(*) AS legs,
         sum(l_quantity) AS minutes, count(*) FILTER (WHERE l_returnflag <> 'N') AS routes, min(l_partkey) AS first_stop,

@@ -13,7 +13,7 @@ from timepoint.bindings import rounded, table, texts
 from timepoint.bindings.punctuality import ADHERENCE_SQL, DAILY_OUT, daily_sql, study_rows
 from timepoint.functions.clock import micros_of_day, wall_micros
 from timepoint.operators.ordered import ROWS_PER_PIECE
-from timepoint.operators.quality import snapshot_counts
+from timepoint.operators.quality import outage_spells, poll_sessions, snapshot_counts
 from timepoint.operators.rollups import SHARE_FLAGS, otp_daily
 from timepoint.schemas import POLL, TIMETABLE, struct
 from timepoint.session import new_scratch
@@ -30,6 +30,7 @@ from timepoint.streaming.feed import (
     stream_otp,
     stream_stop_events,
     with_dead_windows,
+    with_open_sessions,
     with_open_windows,
 )
 
@@ -136,6 +137,27 @@ def gap_monitor(spark, folder):
     return rows.select(F.col("span.start").cast("string").alias("start"), "n", "expected", "missing", "share")
 
 
+#: A report of each kind is awaited every five minutes; fifteen without one are an outage.
+STEP, GAP = 300, "15 minutes"
+
+
+def _spells(sessions: DataFrame) -> DataFrame:
+    spells = outage_spells(sessions, STEP, ["route_id"])
+    return spells.withColumns({c: F.col(c).cast("string") for c in ("stopped", "resumed")})
+
+
+def outages(spark, folder):
+    return _spells(poll_sessions(landed(spark, folder).select("route_id", "ts"), "ts", GAP, ["route_id"]))
+
+
+def outages_streamed(spark, folder):
+    def sessions(df: DataFrame) -> DataFrame:
+        return poll_sessions(df.select("route_id", "ts"), "ts", GAP, ["route_id"])
+
+    closed = run_to_table(sessions(event_stream(spark, folder).withWatermark("ts", DELAY)), "sessions")
+    return _spells(with_open_sessions(closed, landed(spark, folder), sessions, "ts", ["route_id"]))
+
+
 def landing(spark, folder):
     """A stream landed by day and hour, then counted by folder."""
     root = new_scratch(spark, "landing")
@@ -236,6 +258,8 @@ QUERIES = {
     "stream_otp": otp_windows,
     "stream_headway": headways,
     "feed_gap_monitor": gap_monitor,
+    "outage_spells": outages,
+    "outage_spells_streamed": outages_streamed,
     "stream_landing": landing,
     "daily_tables": daily_tables,
     "summary_csv": summary_file,
@@ -270,7 +294,16 @@ _PLANNED = _planned_sql("day_us / 1000000::DOUBLE")
 _PLANNED_WHOLE = _planned_sql("day_us // 1000000")
 
 
+_OUTAGES = """
+WITH e AS (SELECT event_type AS route_id, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS before FROM events)
+SELECT route_id, CAST(before AS VARCHAR) AS stopped, CAST(ts AS VARCHAR) AS resumed, (epoch_us(ts) - epoch_us(before)) / 1000000 AS seconds,
+       CAST(ceil((epoch_us(ts) - epoch_us(before)) / 300000000) - 1 AS BIGINT) AS missed
+FROM e WHERE ts - before >= INTERVAL 15 MINUTE
+"""
+
 ORACLES = {
+    "outage_spells": _OUTAGES,
+    "outage_spells_streamed": _OUTAGES,
     "stream_dedup": f"{_EVENTS} SELECT event_id, vehicle_id, at_us FROM e",
     "stream_stop_events": f"""{_EVENTS}, r AS (SELECT *, row_number() OVER (
           PARTITION BY vehicle_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM e)

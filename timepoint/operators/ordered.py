@@ -113,14 +113,11 @@ def number_rows(
 def number_all_rows(df: DataFrame, order: Sequence[str | Column], out: str = "row") -> DataFrame:
     """Positions 1..n over the whole table without a one-task window.
 
-    The table is range-sorted and checkpointed, so that the partition borders
-    stay fixed on a retry; only the row counts per partition are accumulated,
-    one small row for each partition.
+    The table is range-sorted and written with its numbers, so that the partition
+    borders stay fixed on a retry; only the row counts per partition are
+    accumulated, one small row for each partition.
     """
-    from timepoint.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    placed = written(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_id", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

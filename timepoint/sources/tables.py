@@ -101,7 +101,7 @@ def read_enrollment_wide(spark: SparkSession, path: str, ids: Sequence[str], hea
     )
     # A file's first lines are in its first block, and lines of a block are numbered in order.
     starts = lines.where("_block = 0").groupBy("_file").agg(F.min("_line").alias("_first"))
-    placed = lines.join(F.broadcast(starts), "_file").withColumn("_at", F.col("_line") - F.col("_first"))
+    placed = lines.join(starts, "_file").withColumn("_at", F.col("_line") - F.col("_first"))
     in_head = (F.col("_block") == 0) & (F.col("_at") <= heading_rows)
     headers = [r.value for r in placed.where(in_head & (F.col("_at") == heading_rows)).select("value").distinct().take(2)]
     if len(headers) != 1:

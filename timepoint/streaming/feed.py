@@ -109,6 +109,13 @@ def with_open_windows(
     return closed.unionByName(aggregate(still_open))
 
 
+def with_open_sessions(closed: DataFrame, landed: DataFrame, aggregate: Callable[[DataFrame], DataFrame], event_time: str, keys: Sequence[str]) -> DataFrame:
+    """Sessions a stream has given out, and those of each key that its watermark has not passed yet, from the landed rows."""
+    ends = closed.groupBy(*keys).agg(F.max("span.end").alias("_end"))
+    rows = same_keys_join(landed, ends, keys, "left").where(F.col("_end").isNull() | (F.col(event_time) >= F.col("_end")))
+    return closed.unionByName(aggregate(rows.drop("_end")))
+
+
 def with_dead_windows(windows: DataFrame, width: str = "1 hour") -> DataFrame:
     """``feed_gap_monitor`` rows with those of windows in which no poll came at all, from the first window to the last."""
     step = F.expr(f"INTERVAL {width}")
