@@ -101,11 +101,13 @@ def test_parts_are_encoded_as_in_the_whole_text():
     pick, letters = random.Random(5), ["a", "The", "é", " ", "  ", "\n", " \t", "日", "'s", "9", "▁", "\x1c", "\xa0", "ß", ".", "😀", "ǅ", "́"]
     texts = ["".join(pick.choices(letters, k=pick.randint(1, 40))) for _ in range(1500)]
     whole_a = [e.ids for e in pair.tokenizer.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
-    for t, got, x, y in zip(texts, pair.encoded(texts), whole_a, pair.model.encode(texts)):
+    for t, (n_a, n_b, _, _, groups, _, _), x, y in zip(texts, pair.batch(texts), whole_a, pair.model.encode(texts)):
         if pair.a.bytes_of(x) == pair.b.bytes_of(y) == f" {t}".encode():
-            assert got == (np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes()), t
+            sides = [g.split("|") for g in groups.split(";")]
+            assert [",".join(s) for s in zip(*sides)] == [",".join(map(str, x)), ",".join(map(str, y))], t
+            assert (n_a, n_b) == (len(x), len(y))
         else:
-            assert got is None, t
+            assert groups is None, t
 
 
 def test_alignment_of_an_empty_table(spark):

@@ -48,6 +48,8 @@ B_IDS = 1 << 24
 #: A space after white space; where a space follows anything else.
 DOUBLED, STARTS = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 _pairs: dict[str, TokenPair] = {}
+#: n_a, n_b, groups, their number, codes of the links.
+Aligned = tuple[int, int, str, int, bytes]
 
 
 class Side:
@@ -55,7 +57,7 @@ class Side:
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
-        self.length = [len(t) for t in tokens]
+        self.length, self.names = [len(t) for t in tokens], [str(i) for i in range(len(tokens))]
         self.lengths = np.array(self.length, np.int64)
         self.spaced = np.array([t.startswith(b" ") for t in tokens])
 
@@ -83,18 +85,25 @@ def pieces(model: sentencepiece.SentencePieceProcessor) -> Side:
 def window(ids_a: Sequence[int], ids_b: Sequence[int], a: Side, b: Side) -> tuple[str, int, bytes]:
     """Groups as text, their number, and the codes of the overlapping pairs, for two sides that start and end together."""
     links, groups = [], []
-    i = j = end_a = end_b = first_a = first_b = 0
-    while i < len(ids_a) and j < len(ids_b):
+    length_a, length_b, name_a, name_b = a.length, b.length, a.names, b.names
+    i = j = first_a = first_b = 0
+    end_a, end_b, last = length_a[ids_a[0]], length_b[ids_b[0]], len(ids_a) - 1
+    while True:
         links.append(ids_a[i] * B_IDS + ids_b[j])
-        next_a, next_b = end_a + a.length[ids_a[i]], end_b + b.length[ids_b[j]]
-        if next_a <= next_b:
-            i, end_a = i + 1, next_a
-        if next_b <= next_a:
-            j, end_b = j + 1, next_b
-        if next_a == next_b:
-            groups.append(f"{','.join(map(str, ids_a[first_a:i]))}|{','.join(map(str, ids_b[first_b:j]))}")
+        if end_a < end_b:
+            i += 1
+            end_a += length_a[ids_a[i]]
+        elif end_b < end_a:
+            j += 1
+            end_b += length_b[ids_b[j]]
+        else:
+            groups.append(",".join([name_a[k] for k in ids_a[first_a : i + 1]]) + "|" + ",".join([name_b[k] for k in ids_b[first_b : j + 1]]))
+            if i == last:  # the sides end together
+                return ";".join(groups), len(groups), array("q", links).tobytes()
+            i, j = i + 1, j + 1
             first_a, first_b = i, j
-    return ";".join(groups), len(groups), array("q", links).tobytes()
+            end_a += length_a[ids_a[i]]
+            end_b += length_b[ids_b[j]]
 
 
 def parts_of(text: str) -> list[str]:
@@ -121,11 +130,12 @@ class TokenPair:
         spec = json.loads(file_a)
         by_words = (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex") and not spec["normalizer"]
         self.by_parts = bool(by_words) and not any(b" " in t.lstrip(b" ") for t in self.b.tokens)
-        self.parts: dict[str, tuple[bytes, bytes] | None] = {}
+        self.spaced_a, self.spaced_b = self.a.spaced.tolist(), self.b.spaced.tolist()
+        self.parts: dict[str, Aligned | None] = {}
         self.windows: dict[tuple[bytes, bytes], tuple[str, int, bytes]] = {}
 
-    def learn(self, parts: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """The ids of A for a space and each part, and of B for the part; None where their bytes are not the part's."""
+    def learn(self, parts: set[str]) -> dict[str, Aligned | None]:
+        """The alignment of a space and each part; None where the bytes of a side are not the part's."""
         new = [p for p in parts if p not in self.parts]
         if len(self.parts) + len(new) > REMEMBERED:
             self.parts.clear()
@@ -135,53 +145,51 @@ class TokenPair:
         theirs = [ids if p else [self.model.piece_to_id("▁")] for p, ids in zip(new, self.model.encode(new, num_threads=1))]
         for p, x, y in zip(new, [e.ids for e in ours], theirs):
             same = self.a.bytes_of(x) == self.b.bytes_of(y) == f" {p}".encode()
-            self.parts[p] = (array("i", x).tobytes(), array("i", y).tobytes()) if same else None
+            self.parts[p] = (len(x), len(y), *self.aligned(x, y)) if same else None
         return self.parts
 
-    def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """The ids of each text, four bytes each, for A and B; None where the bytes are not the text's."""
-        cut = [parts_of(t) if self.by_parts else [t] for t in texts]
-        known = self.learn(set().union(*cut))
-        found: list[tuple[bytes, bytes] | None] = []
-        for parts in cut:
-            ids = [known[p] for p in parts]
-            found.append(None if None in ids else (b"".join([x for x, _ in ids]), b"".join([y for _, y in ids])))
-        return found
-
-    def aligned_window(self, ids_a: bytes, ids_b: bytes) -> tuple[str, int, bytes]:
-        """The alignment of a window that was not met before."""
-        got = window(array("i", ids_a), array("i", ids_b), self.a, self.b)
-        if len(ids_a) + len(ids_b) <= 4 * LONG:
+    def window(self, ids_a: list[int], ids_b: list[int]) -> tuple[str, int, bytes]:
+        """The alignment of a window, remembered by its two tuples of ids."""
+        if len(ids_a) + len(ids_b) > LONG:
+            return window(ids_a, ids_b, self.a, self.b)
+        key = (array("i", ids_a).tobytes(), array("i", ids_b).tobytes())
+        if (got := self.windows.get(key)) is None:
             if len(self.windows) >= REMEMBERED:
                 self.windows.clear()
-            self.windows[ids_a, ids_b] = got
+            got = self.windows[key] = window(ids_a, ids_b, self.a, self.b)
         return got
 
-    def aligned(self, ids_a: bytes, ids_b: bytes) -> tuple[str, int, np.ndarray]:
-        """Groups as text, their number, and the code of every link."""
-        x, y = np.frombuffer(ids_a, np.int32), np.frombuffer(ids_b, np.int32)
+    def aligned(self, ids_a: list[int], ids_b: list[int]) -> tuple[str, int, bytes]:
+        """Groups as text, their number, and the code of every link, window by window."""
+        spaced_a, spaced_b = self.spaced_a, self.spaced_b
+        if not any([spaced_a[i] for i in ids_a[1:]]) or not any([spaced_b[i] for i in ids_b[1:]]):
+            return self.window(ids_a, ids_b)
         # Starts of space-marked tokens, in bytes; those that both sides have are the anchors.
+        x, y = np.array(ids_a), np.array(ids_b)
         at_x, at_y = np.nonzero(self.a.spaced[x[1:]])[0], np.nonzero(self.b.spaced[y[1:]])[0]
         ends_x, ends_y = np.cumsum(self.a.lengths[x])[at_x], np.cumsum(self.b.lengths[y])[at_y]
-        if len(ends_x) != len(ends_y) or (ends_x != ends_y).any():
-            at_x, at_y = at_x[np.isin(ends_x, ends_y, assume_unique=True)], at_y[np.isin(ends_y, ends_x, assume_unique=True)]
-        cut_x, cut_y = [0, *(at_x * 4 + 4).tolist(), len(ids_a)], [0, *(at_y * 4 + 4).tolist(), len(ids_b)]
-        keys = [(ids_a[a:b], ids_b[c:d]) for a, b, c, d in zip(cut_x, cut_x[1:], cut_y, cut_y[1:])]
-        known = self.windows.get
-        groups, numbers, links = zip(*[known(k) or self.aligned_window(*k) for k in keys])
-        return ";".join(groups), sum(numbers), np.frombuffer(b"".join(links), np.int64)
+        at_x, at_y = at_x[np.isin(ends_x, ends_y, assume_unique=True)], at_y[np.isin(ends_y, ends_x, assume_unique=True)]
+        cut_x, cut_y = [0, *(at_x + 1).tolist(), len(ids_a)], [0, *(at_y + 1).tolist(), len(ids_b)]
+        found = [self.window(ids_a[a:b], ids_b[c:d]) for a, b, c, d in zip(cut_x, cut_x[1:], cut_y, cut_y[1:])]
+        groups, numbers, links = zip(*found)
+        return ";".join(groups), sum(numbers), b"".join(links)
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple]:
-        """Of each text n_a, n_b, n_groups, n_links, groups, and its distinct pairs with their numbers."""
-        got = iter(self.encoded([t for t in texts if t]))
-        for t in texts:
-            ids = next(got) if t else None
-            if ids is None:
+        """Of each text n_a, n_b, n_groups, n_links, groups, and its distinct pairs with their numbers.
+
+        A part begins where both sides go on with a space-marked token, so its start is an anchor, and the windows of a text
+        are those of its parts.
+        """
+        cut = [(parts_of(t) if self.by_parts else [t]) if t else [] for t in texts]
+        known = self.learn(set().union(*cut))
+        for parts in cut:
+            found = [known[p] for p in parts]
+            if not found or None in found:
                 yield 0, 0, 0, 0, None, np.zeros(0, np.int64), np.zeros(0, np.int64)
             else:
-                groups, n, links = self.aligned(*ids)
-                pairs, times = np.unique(links, return_counts=True)
-                yield len(ids[0]) // 4, len(ids[1]) // 4, n, len(links), groups, pairs, times
+                n_a, n_b, groups, numbers, links = zip(*found)
+                codes = np.frombuffer(b"".join(links), np.int64)
+                yield sum(n_a), sum(n_b), sum(numbers), len(codes), ";".join(groups), *np.unique(codes, return_counts=True)
 
 
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
