@@ -37,7 +37,7 @@ from tokenizers import Tokenizer
 from timepoint.llm.bpe import byte_letters
 from timepoint.llm.common import column, read_text, released, written
 
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Windows of more tokens are aligned afresh each time.
 LONG = 64
 #: Bytes of text that are encoded at a time.
