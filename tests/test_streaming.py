@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from timepoint.operators.adherence import on_time_flags
+from timepoint.operators.adherence import match_schedule, on_time_flags
 from timepoint.operators.ordered import previous_value
 from timepoint.operators.stop_events import stop_events
 from timepoint.streaming.feed import (
@@ -19,6 +19,7 @@ from timepoint.streaming.feed import (
     with_dead_windows,
     with_open_windows,
 )
+from timepoint.streaming.keyed import keyed_headway, keyed_state, stream_match, with_open_departures
 
 SCHEMA = "id INT, vehicle STRING, trip STRING, ts TIMESTAMP, speed DOUBLE"
 KEYS = ["vehicle", "trip"]
@@ -150,3 +151,77 @@ def test_dead_and_open_windows(spark):
     none = closed.limit(0)
     again = with_open_windows(none, polls, lambda df: feed_gap_monitor(df, "ts", "1 hour", 3), "ts")
     assert again.count() == 2 and with_dead_windows(none).count() == 0
+
+
+def keyed(spark, path, out, checkpoint, delay="5 days", horizon_ms=10 * 86_400_000):
+    """Runs the headways of what has landed; the progress of each micro-batch."""
+    df = stream(spark, path).withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    rows = keyed_headway(df, ["vehicle", "trip"], "at", "gap", "ts", horizon_ms, ["id"])
+    with keyed_state(spark):
+        q = rows.writeStream.format("parquet").option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start(str(out))
+        q.awaitTermination()
+    return [p for p in q.recentProgress if p.numInputRows]
+
+
+def test_keyed_headways_equal_those_of_the_batch_operator(spark, feed, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    progress = keyed(spark, feed, tmp_path / "o", tmp_path / "c")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    got = spark.read.parquet(str(tmp_path / "o"))
+    df = stream(spark, feed).withColumn("at", F.unix_micros("ts"))
+    stream_headway(df, KEYS, "at", "gap", str(tmp_path / "o2"), str(tmp_path / "c2"), ["id"]).awaitTermination()
+    want = spark.read.parquet(str(tmp_path / "o2"))
+    assert sorted(map(str, got.select("id", "gap").collect())) == sorted(map(str, want.select("id", "gap").collect()))
+    # Only the groups of a micro-batch are touched: T1 and T2 in the third, one of them in every other.
+    groups = [p.stateOperators[0].numRowsUpdated for p in progress]
+    assert len(groups) == 6 and groups[2] > groups[0] and groups[-1] <= groups[0], groups
+
+
+def test_keyed_headways_go_on_after_a_restart_and_forget_old_groups(spark, feed, tmp_path):
+    import shutil
+
+    half = tmp_path / "half"
+    half.mkdir()
+    for i in range(3):
+        shutil.copy2(feed / f"f{i}.json", half)
+    keyed(spark, half, tmp_path / "o", tmp_path / "c")
+    shutil.copy2(feed / "f3.json", half)
+    keyed(spark, half, tmp_path / "o", tmp_path / "c")
+    got = {r.id: r.gap for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got[6] == (2 * 86400 - 15) * 1_000_000 and spark.read.parquet(str(tmp_path / "o")).count() == 7
+    # With an hour to live, what was seen two days before the next batch but one is forgotten.
+    keyed(spark, feed, tmp_path / "o3", tmp_path / "c3", "1 hour", 3_600_000)
+    got = {r.id: r.gap for r in spark.read.parquet(str(tmp_path / "o3")).collect()}
+    assert got[3] == 5_000_000 and 7 not in got  # later than the watermark: dropped
+
+
+def test_keyed_headways_of_rows_without_a_time(spark, tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    rows = [[row(1, "08:00:00") | {"speed": 5.0}, row(2, "08:00:01") | {"speed": None}], [row(3, "08:00:02") | {"speed": 7.5}, row(4, "08:00:02") | {"speed": 4.0}]]
+    write_files(spark, path, rows)
+    df = stream(spark, path).withWatermark("ts", "1 day")
+    with keyed_state(spark):
+        got = run_to_table(keyed_headway(df, ["vehicle"], "speed", "gap", "ts", 86_400_000), "k")
+    assert {r.id: r.gap for r in got.collect()} == {1: None, 2: None, 3: 2.5, 4: None}
+
+
+def test_departures_that_nobody_served_leave_the_stream(spark, feed, tmp_path):
+    planned = [("T1", f"2024-08-{d} 08:00:00") for d in (26, 27, 28, 29)] + [("T2", "2024-08-26 12:00:00"), ("T2", None), (None, "2024-08-26 08:00:00")]
+    folder = tmp_path / "planned"
+    spark.createDataFrame(planned, "trip STRING, due STRING").withColumn("due", F.col("due").cast("timestamp")).coalesce(1).write.parquet(str(folder))
+    timetable = spark.read.parquet(str(folder))
+    window = (["trip"], "due", "ts", "10 minutes", "30 minutes")
+    due = spark.readStream.schema(timetable.schema).parquet(str(folder)).withWatermark("due", "1 hour")
+    seen = stream(spark, feed).select("id", "trip", "ts").withWatermark("ts", "1 hour").where("id <> 7")
+    closed = run_to_table(stream_match(due, seen, *window), "t")
+    rows = lambda df: sorted((str(r.trip), str(r.due), r.id or 0) for r in df.select("trip", "due", "id").collect())
+    # Days that the watermark has passed: as the match of the batch, buses that never came among them.
+    day = lambda df, at: df.withColumn("day", F.to_date(at))
+    landed = spark.read.schema(SCHEMA).json(str(feed)).select("id", "trip", "ts").where("id <> 7")
+    near = landed.where(F.date_format("ts", "HH:mm") < "08:31")
+    want = match_schedule(day(timetable, "due"), day(near, "ts"), ["trip", "day"], "due").where("due < '2024-08-28'")
+    assert rows(closed.where("due < '2024-08-28'")) == rows(want) and ("T1", "2024-08-27 08:00:00", 0) in rows(closed)
+    assert ("T1", "2024-08-29 08:00:00", 0) not in rows(closed)
+    whole = with_open_departures(closed, timetable, ["trip"], "due")
+    assert rows(whole) == rows(stream_match(timetable, landed, *window))

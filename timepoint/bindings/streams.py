@@ -16,7 +16,7 @@ from timepoint.operators.ordered import ROWS_PER_PIECE
 from timepoint.operators.quality import outage_spells, poll_sessions, snapshot_counts
 from timepoint.operators.rollups import SHARE_FLAGS, otp_daily
 from timepoint.schemas import POLL, TIMETABLE, struct
-from timepoint.session import new_scratch
+from timepoint.session import new_scratch, written
 from timepoint.sources.positions import flatten_positions
 from timepoint.sources.sinks import combine_daily, stream_sink, write_daily, write_result, write_summary_csv
 from timepoint.sources.tables import read_daily
@@ -33,6 +33,7 @@ from timepoint.streaming.feed import (
     with_open_sessions,
     with_open_windows,
 )
+from timepoint.streaming.keyed import keyed_headway, keyed_state, stream_match, with_open_departures
 
 DELAY = "1 hour"
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -126,6 +127,35 @@ def headways(spark, folder):
     return spark.read.parquet(f"{root}/rows").select("event_id", "route_id", "headway_us")
 
 
+def keyed_headways(spark, folder):
+    df = event_stream(spark, folder).withWatermark("ts", DELAY).select("event_id", "route_id", "service_date", "at_us", "ts")
+    rows = keyed_headway(df, ["route_id", "service_date"], "at_us", "headway_us", "ts", 3 * 86_400_000, ["event_id"])
+    with keyed_state(spark):
+        return run_to_table(rows.select("event_id", "route_id", "headway_us"), "keyed-headway")
+
+
+#: Around a departure, where a report counts as its bus.
+BEFORE, AFTER = "10 minutes", "30 minutes"
+
+
+def departures(spark, folder):
+    """The timetable of ``planned`` on every day from the first report of a route to its last, as a written table."""
+    days = landed(spark, folder).groupBy("route_id").agg(F.min("service_date").alias("first"), F.max("service_date").alias("last"))
+    daily = planned(spark, folder).join(days, "route_id").withColumn("day", F.explode(F.sequence("first", "last")))
+    due = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("sched_secs"))
+    return written(daily.select("route_id", "stop", due.cast("timestamp").alias("due"), wall_micros(due).alias("due_us")), "departures")
+
+
+def departures_met(spark, folder):
+    keys, window = ["route_id", "stop"], ("due", "ts", BEFORE, AFTER)
+    timetable = departures(spark, folder)
+    path = timetable.inputFiles()[0].rpartition("/")[0]
+    due = spark.readStream.schema(timetable.schema).parquet(path).withWatermark("due", DELAY)
+    seen = event_stream(spark, folder).withWatermark("ts", DELAY).select(*keys, "ts", "event_id")
+    closed = run_to_table(stream_match(due, seen, keys, *window), "departures-met")
+    return with_open_departures(closed, timetable, keys, "due").select("route_id", "stop", "due_us", "event_id")
+
+
 def gap_monitor(spark, folder):
     """Windows so short that in some no report came."""
 
@@ -257,6 +287,8 @@ QUERIES = {
     "stream_adherence": adherence_rows,
     "stream_otp": otp_windows,
     "stream_headway": headways,
+    "stream_headway_keyed": keyed_headways,
+    "stream_departures": departures_met,
     "feed_gap_monitor": gap_monitor,
     "outage_spells": outages,
     "outage_spells_streamed": outages_streamed,
@@ -301,7 +333,20 @@ SELECT route_id, CAST(before AS VARCHAR) AS stopped, CAST(ts AS VARCHAR) AS resu
 FROM e WHERE ts - before >= INTERVAL 15 MINUTE
 """
 
+_HEADWAYS = f"""{_EVENTS} SELECT event_id, route_id, at_us - lag(at_us) OVER (
+        PARTITION BY route_id, CAST(ts AS DATE) ORDER BY at_us, event_id) AS headway_us FROM e"""
+
 ORACLES = {
+    "stream_headway": _HEADWAYS,
+    "stream_headway_keyed": _HEADWAYS,
+    "stream_departures": f"""{_EVENTS}, planned AS (
+          SELECT route_id, stop, CAST(sum(day_us // 1000000) AS BIGINT) // count(*) AS secs FROM e WHERE route_id <> 'error' GROUP BY ALL
+        ), days AS (
+          SELECT route_id, unnest(generate_series(CAST(min(CAST(ts AS DATE)) AS TIMESTAMP), CAST(max(CAST(ts AS DATE)) AS TIMESTAMP),
+            INTERVAL 1 DAY)) AS day FROM e GROUP BY route_id
+        ), d AS (SELECT route_id, stop, day + to_seconds(secs) AS due FROM planned JOIN days USING (route_id))
+        SELECT d.route_id, d.stop, epoch_us(d.due) AS due_us, e.event_id FROM d LEFT JOIN e ON e.route_id = d.route_id
+          AND e.stop = d.stop AND e.ts BETWEEN d.due - INTERVAL 10 MINUTE AND d.due + INTERVAL 30 MINUTE""",
     "outage_spells": _OUTAGES,
     "outage_spells_streamed": _OUTAGES,
     "stream_dedup": f"{_EVENTS} SELECT event_id, vehicle_id, at_us FROM e",
@@ -316,8 +361,6 @@ ORACLES = {
         avg(CAST(on_time_4 AS INT)) AS on_time_perc_4,
         avg(CAST(on_time_20 AS INT)) AS on_time_perc_20, avg(delay) AS mean_delay
         FROM f GROUP BY 1, 2""",
-    "stream_headway": f"""{_EVENTS} SELECT event_id, route_id, at_us - lag(at_us) OVER (
-        PARTITION BY route_id, CAST(ts AS DATE) ORDER BY at_us, event_id) AS headway_us FROM e""",
     "feed_gap_monitor": f"""{_EVENTS}, c AS (
           SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n FROM e GROUP BY 1
         ), spine AS (SELECT unnest(generate_series(min(start), max(start), INTERVAL 10 MINUTE)) AS start FROM c)

@@ -163,7 +163,7 @@ def same_keys_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
         same = F.col(f"_l.`{k}`").eqNullSafe(F.col(f"_r.`{k}`"))
         cond = same if cond is None else cond & same
     extra = [F.col(f"_r.`{c}`") for c in right.columns if c not in set(keys)]
-    return l.join(r, cond, how).select("_l.*", *extra)
+    return l.join(r, cond, how).select("_l.*", *([] if how in ("left_anti", "left_semi") else extra))
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], of: DataFrame | None = None, **stats: Column) -> DataFrame:
