@@ -326,7 +326,8 @@ def candidates(left: DataFrame, right: DataFrame, threshold: int, *, apart: bool
     """Distinct pairs (u, v) of a text in ``left`` and one in ``right`` that share an entry and may reach the threshold.
 
     ``apart``: only pairs of different roots; ``nearest``: of each text in ``left`` only so many, by parity maps, for two
-    blocks. A pair of blocks is one row; only its pairs that pass all bounds are made.
+    blocks; ``cut`` then says whether a pair's text had more. A pair of blocks is one row; only its pairs that pass all
+    bounds are made.
     """
 
     def numbers(block: pa.Array) -> tuple[np.ndarray, ...]:
@@ -335,7 +336,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: int, *, apart: bool
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[bytes, bytes]] = set()
+            found: dict[tuple[bytes, bytes], bool] = {}
             for a, b in zip(batch.column("a"), batch.column("b")):
                 (n, ids, root, bits), (m, b_ids, b_root, b_bits) = numbers(a.values), numbers(b.values)
                 sizes = n[:, None] + m[None, :]
@@ -345,19 +346,25 @@ def candidates(left: DataFrame, right: DataFrame, threshold: int, *, apart: bool
                     keep &= (root[:, None] != b_root[None]).any(axis=2)
                 differ = np.bitwise_count(bits[:, None] ^ b_bits[None]).sum(axis=2, dtype=np.int32)
                 keep &= differ <= sizes - 2 * least
+                more = np.zeros(len(n), bool)
                 if nearest is not None and nearest < len(m):
+                    more = keep.sum(axis=1) > nearest
                     differ[~keep] = 1 << 30
                     first = np.argpartition(differ, nearest, axis=1)[:, :nearest]
                     chosen = np.zeros_like(keep)
                     np.put_along_axis(chosen, first, True, axis=1)
                     keep &= chosen
                 x, y = np.nonzero(keep)
-                found.update((max(p, q), min(p, q)) for p, q in zip(map(bytes, ids[x]), map(bytes, b_ids[y])))
+                for p, q, cut in zip(map(bytes, ids[x]), map(bytes, b_ids[y]), more[x].tolist()):
+                    pair = (max(p, q), min(p, q))
+                    found[pair] = cut or found.get(pair, False)
             u, v = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+            columns = [pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(found.values(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "cut"])
 
     met = in_blocks(left).select("sig", F.col("texts").alias("a")).join(in_blocks(right).select("sig", F.col("texts").alias("b")), "sig")
-    return met.select("a", "b").mapInArrow(compare, "u binary, v binary").distinct()
+    made = met.select("a", "b").mapInArrow(compare, "u binary, v binary, cut boolean")
+    return made.groupBy("u", "v").agg(F.max("cut").alias("cut"))
 
 
 def similar_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, threshold: int = THRESHOLD, **order: int) -> tuple[DataFrame, DataFrame]:
@@ -379,22 +386,30 @@ def _roots(shared: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     like = of_like_size(F.col("n"), F.col("hub_n"), threshold)
     pairs = shared.where((F.col("sid") != F.col("hub")) & like).select(*ordered_pair(F.col("sid"), F.col("hub"))).distinct()
     tested = written(pairs, "candidates")
-    links = written(verified(tested, sets, threshold), "links")
+    roots = written(components(written(verified(tested, sets, threshold), "links")), "roots")
+    texts = None
     for nearest in (*NEAREST, None):
-        roots = written(components(links), "roots")
-        texts = _open_entries(shared, roots, sets)
+        if texts is None:
+            texts = _open_entries(shared, roots, sets)
+            shared = texts  # an entry that has become one component stays one
         found = written(candidates(texts.where("root != largest"), texts, threshold, apart=True, nearest=nearest), "candidates")
         if found.isEmpty():  # entries have one component each, or what they have more of is too far apart
             return roots
-        pairs = written(found.join(tested, ["u", "v"], "left_anti"), "candidates")
+        pairs = written(found.select("u", "v").join(tested, ["u", "v"], "left_anti"), "candidates")
         new = written(verified(pairs, sets, threshold), "links")
-        tested, links = tested.unionByName(pairs), links.unionByName(new)
-    return roots if new.isEmpty() else components(links)
+        if not new.isEmpty():
+            stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            roots, texts = written(components(stars.unionByName(new)), "roots"), None
+        if found.where("cut").isEmpty():  # no candidate was left out
+            return roots
+        tested = tested.unionByName(pairs)
+    return roots
 
 
 def _open_entries(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """The texts of entries that hold several components, with their root, the entry's largest one, and parity map."""
-    named = shared.join(roots, shared["sid"] == roots["node"], "left").select("sig", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    named = shared.select("sig", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left")
+    named = named.select("sig", "sid", "n", F.coalesce("root", "sid").alias("root"))
     named = written(named, "entries-with-roots")
     largest = (
         named.groupBy("sig", "root").agg(F.count("*").alias("k"))
