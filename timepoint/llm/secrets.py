@@ -3,9 +3,9 @@
 Base rules find credentials of three kinds; what they find is labelled with its kind. For each kind a prefix tree of
 labelled credentials (as sequences of character classes) is folded into a probabilistic automaton: states whose
 stopping and outgoing frequencies are compatible by the Hoeffding bound are merged, with all that follows them
-(state merging in the manner of ALERGIA). Every token of a text that is as long as a labelled credential can be, words and
+(state merging in the manner of ALERGIA), those of one depth first, so that a fixed length stays part of a format. Every token of a text that is as long as a labelled credential can be, words and
 numbers too, is scored by the log-likelihood ratio, per character, of the best kind's automaton against a bigram model of
-classes in ordinary tokens. Candidates that reach a kind's ``threshold``, and ``EVIDENCE`` over all their characters, are
+classes in ordinary tokens; both score where the token ends too. Candidates that reach a kind's ``threshold``, and ``EVIDENCE`` over all their characters, are
 added as ``<kind>-like`` spans; below 16 characters it is the latter that decides.
 
 The fit uses at most ``per_kind`` labelled credentials of each kind and ``ordinary`` tokens of some length (``PER_TEXT`` of a text,
@@ -60,6 +60,11 @@ LONGEST = 256
 REMEMBERED = 100_000
 REMEMBERED_LENGTH = 64
 END = "$"
+#: Classes of characters; what the smoothing adds to the count of each after a state, and to that of the stop.
+LETTERS = 6
+UNSEEN = (0.5, 0.05)
+#: Least likelihood of a stop: what ends where hardly any labelled credential does has not their format.
+LEAST_STOP = 0.001
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -101,7 +106,12 @@ def classes(value: str) -> str:
 
 
 class Automaton:
-    """A probabilistic automaton folded from the prefix tree of sequences."""
+    """A probabilistic automaton folded from the prefix tree of sequences.
+
+    States of one depth are folded first, so that each depth pools what all labelled credentials show there; only then are
+    states of different depths held against each other. A tree's deep states have a credential or two and would fit
+    anything: folded at once, a format of fixed length became a loop of any length.
+    """
 
     def __init__(self, sequences: list[str], alpha: float = ALPHA):
         self.out: list[Counter] = [Counter()]
@@ -117,8 +127,16 @@ class Automaton:
                 state = self.to[state][c]
             self.out[state][END] += 1
         self.alpha = alpha
+        self.folded = list(range(len(self.out)))
+        self.apart: set[tuple[int, int]] = set()
         self._fold()
 
+    def _state(self, a: int) -> int:
+        """The state that ``a`` was folded into."""
+        while self.folded[a] != a:
+            self.folded[a] = a = self.folded[self.folded[a]]
+        return a
+
     def _differ(self, a: int, b: int) -> bool:
         """Whether any frequency of the two states differs by more than the bound."""
         n, m = self.out[a].total(), self.out[b].total()
@@ -128,23 +146,34 @@ class Automaton:
         return any(abs(self.out[a][c] / n - self.out[b][c] / m) > bound for c in self.out[a].keys() | self.out[b].keys())
 
     def _compatible(self, red: int, blue: int) -> bool:
-        pairs, seen = [(red, blue)], set()
+        """Whether the states, and what follows the same letters after both, are alike."""
+        pairs, came = [(red, blue)], {(red, blue): None}
         while pairs:
-            a, b = pairs.pop()
-            if a == b or (a, b) in seen:
+            pair = pairs.pop()
+            a, b = pair
+            if a == b:
                 continue
-            seen.add((a, b))
-            if self._differ(a, b):
+            if pair in self.apart or self._differ(a, b):
+                while pair:  # so are all pairs that lead here
+                    self.apart.add(pair)
+                    pair = came[pair]
                 return False
-            pairs += [(self.to[a][c], self.to[b][c]) for c in self.to[a].keys() & self.to[b].keys()]
+            for c in self.to[a].keys() & self.to[b].keys():
+                after = self._state(self.to[a][c]), self._state(self.to[b][c])
+                if after not in came:
+                    came[after] = pair
+                    pairs.append(after)
         return True
 
-    def _merge(self, parent: int, letter: str, red: int, blue: int) -> None:
-        """Lead the edge into blue to red, and add the tree below blue to what is below red."""
-        self.to[parent][letter] = red
+    def _merge(self, red: int, blue: int) -> None:
+        """Fold blue into red, and what follows the same letter after both."""
+        self.apart.clear()
         pairs = [(red, blue)]
         while pairs:
-            a, b = pairs.pop()
+            a, b = map(self._state, pairs.pop())
+            if a == b:
+                continue
+            self.folded[b] = a
             self.out[a] += self.out[b]
             for c, target in self.to[b].items():
                 if c in self.to[a]:
@@ -152,32 +181,59 @@ class Automaton:
                 else:
                     self.to[a][c] = target
 
-    def _fold(self) -> None:
-        red = [0]
-        while True:
-            blue = next(((p, c, q) for p in red for c, q in sorted(self.to[p].items()) if q not in red), None)
-            if blue is None:
-                break
-            parent, letter, state = blue
-            for other in red:
-                if self._compatible(other, state):
-                    self._merge(parent, letter, other, state)
-                    break
+    def _kept(self, states: list[int]) -> list[int]:
+        """The states, those seen most first, without those that are compatible with one before, which join the nearest."""
+        red: list[int] = []
+        for blue in sorted(states, key=lambda q: -self.out[q].total()):
+            if self._state(blue) != blue:
+                continue
+            red = [r for r in red if self._state(r) == r]
+            near = [r for r in red if self._compatible(r, blue)]
+            if near:
+                self._merge(min(near, key=lambda r: self._distance(r, blue)), blue)
             else:
-                red.append(state)
-        self.states = red
+                red.append(blue)
+        return [r for r in red if self._state(r) == r]
 
-    def score(self, sequence: str) -> float:
-        """Log-likelihood of the characters with add-half smoothing; an unknown edge falls back to the start.
-
-        The stop is left out: how long a credential is belongs to the candidate rule, not to its format.
-        """
-        total, state = 0.0, 0
-        for c in sequence:
-            out = self.out[state]
-            total += math.log((out[c] + 0.5) / (out.total() + 4))
-            state = self.to[state].get(c, 0)
-        return total
+    def _distance(self, a: int, b: int) -> float:
+        n, m = self.out[a].total() or 1, self.out[b].total() or 1
+        return sum(abs(self.out[a][c] / n - self.out[b][c] / m) for c in self.out[a].keys() | self.out[b].keys())
+
+    def _fold(self) -> None:
+        layers, states = [0], [0]
+        while layers:
+            below = [self._state(q) for p in layers for _, q in sorted(self.to[p].items())]
+            layers = self._kept(list(dict.fromkeys(below)))
+            states += layers
+        self.states = self._kept(states)
+        for state in self.states:
+            self.to[state] = {c: self._state(q) for c, q in self.to[state].items()}
+        self.expected = {state: self._expected(state) for state in self.states}
+
+    def _expected(self, state: int) -> tuple[float, float]:
+        """Mean and variance of the log-likelihood of what comes after the state."""
+        n = self.out[state].total()
+        logs = [(k / n, self._log(state, c)) for c, k in self.out[state].items()]
+        mean = sum(p * x for p, x in logs)
+        return mean, sum(p * (x - mean) ** 2 for p, x in logs)
+
+    def score(self, sequence: str) -> tuple[float, float]:
+        """Log-likelihood of the characters and of the stop after them (none for a stop that is too unlikely), and by how many standard deviations it is above what
+        the automaton expects on that path (at least one unit each). An unknown edge falls back to the start."""
+        total = mean = variance = 0.0
+        state = 0
+        for c in (*sequence, END):
+            total += self._log(state, c)
+            mean += self.expected[state][0]
+            variance += self.expected[state][1]
+            before, state = state, self.to[state].get(c, 0)
+        if self._log(before, END) < math.log(LEAST_STOP):
+            return -math.inf, -math.inf
+        return total, (total - mean) / math.sqrt(max(1.0, variance))
+
+    def _log(self, state: int, c: str) -> float:
+        out = self.out[state]
+        return math.log((out[c] + UNSEEN[c == END]) / (out.total() + LETTERS * UNSEEN[0] + UNSEEN[1]))
 
 
 class Bigrams:
@@ -191,40 +247,27 @@ class Bigrams:
 
     def score(self, sequence: str) -> float:
         total = 0.0
-        for a, b in zip(f"{END}{sequence}", sequence):
+        for a, b in zip(f"{END}{sequence}", f"{sequence}{END}"):
             seen = self.after.get(a, Counter())
             total += math.log((seen[b] + 0.5) / (seen.total() + 4))
         return total
 
 
 class Model:
-    """Automata of the kinds, how their credentials' scores spread, and the model of ordinary tokens."""
+    """Automata of the kinds and the model of ordinary tokens."""
 
     def __init__(self, labelled: list[tuple[str, str]], ordinary: list[str], threshold: float = THRESHOLD, alpha: float = ALPHA):
         by_kind: dict[str, list[str]] = defaultdict(list)
         for kind, value in sorted(labelled):
             by_kind[kind].append(classes(value))
         self.automata = {k: Automaton(v, alpha) for k, v in sorted(by_kind.items())}
-        self.spread = {k: self._spread(self.automata[k], v) for k, v in by_kind.items()}
         self.ordinary = Bigrams([classes(t) for t in ordinary])
         self.threshold = threshold
         self.remembered: dict[str, str | None] = {}
 
-    @staticmethod
-    def _spread(automaton: Automaton, sequences: list[str]) -> tuple[float, float]:
-        """Mean score per character, and its standard deviation for a single character."""
-        scores = [(automaton.score(s) / len(s), len(s)) for s in sequences]
-        mean = sum(x for x, _ in scores) / len(scores)
-        return mean, math.sqrt(sum((x - mean) ** 2 * n for x, n in scores) / len(scores))
-
-    def _lowest(self, kind: str, length: int) -> float:
-        """The least score per character that all but the oddest credentials of that length have."""
-        mean, one = self.spread[kind]
-        return mean - DEVIATIONS * one / math.sqrt(length)
-
     def kind(self, token: str) -> str | None:
-        """The kind whose format the token has most likely, if any: as likely as all but the oddest credentials, and
-        likelier than an ordinary token by the threshold, and by the least evidence as a whole."""
+        """The kind whose format the token has most likely, if any: as likely as its path in the automaton, within a few
+        deviations, and likelier than an ordinary token by the threshold, and by the least evidence as a whole."""
         sequence = classes(token)
         if len(sequence) > REMEMBERED_LENGTH:
             return self._kind(sequence)
@@ -235,10 +278,9 @@ class Model:
         return self.remembered[sequence]
 
     def _kind(self, sequence: str) -> str | None:
-        plain = self.ordinary.score(sequence) / len(sequence)
-        scored = [(a.score(sequence) / len(sequence), k) for k, a in self.automata.items()]
-        least = plain + max(self.threshold, EVIDENCE / len(sequence))
-        fit = [(s, k) for s, k in scored if s >= self._lowest(k, len(sequence)) and s >= least]
+        least = self.ordinary.score(sequence) + max(self.threshold * len(sequence), EVIDENCE)
+        scored = [(*a.score(sequence), k) for k, a in self.automata.items()]
+        fit = [(s, k) for s, above, k in scored if above >= -DEVIATIONS and s >= least]
         return max(fit)[1] if fit else None
 
 
