@@ -83,6 +83,54 @@ def test_licenses_of_odd_texts(spark, tmp_path):
     assert licenses.find_licenses(docs).count() == len(NOTICES) and licenses.find_licenses(docs.limit(0)).count() == 0
 
 
+def plain_matches(index, words):
+    """Labels and shares of the templates that stand anywhere, every start of every template compared."""
+    found = set()
+    for t in index.listed:
+        whole = sum(index.idf[w] for w in t.words)
+        for s in range(-len(t.words), len(words) + 1):
+            near = lambda i: words[max(0, s + i - licenses.SLACK) : max(0, s + i + licenses.SLACK + 1)]  # noqa: B023, E731
+            here = words[max(0, s - licenses.SLACK) : max(0, s + len(t.words) + licenses.SLACK)]
+            if t.base:
+                if s >= 0 and tuple(words[s : s + len(t.words)]) == t.words:
+                    found.add((t.label, True, len(t.words), 1.0))
+                continue
+            share = sum(index.idf[w] for i, w in enumerate(t.words) if w in near(i)) / whole
+            if share >= licenses.MIN_SHARE - 1e-9 and all(b" ".join(k) in b" ".join(here) for k in t.keys):
+                found.add((t.label, False, len(t.words), round(share, 6)))
+    return found
+
+
+def test_no_start_is_missed_whichever_words_are_lost():
+    """The index against every start of every template, on notices with words lost, put in and swapped."""
+    listed, rng = licenses.templates(), random.Random(7)
+    vocabulary = sorted({w for t in listed for w in t.words})
+    df = {w: rng.choice((0, 1, 3, 30, 900)) for w in vocabulary}
+    index, hits = licenses.Index(listed, df, 1000, licenses.MIN_RARE, licenses.MIN_SHARE), 0
+    for _ in range(250):
+        words = []
+        for t in rng.choices(listed, k=rng.choice((1, 2, 3))):
+            part = list(t.words)
+            for _ in range(rng.choice((0, 1, 2, len(part) // 4))):
+                i = rng.randrange(len(part)) if part else 0
+                part[i : i + rng.choice((0, 1, 1))] = rng.choice(([], [rng.choice(vocabulary)], [b"other"]))
+            words += part + rng.choices([*vocabulary, b"other"], k=rng.choice((0, 5, 30)))
+        got, want = index.matches(words), plain_matches(index, words)
+        assert {m[:2] for m in got} == {m[:2] for m in want}, words
+        assert {(m[0], m[1], m[3], round(m[4], 6)) for m in got} <= want
+        best = lambda ms, k: {(m[0], m[k]): max(x[-1] for x in ms if (x[0], x[k]) == (m[0], m[k])) for m in ms}
+        assert {k: round(v, 6) for k, v in best(got, 3).items()} == best(want, 2), words
+        hits += len(want)
+    assert hits > 300
+
+
+def test_licence_scan_of_a_long_run_of_notices_is_quick():
+    index = licenses.Index(licenses.templates(), {}, 10, licenses.MIN_RARE, licenses.MIN_SHARE)
+    for notice, n in (("mit license", 0), ("under the mit license", 50_000)):
+        words, start = notice.encode().split() * 50_000, time.monotonic()
+        assert len(index.matches(words)) == n and time.monotonic() - start < 15
+
+
 # WARC
 
 PAGES = [

@@ -1,13 +1,15 @@
 """Licence scans by a positional index of rare words.
 
-Templates are short licence notices with mandatory key phrases. Their words are weighed by inverse document frequency
-over all documents; the rarest words of each template, with their places in it, are its postings. A document looks up
-its words among them, and every hit says where the template would have to start. Postings that agree on a start are
-intersected: a start with enough of the rare words is compared word by word, and counts if enough of the template
-stands there and every key phrase does. The base phrases are templates of one rare word that must stand there whole, so
-each of their places is found, whatever the document frequencies are.
-
-The index is a few hundred words, whatever the data; document frequencies are counted for those words only, over whole
+Templates are licence notices and texts with mandatory key phrases. Their words are weighed by inverse document frequency
+over all documents; the postings of a word are its places in each template. A template stands at a start of a document if
+words of at least ``min_share`` of its weight are in place there, give or take ``SLACK`` words, and every key phrase is.
+A document looks up its own rarest words of each template: what it lacks is lost already, and it takes as many of the rest,
+rarest first, as weigh more than may still be lost without the ``min_rare`` - 1 heaviest of them. So wherever the template
+stands, ``min_rare`` of these words say where it starts (one, for templates too short for that): their places are
+intersected by relative position, and only such starts are compared word by word. No start is missed, whichever words a
+notice has lost. The base phrases are templates that must stand there whole.
+
+The index is some hundred words, whatever the data; document frequencies are counted for those words only, over whole
 texts of all documents.
 
 Defined results: null and wordless texts have no words and no matches; ties in document frequency go by the word;
@@ -18,7 +20,8 @@ columns are not carried.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import operator
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,9 +30,10 @@ from pyspark.sql import functions as F
 
 from timepoint.llm.common import column, plain_words
 
-N_RARE = 5
 MIN_RARE = 2
 MIN_SHARE = 0.8
+#: What rounding may add to a sum of weights.
+EPSILON = 1e-9
 #: Words by which a place may be off.
 SLACK = 2
 #: Base phrases and their labels.
@@ -58,6 +62,20 @@ NOTICES = [
     ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0", ["cc by nc 4 0"]),
     ("cc-by-nc-sa-4.0", "licensed under CC BY-NC-SA 4.0", ["cc by nc sa 4 0"]),
     ("cc-by-4.0", "Creative Commons Attribution 4.0 International", ["creative commons attribution 4 0"]),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+     "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+     "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+     "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+     "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+     ["merchantability", "noninfringement"]),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+     "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+     "following disclaimer in the documentation and/or other materials provided with the distribution.",
+     ["redistributions of source code must retain", "redistributions in binary form must reproduce"]),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed "
+     "under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+     ["apache org licenses license 2 0"]),
     ("cc0-1.0", "CC0 1.0 Universal Public Domain Dedication", ["cc0 1 0"]),
 ]
 MATCH = "struct<label: string, base: boolean, start: bigint, words: int, share: double>"
@@ -84,57 +102,85 @@ def stands(words: list[bytes], part: tuple[bytes, ...]) -> bool:
     return any(tuple(words[i : i + len(part)]) == part for i in range(len(words) - len(part) + 1))
 
 
-def agreed(hits: dict[int, int], needed: int) -> list[int]:
-    """Starts that enough postings agree on, give or take a word put in or left out."""
-    return [s for s in sorted(hits) if sum(hits.get(s + d, 0) for d in range(SLACK + 1)) >= needed]
-
-
 class Index:
-    """Postings of each template's rarest words, for document frequencies ``df`` of ``n`` documents."""
+    """Places and weights of the templates' words, for document frequencies ``df`` of ``n`` documents."""
 
-    def __init__(self, listed: list[Template], df: dict[bytes, int], n: int, n_rare: int, min_rare: int, min_share: float):
-        self.listed, self.min_share = listed, min_share
+    def __init__(self, listed: list[Template], df: dict[bytes, int], n: int, min_rare: int, min_share: float):
+        self.listed, self.min_rare = listed, min_rare
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for t in listed for w in t.words}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.needed = []
-        for number, t in enumerate(listed):
-            rare = sorted(set(t.words), key=lambda w: (-self.idf[w], w))[: 1 if t.base else n_rare]
-            if t.base:
-                self.postings[rare[0]].append((number, t.words.index(rare[0])))
-            else:
-                for place, w in enumerate(t.words):
-                    if w in rare:
-                        self.postings[w].append((number, place))
-            self.needed.append(1 if t.base else min(min_rare, len(rare)))
+        self.places: list[dict[bytes, list[int]]] = []
+        self.rare_first: list[list[tuple[bytes, float]]] = []
+        self.total: list[float] = []
+        self.may_lose: list[float] = []
+        for t in listed:
+            places: dict[bytes, list[int]] = defaultdict(list)
+            for place, w in enumerate(t.words):
+                places[w].append(place)
+            self.places.append(dict(places))
+            self.rare_first.append([(w, self.idf[w] * len(places[w])) for w in sorted(places, key=lambda w: (-self.idf[w], w))])
+            self.total.append(sum(self.idf[w] for w in t.words))
+            self.may_lose.append(EPSILON if t.base else (1 - min_share) * self.total[-1] + EPSILON)
+
+    def looked_up(self, number: int, present: set[bytes]) -> tuple[list[bytes], int] | None:
+        """The rarest words of a document that has these of the template's, and how many have to agree; None if the
+        template cannot stand in it."""
+        left = self.may_lose[number]
+        for w, weight in self.rare_first[number]:
+            if w not in present:
+                left -= weight
+                if left < 0:
+                    return None
+        chosen, weights = [], []
+        needed = 1 if self.listed[number].base else self.min_rare
+        for w, weight in self.rare_first[number]:
+            if w in present:
+                chosen.append(w)
+                weights.append(weight)
+                if sum(sorted(weights)[: len(weights) - needed + 1]) > left:
+                    return chosen, needed
+        return chosen, 1
+
+    def share(self, number: int, words: list[bytes], start: int) -> float | None:
+        """The share of the template's weight that stands at a start, if it is enough and the key phrases are there."""
+        t, lost = self.listed[number], 0.0
+        for place, w in enumerate(t.words, start):
+            if w not in words[max(0, place - SLACK) : max(0, place + SLACK + 1)]:
+                lost += self.idf[w]
+                if lost > self.may_lose[number]:
+                    return None
+        here = words[max(0, start - SLACK) : max(0, start + len(t.words) + SLACK)]
+        return min(1.0, 1 - lost / self.total[number]) if all(stands(here, k) for k in t.keys) else None
 
     def matches(self, words: list[bytes]) -> list[tuple[str, bool, int, int, float]]:
         """(label, base, first word, number of words, weighted share that stands) by place."""
-        postings = self.postings
-        if postings.keys().isdisjoint(words):
-            return []
-        starts: list[dict[int, int]] = [defaultdict(int) for _ in self.listed]
-        for at, w in enumerate(words):
-            for number, place in postings.get(w, ()):
-                starts[number][at - place] += 1
+        present = self.idf.keys() & set(words)
+        possible = [(i, *found) for i in range(len(self.listed)) if (found := self.looked_up(i, present))] if present else []
+        at: dict[bytes, list[int]] = {w: [] for _, chosen, _ in possible for w in chosen}
+        if at:
+            for place, w in enumerate(words):
+                if w in at:
+                    at[w].append(place)
         found = []
-        for t, needed, hits in zip(self.listed, self.needed, starts):
+        for number, chosen, needed in possible:
+            t, places = self.listed[number], self.places[number]
+            own: list[tuple[float, int, int]] = []
             if t.base:
-                places = [s for s in hits if s >= 0 and tuple(words[s : s + len(t.words)]) == t.words]
-                found += [(t.label, True, s, len(t.words), 1.0) for s in places]
+                starts = (a - places[chosen[0]][0] for a in at[chosen[0]])
+                found += [(t.label, True, s, len(t.words), 1.0) for s in starts if s >= 0 and tuple(words[s : s + len(t.words)]) == t.words]
                 continue
-            last = -1
-            for start in agreed(hits, needed):
-                share = sum(self.idf[w] for i, w in enumerate(t.words) if w in words[max(0, start + i - SLACK) : max(0, start + i + SLACK + 1)])
-                share = min(1.0, share / sum(self.idf[w] for w in t.words))
-                here = words[max(0, start - SLACK) : max(0, start + len(t.words) + SLACK)]
-                if share < self.min_share or not all(stands(here, k) for k in t.keys):
+            agreeing: Counter[int] = Counter()
+            for w in chosen:
+                agreeing.update({a - p + d for a in at[w] for p in places[w] for d in range(-SLACK, SLACK + 1)})
+            for start in sorted(s for s, n in agreeing.items() if n >= needed):
+                if (share := self.share(number, words, start)) is None:
                     continue
-                match = (t.label, False, max(0, start), len(t.words), share)
-                if last >= 0 and match[2] - found[last][2] <= SLACK:  # the same place again
-                    found[last] = max(found[last], match, key=lambda m: m[4])
+                exact = sum(map(operator.eq, t.words[max(0, -start) :], words[max(0, start) : start + len(t.words)]))
+                match = (share, exact, max(0, start))
+                if own and match[2] - own[-1][2] <= SLACK:  # the same place again
+                    own[-1] = max(own[-1], match, key=lambda m: m[:2])
                 else:
-                    last = len(found)
-                    found.append(match)
+                    own.append(match)
+            found += [(t.label, False, start, len(t.words), share) for share, _, start in own]
         return sorted(found, key=lambda m: (m[2], m[0], m[1]))
 
 
@@ -157,14 +203,13 @@ def find_licenses(
     doc_id: str = "doc_id",
     text: str = "text",
     listed: list[Template] | None = None,
-    n_rare: int = N_RARE,
     min_rare: int = MIN_RARE,
     min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, and matches, an array of label, base, start (word), words and share."""
     listed = templates() if listed is None else listed
     df, n = document_frequencies(docs, text, {w for t in listed for w in t.words})
-    sent = docs.sparkSession.sparkContext.broadcast(Index(listed, df, n, n_rare, min_rare, min_share))
+    sent = docs.sparkSession.sparkContext.broadcast(Index(listed, df, n, min_rare, min_share))
 
     @F.arrow_udf(f"struct<n_words: bigint, matches: array<{MATCH}>>")
     def scan(texts: pa.Array) -> pa.Array:
