@@ -5,14 +5,19 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from timepoint.functions.clock import SCHOOL_MORNING_HOURS, day_part
 from timepoint.operators.arrivals import (
     arrival_stats_wide,
+    attach_classes,
+    bell_classes,
     bus_capacity,
     collapse_mean,
     hourly_buses,
+    near_bell,
     near_school_share,
     part_buses,
 )
+from timepoint.operators.joins import attach_bells
 from timepoint.operators.people import ratio_of_totals
 from timepoint.operators.reshape import pivot_sums, stack, unpivot_wide
 from timepoint.operators.rides import valid_county_stops
@@ -219,6 +224,53 @@ def test_bus_counts(spark):
     assert (part.n, part.n_unique) == (3, 2)
 
 
+def _visits(spark):
+    """Arrivals at twenty stops by trips that pass several, with twice-seen, unnamed and late ones."""
+    from random import Random
+
+    r = Random(3)
+    rows = []
+    for _ in range(3000):
+        hour, minute = r.choice((5, 6, 7, 7, 8, 14, 15, 15, 16)), r.randrange(60)
+        secs = None if r.random() < 0.03 else float(hour * 3600 + minute * 60)
+        rows.append((str(r.randrange(20)), r.choice(("d1", "d2", None)), r.choice(("v1", "v2", "v3", None)), f"t{r.randrange(4)}", hour, minute, secs))
+    return spark.createDataFrame(
+        rows, "stop_id STRING, service_date STRING, vehicle_id STRING, trip_id STRING, obs_hour BIGINT, obs_minute BIGINT, obs_secs DOUBLE"
+    )
+
+
+def test_arrivals_by_sets_of_stops_are_those_of_the_join(spark):
+    """Schools with several, one-sided and missing bells, and pairs given twice: counts as of the rows joined to every school."""
+    from random import Random
+
+    r = Random(5)
+    arrivals = _visits(spark)
+    near = [(str(r.randrange(20)), r.choice((*[f"s{i}" for i in range(15)], None))) for _ in range(90)]
+    bells = [(f"s{i}", r.choice((27_000, 28_800, None)), r.choice((52_200, 54_000, None))) for i in range(12) for _ in range(1 + i % 3)]
+    near, bells = spark.createDataFrame(near, "stop_id STRING, school STRING"), spark.createDataFrame(
+        bells, "school STRING, opening_secs INT, closing_secs BIGINT"
+    )
+    part = day_part(F.col("obs_hour"), morning=SCHOOL_MORNING_HOURS, otherwise=None)
+    met = attach_bells(arrivals.join(near.distinct(), "stop_id"), bells, ["school"], "opening_secs", "closing_secs")
+    kept = near_bell(met, "obs_hour", "obs_minute", "obs_secs", "opening_secs", "closing_secs", 60)
+    wanted = part_buses(kept, ["school", "service_date"], "obs_hour", ["vehicle_id", "trip_id"], part)
+    got = daily_arrivals(arrivals, near, bells, 60)
+    assert got.schema.simpleString() == wanted.schema.simpleString()
+    assert got.count() > 30 and sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_arrivals_are_not_multiplied_by_schools(spark):
+    """A hundred schools at each stop with the same bells: an arrival stays one row until it is counted."""
+    arrivals = _visits(spark).where("obs_secs IS NOT NULL")
+    belled = spark.range(20).crossJoin(spark.range(100).select(F.concat(F.lit("s"), "id").alias("school"))).select(
+        F.col("id").cast("string").alias("stop_id"), "school", F.lit(28_800).alias("opening_secs"), F.lit(54_000).alias("closing_secs")
+    )
+    part = day_part(F.col("obs_hour"), morning=SCHOOL_MORNING_HOURS, otherwise=None)
+    classes = bell_classes(belled, "stop_id", "school", "opening_secs", "closing_secs")
+    met = attach_classes(arrivals, classes, "stop_id", part, "opening_secs", "closing_secs")
+    assert met.count() == arrivals.where(part.isNotNull()).count()
+
+
 def test_statistics_of_one_day(spark):
     df = spark.sql("SELECT 'S' AS school, DATE '2024-08-26' AS service_date, 'morning' AS time, 4L AS n")
     r = arrival_stats_wide(df, ["school"]).first()
