@@ -142,6 +142,19 @@ def test_latest_departure(spark):
     assert got["x"].latest_departure == clock("07:00") and got["x"].travel_time is None
 
 
+def test_probes_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """However few bytes the trips have, no task holds many more probes than it should."""
+    from timepoint.bindings import trips
+
+    orders = "id AS o_orderkey", "id AS o_custkey", "'HIGH' AS o_orderpriority", "TIMESTAMP_NTZ '2024-05-06 00:00:00' AS o_orderdate"
+    spark.range(4000).selectExpr(*orders).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(4000).selectExpr("id AS l_orderkey", "CAST(id % 50 AS DOUBLE) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(trips, "PROBES_PER_PIECE", 3000, raising=False)
+    held = trips.probes(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert held[0] < 6000 and held[1] == 60_000
+    assert trips.latest_departure(spark, str(tmp_path)).where("n_probes > 0").count() == 4000
+
+
 @given(runs=st.lists(st.lists(st.sampled_from([True, False, None]), min_size=1, max_size=15), min_size=1, max_size=6))
 @SLOW
 def test_latest_departure_equals_a_loop(spark, runs):

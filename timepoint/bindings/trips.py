@@ -6,6 +6,8 @@ route is the supplier (none on foot), students and school come from the order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,6 +160,10 @@ def shared_routes(spark, folder):
     return rounded(route_share(legs(spark, folder), TRIP, lines(spark, folder)), 9, ["pct_of_trips"])
 
 
+#: Probes in one task; they are grouped and ordered there.
+PROBES_PER_PIECE = 500_000
+
+
 def probes(spark, folder):
     """Fifteen candidate departures for each order with line items.
 
@@ -167,7 +173,10 @@ def probes(spark, folder):
     line = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("trip_id")).agg(
         F.sum("l_quantity").cast("bigint").alias("q")
     )
-    df = trips(spark, folder).join(line, "trip_id")
+    asked = trips(spark, folder)
+    pieces = max(1, math.ceil(asked.count() * len(PROBE_MINUTES) / PROBES_PER_PIECE))
+    # Partitions are sized by their bytes before a row becomes fifteen, so their number comes from the rows there will be.
+    df = asked.join(line, "trip_id").repartition(pieces, "trip_id")
     df = df.withColumn("before", F.explode(F.lit(list(PROBE_MINUTES)).cast("array<bigint>")))
     base = F.col("q") % 50 + 5
     travel = base + (F.col("q") * 7 + F.col("before") * 3) % 23
