@@ -110,6 +110,26 @@ def test_parts_are_encoded_as_in_the_whole_text():
             assert groups is None, t
 
 
+def test_parts_outlive_a_full_memory(monkeypatch):
+    """Frequent parts are not encoded anew when the memory turns over, and what a batch asks for is all there."""
+    monkeypatch.setattr(align, "REMEMBERED", 3)
+    with open(PATHS[1], "rb") as f:
+        pair = align.TokenPair(open(PATHS[0], encoding="utf-8").read(), f.read())
+    first = dict(pair.learn({"the", "and", "of", "bus", ""}))
+    assert pair.learn({"the", "school", ""})["the"] is first["the"]
+    assert pair.learn({"stop", "tram"}).keys() >= {"stop", "tram"}
+    got = pair.learn({"the", "line", "of"})
+    assert got["the"] is first["the"] and got["of"] == first["of"]
+    assert len(pair.parts) + len(pair.last_parts) <= 12
+
+
+def test_tokens_that_do_not_spell_their_text_are_told_one_by_one():
+    side = align.Side([b" a", b"b", b"", b" "])
+    assert side.spell([[0, 1], [3], []], [b" ab", b" ", b""]) == [True, True, True]
+    assert side.spell([[0, 1], [0]], [b" a", b"b a"]) == [False, False]
+    assert side.spell([[0], [0, 1], [2]], [b" a", b" ac", b""]) == [True, False, True]
+
+
 def test_alignment_of_an_empty_table(spark):
     for sent in (0, 5):
         assert align.align(spark, documents(spark, []), *PATHS, sent_pairs=sent).count() == 0

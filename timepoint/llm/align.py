@@ -4,7 +4,8 @@ Each text is encoded whole by both tokenizers: A is a byte-level BPE file of the
 ``sentencepiece`` model with byte fallback. Offsets in bytes where both have a token's end and both go on with a token
 that begins with a space are *anchors*: they are checked against the ends of both sides, not assumed. Anchors cut the
 document into windows, pairs of short tuples of ids; how the tokens of a window group and overlap depends on its ids
-alone, so each worker remembers the alignment of a window by its two tuples, up to ``REMEMBERED``.
+alone, so each worker remembers the alignment of a window by its two tuples, up to ``REMEMBERED``; the only window of a
+part between spaces is remembered with the part, by its text.
 
 The tokens of a document are taken only if their bytes, joined, are the space and the text on both sides. Tokens are
 linked where their bytes overlap; the count of an id pair is the number of documents that hold it linked.
@@ -25,7 +26,8 @@ import os
 import re
 import uuid
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,8 @@ from tokenizers import Tokenizer
 from timepoint.llm.bpe import byte_letters
 from timepoint.llm.common import column, read_text, released, written
 
-REMEMBERED = 500_000
+#: Parts, and windows, of a generation; the parts of the last generation are kept beside those of the present one.
+REMEMBERED = 400_000
 #: Windows of more tokens are aligned afresh each time.
 LONG = 64
 #: Bytes of text that are encoded at a time.
@@ -61,9 +64,18 @@ class Side:
         self.lengths = np.array(self.length, np.int64)
         self.spaced = np.array([t.startswith(b" ") for t in tokens])
 
-    def bytes_of(self, ids: list[int]) -> bytes:
+    def bytes_of(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def spell(self, lists: list[list[int]], texts: list[bytes]) -> list[bool]:
+        """Of each list of ids whether its bytes are the text: all at once, and one by one only if some are not."""
+        ids = np.fromiter(chain.from_iterable(lists), np.int64)
+        ends = np.cumsum([0, *map(len, lists)])
+        upto = np.concatenate([[0], np.cumsum(self.lengths[ids])])[ends]
+        if np.array_equal(np.diff(upto), list(map(len, texts))) and self.bytes_of(ids.tolist()) == b"".join(texts):
+            return [True] * len(texts)
+        return [self.bytes_of(x) == t for x, t in zip(lists, texts)]
+
 
 def byte_level(tokenizer: Tokenizer) -> Side:
     """Tokens whose letters stand for bytes."""
@@ -97,7 +109,9 @@ def window(ids_a: Sequence[int], ids_b: Sequence[int], a: Side, b: Side) -> tupl
             j += 1
             end_b += length_b[ids_b[j]]
         else:
-            groups.append(",".join([name_a[k] for k in ids_a[first_a : i + 1]]) + "|" + ",".join([name_b[k] for k in ids_b[first_b : j + 1]]))
+            one_a = name_a[ids_a[i]] if i == first_a else ",".join([name_a[k] for k in ids_a[first_a : i + 1]])
+            one_b = name_b[ids_b[j]] if j == first_b else ",".join([name_b[k] for k in ids_b[first_b : j + 1]])
+            groups.append(f"{one_a}|{one_b}")
             if i == last:  # the sides end together
                 return ";".join(groups), len(groups), array("q", links).tobytes()
             i, j = i + 1, j + 1
@@ -132,20 +146,24 @@ class TokenPair:
         self.by_parts = bool(by_words) and not any(b" " in t.lstrip(b" ") for t in self.b.tokens)
         self.spaced_a, self.spaced_b = self.a.spaced.tolist(), self.b.spaced.tolist()
         self.parts: dict[str, Aligned | None] = {}
+        self.last_parts: dict[str, Aligned | None] = {}
         self.windows: dict[tuple[bytes, bytes], tuple[str, int, bytes]] = {}
 
     def learn(self, parts: set[str]) -> dict[str, Aligned | None]:
         """The alignment of a space and each part; None where the bytes of a side are not the part's."""
+        if len(self.parts) > REMEMBERED:
+            self.last_parts, self.parts = self.parts, {}
         new = [p for p in parts if p not in self.parts]
-        if len(self.parts) + len(new) > REMEMBERED:
-            self.parts.clear()
-            new = list(parts)
-        ours = self.tokenizer.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)
+        if self.last_parts:
+            self.parts.update({p: self.last_parts[p] for p in new if p in self.last_parts})
+            new = [p for p in new if p not in self.parts]
+        spaced = [f" {p}" for p in new]
+        ours = [e.ids for e in self.tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
         # The model gives no tokens for the empty text; a last space is a piece of its own.
         theirs = [ids if p else [self.model.piece_to_id("▁")] for p, ids in zip(new, self.model.encode(new, num_threads=1))]
-        for p, x, y in zip(new, [e.ids for e in ours], theirs):
-            same = self.a.bytes_of(x) == self.b.bytes_of(y) == f" {p}".encode()
-            self.parts[p] = (len(x), len(y), *self.aligned(x, y)) if same else None
+        texts = [t.encode() for t in spaced]
+        for p, x, y, same_a, same_b in zip(new, ours, theirs, self.a.spell(ours, texts), self.b.spell(theirs, texts)):
+            self.parts[p] = (len(x), len(y), *self.aligned(x, y)) if same_a and same_b else None
         return self.parts
 
     def window(self, ids_a: list[int], ids_b: list[int]) -> tuple[str, int, bytes]:
@@ -163,7 +181,8 @@ class TokenPair:
         """Groups as text, their number, and the code of every link, window by window."""
         spaced_a, spaced_b = self.spaced_a, self.spaced_b
         if not any([spaced_a[i] for i in ids_a[1:]]) or not any([spaced_b[i] for i in ids_b[1:]]):
-            return self.window(ids_a, ids_b)
+            # One window: of a part, which is remembered itself; a whole text is not met again.
+            return window(ids_a, ids_b, self.a, self.b)
         # Starts of space-marked tokens, in bytes; those that both sides have are the anchors.
         x, y = np.array(ids_a), np.array(ids_b)
         at_x, at_y = np.nonzero(self.a.spaced[x[1:]])[0], np.nonzero(self.b.spaced[y[1:]])[0]
