@@ -215,6 +215,32 @@ def test_blocks_of_an_entry(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.near_duplicates(documents(spark, texts), frequent=2).collect()), key=str) == want
 
 
+@pytest.mark.parametrize("number", [40, 120])
+def test_each_text_proposes_two_whatever_the_blocks(spark, monkeypatch, number):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    ids = [hashlib.md5(str(k).encode()).digest() for k in range(number)]
+    rows = [(1, x, 50, x, bytes(8 * ngram_join.PARITY), None, ids[0], number) for x in ids]
+    schema = "sig bigint, sid binary, n int, root binary, parity binary, wide binary, largest binary, own bigint"
+    texts = spark.createDataFrame([tuple(bytearray(v) if isinstance(v, bytes) else v for v in r) for r in rows], schema)
+    found = ngram_join.proposals(texts, 85).collect()
+    of = collections.Counter(bytes(r.sid) for r in found)
+    assert set(of) == set(ids[1:]) and max(of.values()) <= 2
+    assert all(r.cut and r.sid != r.other for r in found)
+
+
+def test_links_that_parity_maps_do_not_show(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "LONG", 300)
+    sets_of, links_between, called = ngram_join.sets_of, ngram_join.links_between, []
+    blank = lambda rows, wanted: sets_of(rows, wanted).withColumn("parity", F.lit(bytes(8 * ngram_join.PARITY)))
+    monkeypatch.setattr(ngram_join, "sets_of", blank)
+    monkeypatch.setattr(ngram_join, "links_between", lambda *args: called.append(1) or links_between(*args))
+    texts = clusters(77, passage=150)
+    want, _ = plain_join(texts, range(len(texts)))
+    assert sorted(map(tuple, ngram_join.near_duplicates(documents(spark, texts), frequent=2).collect()), key=str) == want
+    assert called
+
+
 def test_groups_leave_enough_to_give():
     for threshold in (60, 80, 85, 90, 95):
         for n in range(ngram_join.least_size(threshold), 3000):
